@@ -67,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Every window of 50 words as text, the smallest document it starts in, and the words that a later document's copy covers.
 SUBSTRING_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS window_text FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
 m AS (SELECT window_text, min(doc_id) AS least FROM s GROUP BY window_text),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM s JOIN m USING (window_text) WHERE s.doc_id > m.least),
