@@ -20,6 +20,7 @@ other id does. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,37 +112,63 @@ class _Forest:
         self.flatten()
 
 
+def _masks(bits: int, most: int) -> list[int]:
+    """All values of ``bits`` bits with at most ``most`` of them set."""
+    return [0, *(sum(1 << b for b in c) for n in range(1, most + 1) for c in itertools.combinations(range(bits), n))]
+
+
 def _links(key: np.ndarray, start: np.ndarray, fp: np.ndarray, wide: np.ndarray | None, budget: int, segments: int, wide_budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges among rows sorted by key: each row is held against those after it that share its key."""
-    nodes, local = np.unique(fp, return_inverse=True) if wide is None else (fp, np.arange(len(fp)))
+    """Forest edges among rows of equal key, as row numbers (wide) or fingerprints.
+
+    The chain of two says how far the second segments of a pair may differ, so each row only meets the rows of its key
+    whose second segment is within that distance of its own; chains of three and more prune those further.
+    """
+    nodes, local = np.unique(fp, return_inverse=True)
     if wide is not None:  # rows of one class recur under other keys
-        _, first, local = np.unique(np.column_stack([fp.view(np.int64), wide.view(np.int64)]), axis=0, return_index=True, return_inverse=True)
-        nodes, local = first, local.ravel()
+        _, nodes, local = np.unique(np.column_stack([fp.view(np.int64), wide.view(np.int64)]), axis=0, return_index=True, return_inverse=True)
+    local = local.ravel()
     forest = _Forest(len(nodes))
-    edges = segment_edges(segments)
-    rows = np.flatnonzero(key[:-1] == key[1:]) if len(key) > 1 else np.zeros(0, dtype=np.int64)
-    d = 1
-    while len(rows):
-        a, b = local[rows], local[rows + d]
-        open_ = forest.parent[a] != forest.parent[b]
-        r, a, b = rows[open_], a[open_], b[open_]
-        x = fp[r] ^ fp[r + d]
-        turn = edges[start[r]].astype(np.uint64)
-        x = np.where(turn > 0, (x << turn) | (x >> ((common.U(64) - turn) & common.U(63))), x)  # the chain's first segment comes first
-        for length in range(2, segments + 1):
-            width = (edges[(start[r] + length) % segments] - edges[start[r]]) % 64 if length < segments else np.full(len(r), 64)
-            ok = np.bitwise_count(x >> (64 - width).astype(np.uint64)) <= length * budget // segments
-            r, a, b, x = r[ok], a[ok], b[ok], x[ok]
-            if not len(r):
-                break
-        if len(r) and wide is not None:
-            ok = np.bitwise_count(wide[r] ^ wide[r + d]).sum(axis=1) <= wide_budget
-            a, b = a[ok], b[ok]
-        if len(r) and len(a):
-            forest.join(a, b)
-        d += 1
-        rows = rows[rows + d < len(key)]
-        rows = rows[key[rows] == key[rows + d]]
+    edges = np.append(segment_edges(segments), 64)
+    size = np.diff(edges)
+    turn = edges[start].astype(np.uint64)
+    ring = np.where(turn > 0, (fp << turn) | (fp >> ((common.U(64) - turn) & common.U(63))), fp)  # the chain's first segment comes first
+    second = size[(start + 1) % segments]
+    code = (key << 32) | ((ring << size[start].astype(np.uint64)) >> (64 - second).astype(np.uint64)).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    code, local, ring, start, second = code[order], local[order], ring[order], start[order], second[order]
+    wide = wide[order] if wide is not None else None
+    codes, first, count = np.unique(code, return_index=True, return_counts=True)
+    # bits in chains of l segments, by their first
+    spans = np.array([[size[(s + np.arange(n)) % segments].sum() for n in range(segments + 1)] for s in range(segments)])
+    for mask in _masks(int(size.max()), 2 * budget // segments):
+        if mask:  # each pair once: from the row whose lowest differing bit is 0
+            rows = np.flatnonzero((code & (mask & -mask) == 0) & (mask >> second == 0))
+            at = np.searchsorted(codes, code[rows] ^ mask)
+            hit = codes[np.minimum(at, len(codes) - 1)] == code[rows] ^ mask
+            rows, at = rows[hit], at[hit]
+            to, end = first[at], first[at] + count[at]
+        else:
+            rows = np.arange(len(code))
+            at = np.searchsorted(codes, code)
+            to, end = rows + 1, first[at] + count[at]
+        while len(rows):
+            more = to < end
+            rows, to, end = rows[more], to[more], end[more]
+            a, b = local[rows], local[to]
+            open_ = forest.parent[a] != forest.parent[b]
+            r, t, a, b = rows[open_], to[open_], a[open_], b[open_]
+            x = ring[r] ^ ring[t]
+            for length in range(3, segments + 1):
+                ok = np.bitwise_count(x >> (64 - spans[start[r], length]).astype(np.uint64)) <= length * budget // segments
+                r, t, a, b, x = r[ok], t[ok], a[ok], b[ok], x[ok]
+                if not len(r):
+                    break
+            if len(r) and wide is not None:
+                ok = np.bitwise_count(wide[r] ^ wide[t]).sum(axis=1) <= wide_budget
+                a, b = a[ok], b[ok]
+            if len(r) and len(a):
+                forest.join(a, b)
+            to = to + 1
     roots = forest.flatten()
     moved = np.flatnonzero(roots != np.arange(len(roots)))
     return nodes[moved], nodes[roots[moved]]
