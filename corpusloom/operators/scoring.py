@@ -25,7 +25,7 @@ def score(questions: DataFrame, outcomes: DataFrame, order_col: str = "position"
     nothing found. Counts of failed, missing and completed rows are over outcome rows, repeated ones too.
     """
     variants = outcomes.select(variant_col).distinct()
-    last = last_outcome(outcomes, order_col, variant_col, question_col)
+    last = last_outcome(outcomes, order_col, variant_col, question_col).drop("supported")
     # Every question under every variant: the variants, a handful, as one array beside each question.
     names = variants.agg(F.array_sort(F.collect_set(variant_col)).alias("v")).first()["v"]
     everything = questions.select(question_col, "supported", F.explode(F.lit(names) if names else F.array().cast("array<string>")).alias(variant_col))
