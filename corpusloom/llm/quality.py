@@ -5,7 +5,8 @@ boundary marks) is hashed to one of ``BUCKETS`` learned vectors; a document is
 the mean of the vectors of all its features, and a softmax over two classes
 scores it. numpy stochastic gradient descent (AdaGrad steps) learns vectors and
 output weights from a bounded number of labelled rows, ``ROWS``. A word that
-repeats the one before it adds the feature of that pair.
+repeats the one before it has, instead of its own, ``REPEATED`` times the
+feature of such a pair.
 
 The mean and the output layer are linear, so for scoring each bucket's vector is
 folded into the amount it adds to the log odds; scores are those of the model.
@@ -28,7 +29,7 @@ from corpusloom.llm import common
 from corpusloom.llm.labelled import held_out, training_rows
 
 BUCKETS, DIM, ROWS, EPOCHS, RATE, THRESHOLD = 1 << 16, 16, 3000, 12, 0.15, 0.3
-GRAMS = (2, 3, 4)
+GRAMS, REPEATED = (2, 3, 4), 12
 _PIECE = 1 << 20
 
 
@@ -49,6 +50,17 @@ def _features(text: str) -> np.ndarray:
     blank = (letters <= 32) | (letters == 0xA0)
     letters = np.concatenate(([32], np.where(blank, 32, letters), [32])).astype(np.uint64)
     blank = letters == 32
+    inside = ~blank
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    words = common.Rolling(letters).slices(edges[::2], edges[1::2])
+    again = np.flatnonzero(words[1:] == words[:-1]) + 1
+    if len(again):  # a word that repeats the one before it is one feature as often as it would have others
+        change = np.zeros(len(letters) + 1, dtype=np.int64)
+        change[edges[::2][again]] += 1
+        change[edges[1::2][again]] -= 1
+        letters = np.where(np.cumsum(change)[:-1] > 0, common.U(32), letters)
+        blank = letters == 32
+        words = np.delete(words, again)
     # n-grams hold at most a boundary mark at either end
     found = []
     for n in GRAMS:
@@ -62,11 +74,7 @@ def _features(text: str) -> np.ndarray:
                 ok &= ~blank[k : k + len(h)]
         ok &= ~(blank[: len(h)] & blank[n - 1 : n - 1 + len(h)]) if n < 3 else True
         found.append(h[ok])
-    inside = ~blank
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    words = common.Rolling(letters).slices(edges[::2], edges[1::2])
-    again = np.count_nonzero(words[1:] == words[:-1])
-    found += [words, np.full(again, 0xA9A1, dtype=np.uint64)]
+    found += [words, np.full(REPEATED * len(again), 0xA9A1, dtype=np.uint64)]
     return (common.mixed(np.concatenate(found)) >> common.U(48)).astype(np.uint16)
 
 

@@ -126,10 +126,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
     seen = common.written(occurrences(docs, length, seed, id_col, text_col), "anchors")
     contexts = common.written(seen.groupBy("anchor", "context").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("tag", "id").alias("tag")), "contexts")
     copied = contexts.where("least < most").select("anchor", "context", "least")
-    whole = common.written(
-        seen.join(copied, ["anchor", "context"]).where("id > least").groupBy("id", "body").agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans")),
-        "whole",
-    )
+    whole = seen.join(copied, ["anchor", "context"]).where("id > least").groupBy("id", "body").agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans"))
     branching = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     bits = spark.sparkContext.broadcast(_bitmap(contexts.join(branching, "anchor", "left_semi").select("tag"), spark))
     common.release(spark)
