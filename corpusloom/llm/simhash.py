@@ -236,14 +236,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, segments: i
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, budget: int = 5, segments: int = 6, wide_budget: int = 46, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, budget: int = 5, segments: int = 6, wide_budget: int = 50, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Groups of similar texts for filtering: ``doc_id`` and ``component_id`` per row of docs.
 
     Candidates are texts whose fingerprints over single words (with repeats)
     differ in at most ``budget`` bits, found by the pigeonring; a link also needs
     256-bit fingerprints over shingles of ``words`` words that differ in at most
-    ``wide_budget`` bits. 46 of 256 is what a Jaccard similarity of 0.8 gives in
-    the mean, plus one standard deviation.
+    ``wide_budget`` bits. 50 of 256 is what a Jaccard similarity of 0.8 gives in
+    the mean (38), plus two standard deviations.
     """
     prints = common.written(fingerprints(docs, 1, words, id_col, text_col), "prints")
     shape = ["fp", "w0", "w1", "w2", "w3"]
