@@ -33,5 +33,4 @@ def markup(x: Column) -> Column:
 
 def output_violation(x: Column) -> Column:
     """The first of: injected instruction, unsafe markup, personal data; null if none."""
-    _, counts = redaction.query_policy(x)
-    return F.when(injection(x), "output_injection").when(markup(x), "unsafe_output_markup").when(F.coalesce(redaction.total(counts), F.lit(0)) > 0, "output_pii")
+    return F.when(injection(x), "output_injection").when(markup(x), "unsafe_output_markup").when(redaction.found(redaction.query_policy(x)), "output_pii")

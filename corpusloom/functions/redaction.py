@@ -1,20 +1,22 @@
 """Personal data: what the patterns find, and texts with every find replaced by its tag.
 
-Both policies are chains of JVM expressions. A recogniser of names can be added
-as a function from a column to a column; none is built in.
+A policy is one JVM expression in which each step's text is bound once, so its
+size is linear in the steps wherever it is pushed. A recogniser of names can be
+added as a step of its own; none is built in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of the document policy.
 SIN = r"\b\d{3}[- ]?\d{3}[- ]?\d{3}\b"
 PHONE = r"\b(?:\+?1[-. ]?)?\(?[2-9]\d{2}\)?[-. ]\d{3}[-. ]\d{4}\b"
-EMAIL = r"\b[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b"
+EMAIL = r"\b[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b"
 CARD = r"\b(?:\d[ -]?){12,18}\d\b"
 IP = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 SECTION = r"(?iU)\b((?:sections?|subsections?|paragraphs?)\s*:?\s*)(\d+)\.(\d+)\.(\d+)\.(\d+)(?![.\d]*\d)\b"
@@ -31,8 +33,6 @@ QUERY_PATTERNS = {
 DOCUMENT_ENTITIES = ("EMAIL_ADDRESS", "CREDIT_CARD", "PHONE_NUMBER", "IP_ADDRESS", "CA_SIN")
 _DOT = "\x1c"  # stands for the dots of a section number while addresses are replaced
 
-Redacted = tuple[Column, dict[str, Column]]
-
 
 def _tag(entity: str) -> str:
     return f"<{entity}>"
@@ -44,53 +44,96 @@ def _cards(x: Column) -> Column:
     return F.filter(found, lambda c: F.call_function("luhn_check", F.regexp_replace(c, "[ -]", "")))
 
 
-def document_policy(x: Column, names: Callable[[Column], Redacted] | None = None) -> Redacted:
-    """The text with e-mail addresses, cards, phones, IP addresses and nine-digit identifiers replaced, and how many of each.
+@dataclass(frozen=True)
+class Step:
+    """What one entity's step counts and replaces; ``guard`` is a cheap test that every text with a find passes."""
+
+    entity: str
+    count: Callable[[Column], Column]
+    replace: Callable[[Column], Column]
+    guard: Callable[[Column], Column] | None = None
+
+
+def _plain(entity: str, pattern: str, guard: Callable[[Column], Column]) -> Step:
+    return Step(entity, lambda x: F.regexp_count(x, F.lit(pattern)), lambda x: F.regexp_replace(x, pattern, _tag(entity)), guard)
+
+
+def _replace_cards(x: Column) -> Column:
+    return F.aggregate(F.array_distinct(_cards(x)), x, lambda text, card: F.replace(text, card, F.lit(_tag("CREDIT_CARD"))))
+
+
+def _mask_sections(x: Column) -> Column:
+    return F.regexp_replace(x, SECTION, f"$1$2{_DOT}$3{_DOT}$4{_DOT}$5")
+
+
+def _labelled(entity: str) -> Step:
+    pattern = QUERY_PATTERNS[entity]
+    whole = "(?iuU)" + pattern
+    group = next((i for i in range(len(pattern)) if pattern[i] == "(" and pattern[i : i + 2] != "(?" and pattern[i - 1] != "\\"), None)
+    if group is None:
+        return Step(entity, lambda x: F.regexp_count(x, F.lit(whole)), lambda x: F.regexp_replace(x, whole, _tag(entity)))
+    return Step(entity, lambda x: F.regexp_count(x, F.lit(whole)), lambda x: F.regexp_replace(x, f"(?iuU)({pattern[:group]}){pattern[group:]}", f"$1{_tag(entity)}"))
+
+
+#: What each policy does, in order.
+DOCUMENT_STEPS = (
+    _plain("EMAIL_ADDRESS", EMAIL, lambda x: F.contains(x, F.lit("@"))),
+    Step("CREDIT_CARD", lambda x: F.size(_cards(x)), _replace_cards, lambda x: F.regexp_count(x, F.lit("[0-9]")) >= 13),
+    _plain("PHONE_NUMBER", PHONE, lambda x: x.rlike("[0-9]{3}[-. ][0-9]{4}")),
+    Step("IP_ADDRESS", lambda x: F.regexp_count(_mask_sections(x), F.lit(IP)), lambda x: F.replace(F.regexp_replace(_mask_sections(x), IP, _tag("IP_ADDRESS")), F.lit(_DOT), F.lit(".")), lambda x: x.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]")),
+    _plain("CA_SIN", SIN, lambda x: x.rlike("[0-9]{3}[- ]?[0-9]{3}[- ]?[0-9]{3}")),
+)
+QUERY_STEPS = (*map(_labelled, QUERY_PATTERNS), *DOCUMENT_STEPS)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def policy(x: Column, steps: tuple[Step, ...] = DOCUMENT_STEPS, names: Step | None = None) -> Column:
+    """struct<text, counts>: the text after all steps and the finds per entity, without those that weren't found."""
+    steps = (names, *steps) if names is not None else steps
+
+    def run(k: int, text: Column, counts: list[tuple[str, Column]]) -> Column:
+        if k == len(steps):
+            total: dict[str, Column] = {}
+            for entity, n in counts:
+                total[entity] = total[entity] + n if entity in total else n
+            return F.struct(text.alias("text"), counts_map(total).alias("counts"))
+        s = steps[k]
+        n, y = s.count(text), s.replace(text)
+        if s.guard is not None:
+            n, y = F.when(s.guard(text), n).otherwise(0), F.when(s.guard(text), y).otherwise(text)
+        return _let(y, lambda t: run(k + 1, t, [*counts, (s.entity, n)]))
+
+    return _let(x, lambda t: run(0, t, []))
+
+
+def document_policy(x: Column, names: Step | None = None) -> Column:
+    """E-mail addresses, cards, phones, IP addresses and nine-digit identifiers replaced.
 
     A four-part number after "section", "subsection" or "paragraph" is no IP address.
     """
-    counts: dict[str, Column] = {}
-    if names is not None:
-        x, counts = names(x)
-
-    def step(text: Column, entity: str, pattern: str) -> Column:
-        counts[entity] = F.regexp_count(text, F.lit(pattern))
-        return F.regexp_replace(text, pattern, _tag(entity))
-
-    x = step(x, "EMAIL_ADDRESS", EMAIL)
-    cards = _cards(x)
-    counts["CREDIT_CARD"] = F.size(cards)
-    x = F.aggregate(F.array_distinct(cards), x, lambda text, card: F.replace(text, card, F.lit(_tag("CREDIT_CARD"))))
-    x = step(x, "PHONE_NUMBER", PHONE)
-    x = F.regexp_replace(x, SECTION, f"$1$2{_DOT}$3{_DOT}$4{_DOT}$5")
-    x = step(x, "IP_ADDRESS", IP)
-    x = F.replace(x, F.lit(_DOT), F.lit("."))
-    return step(x, "CA_SIN", SIN), counts
-
-
-def query_policy(x: Column, names: Callable[[Column], Redacted] | None = None) -> Redacted:
+    return policy(x, DOCUMENT_STEPS, names)
+
+
+def query_policy(x: Column, names: Step | None = None) -> Column:
     """Labelled values first, then the document policy. x: already normalised."""
-    counts: dict[str, Column] = {}
-    for entity, pattern in QUERY_PATTERNS.items():
-        whole = "(?iuU)" + pattern
-        counts[entity] = F.regexp_count(x, F.lit(whole))
-        at = next((i for i in range(len(pattern)) if pattern[i] == "(" and pattern[i : i + 2] != "(?" and pattern[i - 1] != "\\"), None)
-        if at is None:
-            x = F.regexp_replace(x, whole, _tag(entity))
-        else:
-            x = F.regexp_replace(x, f"(?iuU)({pattern[:at]}){pattern[at:]}", f"$1{_tag(entity)}")
-    x, more = document_policy(x, names)
-    return x, counts | {k: counts[k] + v if k in counts else v for k, v in more.items()}
+    return policy(x, QUERY_STEPS, names)
+
+
+def found(result: Column) -> Column:
+    """Whether a policy found anything; null text: no."""
+    return F.coalesce(F.size(result["counts"]) > 0, F.lit(False))
+
+
+def redacted(df: DataFrame, column: str, steps: tuple[Step, ...] = DOCUMENT_STEPS, text: str = "redacted", counts: str = "counts") -> DataFrame:
+    """df with a policy's text and counts."""
+    return df.withColumn("__r", policy(F.col(column), steps)).withColumns({text: F.col("__r.text"), counts: F.col("__r.counts")}).drop("__r")
 
 
 def counts_map(counts: dict[str, Column]) -> Column:
     """Finds per entity, without those that weren't found."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("long").alias("value")) for k, v in sorted(counts.items())])
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(v, F.lit(0)).cast("long").alias("value")) for k, v in sorted(counts.items())])
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
-
-
-def total(counts: dict[str, Column]) -> Column:
-    out = F.lit(0)
-    for v in counts.values():
-        out = out + v
-    return out

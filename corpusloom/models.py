@@ -106,7 +106,7 @@ def prompt_key(scope: Column, system: Column, user: Column) -> Column:
 def cache_safe(text: Column) -> Column:
     """No personal data in the text, as it stands and with JSON escapes decoded."""
     plain = F.regexp_replace(text, r'\\"', '"')
-    clean = lambda x: F.coalesce(redaction.total(redaction.query_policy(x)[1]) == 0, F.lit(False))
+    clean = lambda x: x.isNotNull() & ~redaction.found(redaction.query_policy(x))
     return clean(text) & clean(F.coalesce(F.to_json(F.try_parse_json(text)), plain))
 
 

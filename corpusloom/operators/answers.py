@@ -28,7 +28,7 @@ def excerpts(retrieved: DataFrame, question_col: str = "question_id") -> DataFra
     Excerpt numbers count from 1 in similarity order after the gate. A question's list is bounded by its k.
     """
     place = Window.partitionBy(question_col).orderBy(F.desc("similarity"), "chunk_id")
-    safe = {name: redaction.query_policy(F.col(source))[0] for name, source in (("title", "document_title"), ("section", "section_heading"), ("text", "text"))}
+    safe = {name: redaction.query_policy(F.col(source))["text"] for name, source in (("title", "document_title"), ("section", "section_heading"), ("text", "text"))}
     risky = guards.injection(F.concat_ws("\n", "text", "section_heading", "document_title"))
     rows = retrieved.withColumn("number", F.row_number().over(place)).select(question_col, risky.alias("__risky"), F.struct("number", *[c.alias(n) for n, c in safe.items()]).alias("e"))
     return rows.groupBy(question_col).agg(F.array_sort(F.collect_list("e")).alias("documents"), F.bool_or("__risky").alias("context_injection"))
@@ -64,7 +64,7 @@ def decided(rows: DataFrame) -> DataFrame:
         .otherwise(F.get(violations, F.lit(0)))
     )
     known = parsed.withColumn("reason", reason)
-    rendered = F.transform(claims, lambda c: F.struct(redaction.query_policy(c["text"])[0].alias("text"), F.array_sort(F.array_distinct(c["sources"])).alias("sources")))
+    rendered = F.transform(claims, lambda c: F.struct(redaction.query_policy(c["text"])["text"].alias("text"), F.array_sort(F.array_distinct(c["sources"])).alias("sources")))
     answered = F.col("reason").isNull()
     out = known.withColumn("claims", F.when(answered, rendered).otherwise(F.array().cast("array<struct<text:string,sources:array<int>>>")))
     return out.withColumn("status", F.when(answered, "answered").otherwise("refused")).withColumn("answer", F.when(answered, T.answer_text(F.col("claims"))).otherwise(refusal_message(F.col("reason")))).drop("__p")
@@ -78,11 +78,10 @@ def input_injection(questions: DataFrame, text_col: str = "question") -> DataFra
 def citations(answered: DataFrame, retrieved: DataFrame, question_col: str = "question_id") -> DataFrame:
     """One row per source number that an answer refers to: metadata redacted, anchor dropped if personal, with the URL to cite."""
     numbers = answered.where("status = 'answered'").select(question_col, F.explode(F.array_sort(F.array_distinct(F.flatten(F.transform("claims", lambda c: c["sources"]))))).alias("number"))
-    _, found = redaction.query_policy(F.col("anchor"))
-    anchor = F.when(F.coalesce(redaction.total(found), F.lit(0)) == 0, F.col("anchor"))
+    anchor = F.when(~redaction.found(redaction.query_policy(F.col("anchor"))), F.col("anchor"))
     rows = numbers.join(retrieved, [question_col, "number"]).withColumn("anchor", anchor)
     for name in ("document_title", "section_heading"):
-        rows = rows.withColumn(name, redaction.query_policy(F.col(name))[0])
+        rows = rows.withColumn(name, redaction.query_policy(F.col(name))["text"])
     return rows.withColumn("url", T.citation_url(F.col("source_url"), F.col("page"), F.col("anchor")))
 
 

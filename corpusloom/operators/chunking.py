@@ -91,10 +91,8 @@ def prepared(chunked: DataFrame, settings: Settings = Settings(), title_col: str
     """
     from corpusloom.functions import redaction as R
 
-    once, counts = R.document_policy(F.col("text"))
-    first = chunked.withColumn("__a", R.counts_map(counts)).withColumn("text", once)
-    twice, again = R.document_policy(T.prompt_text(F.col(title_col), F.col(heading_col), F.col("text")))
-    second = first.withColumn("__b", R.counts_map(again)).withColumn("prompt", twice)
+    first = R.redacted(chunked, "text", text="text", counts="__a").withColumn("prompt", T.prompt_text(F.col(title_col), F.col(heading_col), F.col("text")))
+    second = R.redacted(first, "prompt", text="prompt", counts="__b")
     both = F.map_zip_with("__a", "__b", lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
     return second.withColumn("redactions", both).withColumn("content_hash", T.sha256(F.col("prompt"))).withColumn("prompt_ok", F.octet_length("prompt") <= settings.prompt_max_bytes).drop("__a", "__b")
 

@@ -106,7 +106,7 @@ def safety(cases: DataFrame) -> DataFrame:
     from corpusloom.functions import guards, redaction
     from corpusloom.functions import text as T
 
-    document, query = redaction.document_policy(F.col("text"))[0], redaction.query_policy(F.col("normalized"))[0]
+    document, query = redaction.document_policy(F.col("text"))["text"], redaction.query_policy(F.col("normalized"))["text"]
     gone = lambda output: F.size(F.filter("values", lambda v: T.value_removed(v, output)))
     is_ = lambda k: F.col("kind") == k
     flagged = guards.injection(F.col("normalized"))

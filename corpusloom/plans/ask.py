@@ -27,7 +27,7 @@ def prepared_questions(questions: DataFrame, settings: Settings) -> DataFrame:
     """question_id, question: adds fits, safe_question (normalised and redacted), question_hash and input_blocked (on the raw and on the redacted text)."""
     sized = questions.withColumn("fits", T.within_bytes(F.col("question"), settings.query_max_bytes))
     normal = T.normalize_column(sized, "question")
-    safe = normal.withColumn("safe_question", redaction.query_policy(F.col("normalized"))[0])
+    safe = normal.withColumn("safe_question", redaction.query_policy(F.col("normalized"))["text"])
     return safe.withColumn("question_hash", T.sha256(F.col("safe_question"))).withColumn("input_blocked", guards.injection(F.col("normalized")) | guards.injection(F.col("safe_question"))).drop("normalized")
 
 

@@ -206,23 +206,21 @@ def email_redact(spark, sf_dir):
 
 @query()
 def pii_redact(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    text, counts = redaction.document_policy(F.col("text"))
-    return d.select("doc_id", text.alias("text"), redaction.total(counts).alias("redactions"))
+    d = redaction.redacted(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", text="text")
+    return d.select("doc_id", "text", F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, b: a + b).alias("redactions"))
 
 
 @query()
 def pii_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    _, counts = redaction.document_policy(F.col("text"))
-    return d.select(F.explode(redaction.counts_map(counts)).alias("entity", "n")).groupBy("entity").agg(F.sum("n").alias("n"))
+    d = redaction.redacted(read(spark, sf_dir, "documents").select("text"), "text")
+    return d.select(F.explode("counts").alias("entity", "n")).groupBy("entity").agg(F.sum("n").alias("n"))
 
 
 @query()
 def query_redaction(spark, sf_dir):
     c = T.normalize_column(read(spark, sf_dir, "conversations").unionByName(fixtures.questions(spark)), "text")
-    text, counts = redaction.query_policy(F.col("normalized"))
-    return c.select("conv_id", "turn", text.alias("text"), F.to_json(redaction.counts_map(counts)).alias("counts"))
+    c = redaction.redacted(c, "normalized", redaction.QUERY_STEPS, text="text")
+    return c.select("conv_id", "turn", "text", F.to_json("counts").alias("counts"))
 
 
 _INJECTION = " OR ".join(
