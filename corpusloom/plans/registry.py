@@ -477,3 +477,6 @@ def streamed_statistics(spark, sf_dir):
     out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/{name}-state").trigger(availableNow=True).format("parquet").start(f"{base}/{name}").awaitTermination()
     s = spark.read.schema(out.schema).parquet(f"{base}/{name}")
     return s.where("metric = 'requests'").select("period_start", "environment", "stage", "metric", "sample_count")
+
+
+from corpusloom.plans import more  # noqa: E402, F401  registers the rest
