@@ -36,12 +36,14 @@ from corpusloom.llm import common
 from corpusloom.llm.labelled import held_out, training_rows
 
 ROWS, TERMS, THRESHOLD = 8000, 400, 0.5
-STEM = range(4, 11)
+STEM, ALL = range(4, 11), ""  # ALL: the term of every text
 BIAS, INSULT, TARGETED, THREATENED, NEGATED, REPORTED = -2.5, 5.0, 0.5, 4.5, 0.65, 0.7
 #: A matched word of this weight tells by itself; lighter ones must come together. RATE: weight that is expected of a word in a clean text.
 SURE, RATE = 2.75, 0.015
 #: Learning takes the best TAKE stems at a time and goes on with the toxic texts that these don't explain.
-ROUNDS, TAKE = 10, 12
+ROUNDS, TAKE = 24, 4
+#: It stops when no more than this share of the toxic texts is left: what a few near copies share is no stem.
+LEFT = 0.01
 
 #: Words of the grammar, in English, French, German and Spanish.
 BASE_INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile dumbass bastard bastards connard connards salaud abruti crétin arschloch dummkopf vollidiot abschaum gilipollas imbécil estúpido estúpida pendejo basura".split()
@@ -187,7 +189,7 @@ def learn(counts: list[tuple[str, int, int]], toxic: int, clean: int, base: int,
     new: dict[str, float] = {}
     for _, _, term, weight in sorted(good, key=lambda g: (-g[0], -g[1], g[2])):
         bare, known = term.rstrip("$"), [*taken, *new]
-        if len(new) < TAKE and not any(bare.startswith(t) if not t.endswith("$") else bare and t[:-1].startswith(bare) for t in known):
+        if len(new) < TAKE and not any(bare.startswith(t.rstrip("$")) or t.startswith(bare) for t in known):
             new[term] = weight
     return new
 
@@ -206,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
                 for text in b.column("text").to_pylist():
                     if grammar is None or sum(len(found) for _, found in grammar.clauses(text)) < 2:
                         seen.update(terms_of(text))
+                        seen[ALL] += 1
             rows_ = list(seen.items())
             for at in range(0, len(rows_), 50_000):
                 t, n = zip(*rows_[at : at + 50_000], strict=True)
@@ -219,9 +222,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     usual = common.written(count(good, None, "clean"), "clean-terms")
     learned: dict[str, float] = {}
     for _ in range(ROUNDS):
-        rest = count(bad, Grammar(learned, base=False), "toxic").where("toxic >= 3")
+        rest = count(bad, Grammar(learned, base=False), "toxic").where((F.col("toxic") >= 3) | (F.col("term") == ALL))
         counts = rest.join(usual, "term", "left").select("term", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
-        best = counts.where("toxic > 2 * clean").orderBy(F.desc("toxic"), "clean", "term").limit(5000).collect()
+        best = counts.where((F.col("toxic") > 2 * F.col("clean")) | (F.col("term") == ALL)).orderBy(F.desc(F.col("term") == ALL), F.desc("toxic"), "clean", "term").limit(5000).collect()
+        left = sum(r["toxic"] for r in best if r["term"] == ALL)
+        if left <= LEFT * toxic:
+            break
+        best = [r for r in best if r["term"] != ALL]
         new = learn([(r["term"], r["toxic"], r["clean"]) for r in best], toxic, clean, toxic, max(20_000, len(best)), learned)
         if not new or len(learned) + len(new) > TERMS:
             break
