@@ -137,3 +137,17 @@ def counts_map(counts: dict[str, Column]) -> Column:
     """Finds per entity, without those that weren't found."""
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(v, F.lit(0)).cast("long").alias("value")) for k, v in sorted(counts.items())])
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
+
+
+_LITERAL = r'"((?:[^"\\]|\\.)*)"'
+
+
+def redacted_json(x: Column, steps: tuple[Step, ...] = QUERY_STEPS) -> Column:
+    """JSON text with every string in it redacted, keys too, at any depth; numbers and structure stay.
+
+    Only distinct strings that a policy changes are replaced, as whole literals, so the result is JSON as well.
+    """
+    literals = F.array_distinct(F.regexp_extract_all(x, F.lit(_LITERAL), F.lit(1)))
+    pairs = F.transform(literals, lambda t: F.struct(t.alias("old"), policy(t, steps)["text"].alias("new")))
+    quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+    return F.aggregate(F.filter(pairs, lambda p: p["old"] != p["new"]), x, lambda text, p: F.replace(text, quoted(p["old"]), quoted(p["new"])))

@@ -127,3 +127,11 @@ def cached_chat(prompts: DataFrame, cache: DataFrame, make: Callable[[], Chat],
     fresh = written(chatted(wanted.join(good, key, "left_anti"), make, key), "replies")
     everything = good.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
     return prompts.join(everything, key, "left"), usable(fresh)
+
+
+def in_order(responses: Column) -> Column:
+    """Vectors of a reply (array<struct<index, embedding>>) in the order of their indexes, which must be exactly 0..n-1; else null."""
+    sorted_ = F.array_sort(responses, lambda a, b: a["index"] - b["index"])
+    n = F.size(responses)
+    whole = (n > 0) & (F.transform(sorted_, lambda r: r["index"].cast("int")) == F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
+    return F.when(whole, F.transform(sorted_, lambda r: r["embedding"]))

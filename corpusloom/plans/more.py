@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom import models
-from corpusloom.functions import guards
+from corpusloom.functions import guards, redaction
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, chunking, ingest, retrieval, scoring, sections, telemetry
 from corpusloom.plans.registry import _CALLS_SQL, _RANKED, SETTINGS, _calls, _events, _ranked, query, read
@@ -119,6 +119,36 @@ def completeness(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(models.complete(backend, ended, F.lit(None).cast("string"))).alias("complete"))
 
 
+@query("SELECT label, max(CASE WHEN rn = n THEN vec_id END) AS last, count(*) AS n FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) GROUP BY label")
+def reply_order(spark, sf_dir):
+    """Each label's rows as one reply whose items came back in reverse; put in order, the last is the largest id."""
+    place = Window.partitionBy("label").orderBy("vec_id")
+    rows = read(spark, sf_dir, "embeddings").select("label", F.struct((F.row_number().over(place) - 1).alias("index"), F.col("vec_id").alias("embedding")).alias("r"))
+    replies = rows.groupBy("label").agg(F.reverse(F.array_sort(F.collect_list("r"))).alias("replies")).withColumn("v", models.in_order(F.col("replies")))
+    return replies.select("label", F.element_at("v", -1).alias("last"), F.size("v").cast("long").alias("n"))
+
+
+@query()
+def json_redaction(spark, sf_dir):
+    """Conversations as nested JSON with every string redacted."""
+    c = read(spark, sf_dir, "conversations")
+    doc = F.to_json(F.struct("turn", F.struct("role", F.array("text").alias("texts")).alias("said")))
+    return c.select("conv_id", "turn", redaction.redacted_json(doc).alias("json"))
+
+
+@query()
+def manifest_scan(spark, sf_dir):
+    """The sources as a manifest file, written, read back and validated."""
+    import uuid
+
+    from corpusloom.shared import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    whole = _manifest(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct(*M.SOURCE_COLUMNS))).alias("documents")).select(F.lit(1).alias("schema_version"), F.lit("test").alias("purpose"), "documents")
+    whole.write.json(path)
+    return M.load(spark, path).select("document_id", "title", "source_url")
+
+
 # --- texts and prompts ------------------------------------------------------
 
 

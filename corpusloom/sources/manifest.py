@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCE = "document_id string, regulator string, title string, source_url string, format string, public boolean, retrieved_at string, sha256 string, resolved_url string"
+SOURCE_COLUMNS = [c.split()[0] for c in SOURCE.split(", ")]
 # Official hosts by regulator, and formats.
 HOSTS = {
     "OSFI": ["www.osfi-bsif.gc.ca", "osfi-bsif.gc.ca"],

@@ -99,3 +99,30 @@ def test_streams_agree_with_batch(spark, tmp_path):
     want = t.alarm_transitions(spark.read.parquet(states)).where("metric = 'errors'")
     cols = ["environment", "stage", "metric", "at", "to_state"]
     assert {tuple(r) for r in moves.select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
+
+
+def test_observer_never_alters_a_call(spark):
+    from corpusloom.streaming import observe
+
+    lines = []
+
+    @observe.observed("query", "dev", lines.append)
+    def handler(x):
+        if x == "fail":
+            raise KeyError(x)
+        return {"statusCode": 200, "body": json.dumps({"status": "refused", "reason": "input_injection", "answer": "secret"})}
+
+    assert handler("ok")["statusCode"] == 200
+    with pytest.raises(KeyError):
+        handler("fail")
+
+    def broken(line):
+        raise OSError
+
+    assert observe.observed("query", "dev", broken)(lambda: 7)() == 7
+    frame = spark.createDataFrame([(x,) for x in [*lines, "noise", "{}"]], "value string")
+    got = {r["status"]: (r["reason"], r["guardrail_blocks"]) for r in t.invocation_events(observe.calls(frame)).collect()}
+    assert got == {"refused": ("input_injection", 1), "error": ("handler_exception", 0)}
+    watched, seen = observe.counted(spark.range(10), "rows", n=F.count("*"))
+    watched.collect()
+    assert seen.get == {"n": 10}

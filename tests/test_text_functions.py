@@ -109,3 +109,20 @@ def test_judgments(spark):
     frame = spark.createDataFrame(cases, "x string, n int, want boolean")
     got = frame.select("want", strict_json.complete_judgment(strict_json.judgment(F.col("x")), F.col("n")).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
+
+
+def test_json_strings_are_redacted_at_any_depth(spark):
+    import json
+
+    doc = {"a@b.co": [1, {"k": 'mail a@b.co, say "hi"'}], "n": 4111111111111111, "t": "fine\\ "}
+    got = json.loads(one(spark, json.dumps(doc), redaction.redacted_json(F.col("x")))[0])
+    assert got == {"<EMAIL_ADDRESS>": [1, {"k": 'mail <EMAIL_ADDRESS>, say "hi"'}], "n": 4111111111111111, "t": "fine\\ "}
+    assert one(spark, None, redaction.redacted_json(F.col("x")))[0] is None
+
+
+def test_replies_in_order(spark):
+    from corpusloom import models
+
+    rows = [([(1, [1.0]), (0, [0.0])],), ([(1, [1.0])],), ([(0, [0.0]), (0, [1.0])],), ([],), (None,)]
+    frame = spark.createDataFrame(rows, "r array<struct<index:int,embedding:array<float>>>")
+    assert [r[0] for r in frame.select(models.in_order(F.col("r"))).collect()] == [[[0.0], [1.0]], None, None, None, None]
