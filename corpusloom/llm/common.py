@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df stored once on the executors' disks for several uses; a lost executor's part is computed anew from its lineage."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()

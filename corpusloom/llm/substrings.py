@@ -123,8 +123,8 @@ def _bitmap(tags: DataFrame, spark: SparkSession) -> np.ndarray:
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeats per document: id, body, spans array<struct<start, end>> in words, sorted and disjoint; only documents that have one."""
     spark = docs.sparkSession
-    seen = common.written(occurrences(docs, length, seed, id_col, text_col), "anchors")
-    contexts = common.written(seen.groupBy("anchor", "context").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("tag", "id").alias("tag")), "contexts")
+    seen = common.kept(occurrences(docs, length, seed, id_col, text_col))
+    contexts = common.kept(seen.groupBy("anchor", "context").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("tag", "id").alias("tag")))
     copied = contexts.where("least < most").select("anchor", "context", "least")
     whole = common.written(
         seen.join(copied, ["anchor", "context"]).where("id > least").groupBy("id", "body").agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans")),
@@ -132,6 +132,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
     )
     branching = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     bits = spark.sparkContext.broadcast(_bitmap(contexts.join(branching, "anchor", "left_semi").select("tag"), spark))
+    contexts.unpersist()
+    seen.unpersist()
     common.release(spark)
 
     def extend(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,7 +148,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "body", "start", "window"])
 
-    steps = common.written(common.map_rows(_keyed(docs, id_col, text_col), extend, "id long, body long, start int, window long"), "windows")
+    steps = common.kept(common.map_rows(_keyed(docs, id_col, text_col), extend, "id long, body long, start int, window long"))
     shared = steps.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
     partly = (
         steps.join(shared, "window").where("id > least").groupBy("id", "body").agg(F.collect_list(F.struct("start", (F.col("start") + length).cast("int").alias("end"))).alias("spans"))
@@ -218,9 +220,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_
 
     @F.pandas_udf("string")
     def shortened(texts, spans):
-        return texts.combine(spans, lambda t, s: cut(t, [(x["start"], x["end"]) for x in s]))
+        return texts.combine(spans, lambda t, s: None if t is None else cut(t, [(x["start"], x["end"]) for x in s]))
 
-    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.col("__new"))
-    stays = joined.where("__spans IS NULL").select(*docs.columns)
-    changed = joined.where("__spans IS NOT NULL").withColumn("__new", shortened("__text", "__spans")).withColumn(text_col, new).select(*docs.columns)
-    return stays.unionByName(changed)
+    # A null in place of the text of every row without a repeat: those don't travel to Python.
+    changed = shortened(F.when(F.col("__spans").isNotNull(), F.col("__text")), "__spans")
+    return joined.withColumn("__new", changed).withColumn(text_col, F.coalesce("__new", F.col(text_col))).select(*docs.columns)
