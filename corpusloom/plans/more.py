@@ -9,7 +9,7 @@ from corpusloom import models
 from corpusloom.functions import guards, redaction
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, chunking, ingest, retrieval, scoring, sections, telemetry
-from corpusloom.plans.registry import _CALLS_SQL, _RANKED, SETTINGS, _calls, _events, _ranked, query, read
+from corpusloom.plans.registry import _CALLS_SQL, _RANKED, SETTINGS, SQL, _calls, _events, _ranked, query, read
 from corpusloom.sources import files, logs
 from corpusloom.sources import manifest as M
 
@@ -284,3 +284,39 @@ def log_scan(spark, sf_dir):
     lines = _events(spark, sf_dir).where("stage = 'query' AND environment = 'dev'").select(F.to_json(F.struct("*")).alias("value"))
     noise = _calls(spark, sf_dir).select(F.concat(F.lit("START telemetry_event "), "invocation_id").alias("value"))
     return logs.invocations(lines.unionByName(noise), "query", "dev").groupBy("status").agg(F.count("*").alias("n"), F.sum("errors").cast("long").alias("errors"))
+
+
+# --- literal cases: what the specification says of each ---------------------
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    put = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(put, r)) + ")" for r in rows) + f") t({columns})"
+
+
+_INVALID = ("not json", "extra key", "extra claim key", "text for boolean", "boolean source", "decimal source", "no sources", "empty text", "too many claims")
+_VALID = ("valid", "unsupported", "unsupported with claims", "no claims", "unknown source", "blank claim", "link", "bracket", "markup", "injection", "personal")
+SQL["json_strict"] = _values("name, valid", [(n, True) for n in _VALID] + [(n, False) for n in _INVALID])
+
+_REASONS = [
+    ("unsupported", "unsupported_by_context"),
+    ("unsupported with claims", "invalid_output"),
+    *((n, "invalid_citations") for n in ("no claims", "unknown source", "blank claim", "link", "bracket")),
+    *((n, "invalid_output") for n in _INVALID),
+    ("markup", "unsafe_output_markup"),
+    ("injection", "output_injection"),
+    ("personal", "output_pii"),
+    ("no evidence", "weak_evidence"),
+    ("context", "context_injection"),
+    ("incomplete", "incomplete_or_filtered_output"),
+    ("no output", "invalid_output"),
+]
+SQL["answer_ladder"] = _values("name, status, reason, answer", [("valid", "answered", None, "Reports are due. [1] [2]"), *((n, "refused", r, answers.NO_EVIDENCE if r in answers.EVIDENCE_REASONS else answers.NOT_SAFE) for n, r in _REASONS)])
+SQL["request_gate"] = _values("name, http_status, question", [("fine", 200, "What is due?"), ("base64", 200, "ok?"), ("method", 405, None), ("media", 415, None), ("no media", 415, None), *((n, 400, None) for n in ("no body", "not json", "list", "extra", "number", "blank", "long", "longer", "bad base64"))])
+_OFFICIAL = "https://www.osfi-bsif.gc.ca/en/e-21"
+SQL["source_validation"] = _values("document_id, source_url, errors", [
+    ("e-21", _OFFICIAL, ""), ("guide-2", "https://priv.gc.ca:443/en", ""), ("foreign", "https://example.com/en", "source_url"), ("private", _OFFICIAL, "public"), ("../up", _OFFICIAL, "document_id"),
+    ("plain", "http://www.priv.gc.ca/en", "source_url"), ("user", "https://me@www.priv.gc.ca/en", "title,format,source_url,resolved_url"), (None, None, "document_id,regulator,title,format,public,source_url"),
+])
+SQL["safety_totals"] = "SELECT 5::BIGINT AS pii_cases, 6::BIGINT AS expected_values, 4::BIGINT AS baseline_removed, 5::BIGINT AS query_removed, 7::BIGINT AS attacks, 7::BIGINT AS attacks_caught, 5::BIGINT AS controls, 0::BIGINT AS controls_flagged, 1::BIGINT AS baseline_controls_changed, 1::BIGINT AS query_controls_changed"
+SQL["manifest_scan"] = f"WITH {_MANIFEST_SQL} SELECT document_id, title, source_url FROM m"
