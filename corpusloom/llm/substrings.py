@@ -96,19 +96,35 @@ def _tags(anchor: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarra
     return (h >> common.U(64 - MAP_BITS)).astype(np.int64)
 
 
+#: One occurrence inside a bundle.
+_MEMBER = np.dtype([("id", "<i8"), ("body", "<i8"), ("first", "<i4"), ("last", "<i4")])
+
+
 def occurrences(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per anchor occurrence: id, body, first and last window start, anchor, context, and the bitmap slot ``tag``."""
+    """Anchor occurrences, those of equal (anchor, context) in a batch of documents bundled in one row.
+
+    anchor, context, least and most id, the bitmap slot ``tag`` of the least, and ``members``, the occurrences packed as
+    _MEMBER. Copies and common passages so leave each task as one row a batch, not one a document.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, body = b.column("id").to_numpy(), b.column("body").to_numpy()
         found = [Runs(common.word_hashes(t.as_py().encode()), length, seed) for t in b.column("text")]
         n = [len(r.first) for r in found]
         joined = lambda name: np.concatenate([getattr(r, name) for r in found]) if found else np.zeros(0, dtype=np.int64)
-        ids, anchor, context = np.repeat(ids, n), joined("anchor"), joined("context")
-        columns = [ids, np.repeat(body, n), joined("first").astype(np.int32), joined("last").astype(np.int32), anchor, context, _tags(anchor, context, ids).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "body", "first", "last", "anchor", "context", "tag"])
+        anchor, context = joined("anchor"), joined("context")
+        members = np.zeros(len(anchor), dtype=_MEMBER)
+        members["id"], members["body"], members["first"], members["last"] = np.repeat(ids, n), np.repeat(body, n), joined("first"), joined("last")
+        order = np.lexsort((members["id"], context, anchor))
+        anchor, context, members = anchor[order], context[order], members[order]
+        starts = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])))) if len(anchor) else np.zeros(0, dtype=np.int64)
+        ends = np.append(starts[1:], len(anchor))
+        anchor, context, least, most = anchor[starts], context[starts], members["id"][starts], members["id"][ends - 1] if len(starts) else members["id"]
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(members)) * _MEMBER.itemsize).astype(np.int32)), pa.py_buffer(members.tobytes())])
+        columns = [pa.array(c) for c in (anchor, context, np.ascontiguousarray(least), np.ascontiguousarray(most), _tags(anchor, context, np.ascontiguousarray(least)).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, packed], ["anchor", "context", "least", "most", "tag", "members"])
 
-    return common.map_rows(_keyed(docs, id_col, text_col), run, "id long, body long, first int, last int, anchor long, context long, tag int")
+    return common.map_rows(_keyed(docs, id_col, text_col), run, "anchor long, context long, least long, most long, tag int, members binary")
 
 
 def _bitmap(tags: DataFrame, spark: SparkSession) -> np.ndarray:
@@ -124,12 +140,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
     """Maximal repeats per document: id, body, spans array<struct<start, end>> in words, sorted and disjoint; only documents that have one."""
     spark = docs.sparkSession
     seen = common.kept(occurrences(docs, length, seed, id_col, text_col))
-    contexts = common.kept(seen.groupBy("anchor", "context").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("tag", "id").alias("tag")))
-    copied = contexts.where("least < most").select("anchor", "context", "least")
-    whole = common.written(
-        seen.join(copied, ["anchor", "context"]).where("id > least").groupBy("id", "body").agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans")),
-        "whole",
-    )
+    contexts = common.kept(seen.groupBy("anchor", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("tag", "least").alias("tag")))
+    copied = contexts.where("least < most").select("anchor", "context", F.col("least").alias("first_id"))
+
+    def cover(b: pa.RecordBatch) -> pa.RecordBatch:
+        packed = b.column("members")
+        members = np.frombuffer(b"".join(packed.to_pylist()), dtype=_MEMBER)
+        n = [len(m) // _MEMBER.itemsize for m in packed.to_pylist()]
+        members = members[members["id"] > np.repeat(b.column("first_id").to_numpy(), n)]
+        columns = [members["id"], members["body"], members["first"], members["last"] + np.int32(length)]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["id", "body", "start", "end"])
+
+    # Bundles of later documents, dealt out evenly before they are opened: those of one hot context go to many tasks.
+    later = seen.select("anchor", "context", "most", "members").join(copied, ["anchor", "context"]).where("most > first_id").select("first_id", "members")
+    opened = common.map_rows(later.repartition(F.xxhash64("members")), cover, "id long, body long, start int, end int")
+    whole = common.written(opened.groupBy("id", "body").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "whole")
     branching = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     bits = spark.sparkContext.broadcast(_bitmap(contexts.join(branching, "anchor", "left_semi").select("tag"), spark))
     contexts.unpersist()
