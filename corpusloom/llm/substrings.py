@@ -103,8 +103,9 @@ _MEMBER = np.dtype([("id", "<i8"), ("body", "<i8"), ("first", "<i4"), ("last", "
 def occurrences(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Anchor occurrences, those of equal (anchor, context) in a batch of documents bundled in one row.
 
-    anchor, context, least and most id, the bitmap slot ``tag`` of the least, and ``members``, the occurrences packed as
-    _MEMBER. Copies and common passages so leave each task as one row a batch, not one a document.
+    anchor, context, least and most id, the bitmap slot ``tag`` of the least, ``batch``, which names the batch of
+    documents, and ``members``, the occurrences packed as _MEMBER. Copies and common passages so leave each task as one
+    row a batch, not one a document.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -121,10 +122,11 @@ def occurrences(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col:
         ends = np.append(starts[1:], len(anchor))
         anchor, context, least, most = anchor[starts], context[starts], members["id"][starts], members["id"][ends - 1] if len(starts) else members["id"]
         packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(members)) * _MEMBER.itemsize).astype(np.int32)), pa.py_buffer(members.tobytes())])
-        columns = [pa.array(c) for c in (anchor, context, np.ascontiguousarray(least), np.ascontiguousarray(most), _tags(anchor, context, np.ascontiguousarray(least)).astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*columns, packed], ["anchor", "context", "least", "most", "tag", "members"])
+        batch = np.full(len(starts), ids[0] ^ body[0] if len(ids) else 0)
+        columns = [pa.array(c) for c in (anchor, context, np.ascontiguousarray(least), np.ascontiguousarray(most), _tags(anchor, context, np.ascontiguousarray(least)).astype(np.int32), batch)]
+        return pa.RecordBatch.from_arrays([*columns, packed], ["anchor", "context", "least", "most", "tag", "batch", "members"])
 
-    return common.map_rows(_keyed(docs, id_col, text_col), run, "anchor long, context long, least long, most long, tag int, members binary")
+    return common.map_rows(_keyed(docs, id_col, text_col), run, "anchor long, context long, least long, most long, tag int, batch long, members binary")
 
 
 def _bitmap(tags: DataFrame, spark: SparkSession) -> np.ndarray:
@@ -144,17 +146,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
     copied = contexts.where("least < most").select("anchor", "context", F.col("least").alias("first_id"))
 
     def cover(b: pa.RecordBatch) -> pa.RecordBatch:
-        packed = b.column("members")
-        members = np.frombuffer(b"".join(packed.to_pylist()), dtype=_MEMBER)
-        n = [len(m) // _MEMBER.itemsize for m in packed.to_pylist()]
-        members = members[members["id"] > np.repeat(b.column("first_id").to_numpy(), n)]
-        columns = [members["id"], members["body"], members["first"], members["last"] + np.int32(length)]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["id", "body", "start", "end"])
-
-    # Bundles of later documents, dealt out evenly before they are opened: those of one hot context go to many tasks.
-    later = seen.select("anchor", "context", "most", "members").join(copied, ["anchor", "context"]).where("most > first_id").select("first_id", "members")
-    opened = common.map_rows(later.repartition(F.xxhash64("members")), cover, "id long, body long, start int, end int")
-    whole = common.written(opened.groupBy("id", "body").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "whole")
+        packed = b.column("members").to_pylist()
+        m = np.frombuffer(b"".join(packed), dtype=_MEMBER)
+        m = m[m["id"] > np.repeat(b.column("first_id").to_numpy(), [len(x) // _MEMBER.itemsize for x in packed])]
+        m = m[np.lexsort((m["first"], m["body"], m["id"]))]
+        ids, body, start, end = (np.ascontiguousarray(m[n]) for n in ("id", "body", "first", "last"))
+        end = end + np.int32(length)  # later runs of a document end later
+        document = np.concatenate(([True], (ids[1:] != ids[:-1]) | (body[1:] != body[:-1])))[: len(ids)]
+        fresh = document | np.concatenate(([True], start[1:] > end[:-1]))[: len(ids)]
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(ids))[: len(first)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(end[last])], ["start", "end"])
+        heads = np.flatnonzero(document[first])
+        return pa.RecordBatch.from_arrays([pa.array(ids[first][heads]), pa.array(body[first][heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(first)).astype(np.int32)), spans)], ["id", "body", "spans"])
+
+    # Bundles of later documents go back together by batch, so a document's contexts merge before they are grouped.
+    later = seen.select("anchor", "context", "most", "batch", "members").join(copied, ["anchor", "context"]).where("most > first_id").select("batch", "first_id", "members")
+    opened = common.map_rows(later.repartition("batch").sortWithinPartitions("batch"), cover, "id long, body long, spans array<struct<start:int,end:int>>")
+    whole = common.written(opened.groupBy("id", "body").agg(F.flatten(F.collect_list("spans")).alias("spans")), "whole")
     branching = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     bits = spark.sparkContext.broadcast(_bitmap(contexts.join(branching, "anchor", "left_semi").select("tag"), spark))
     contexts.unpersist()
