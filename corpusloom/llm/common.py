@@ -44,8 +44,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df stored once on the executors' disks for several uses; a lost executor's part is computed anew from its lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """df computed now and stored on the executors' disks for several uses, which so never compute it side by side; a lost executor's part is computed anew from its lineage."""
+    stored = df.persist(StorageLevel.DISK_ONLY)
+    stored.count()
+    return stored
 
 
 def release(spark: SparkSession) -> None:
