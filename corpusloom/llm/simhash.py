@@ -26,13 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm.components import components
 
 BLOCK = 4096
+#: Texts are near copies from this Jaccard similarity of their shingle sets on, as a fraction.
+ALIKE = (4, 5)
+#: Classes, and shingles of theirs, that are compared as one block.
+TOGETHER, SHINGLES = 512, 1 << 20
+WIDE = ["w0", "w1", "w2", "w3"]
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
@@ -70,17 +75,40 @@ def wide_fingerprint(text: str, size: int = 5) -> list[int]:
     return [_majority(d)] + [_majority(common.mixed(h ^ common.U(s)).astype(">u8").view(np.uint8).reshape(-1, 8)) for s in _SALTS]
 
 
-def fingerprints(docs: DataFrame, size: int = 3, wide: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: ``doc_id``, ``fp`` (signed), and with ``wide`` the 256-bit fingerprint over shingles of that many words as w0..w3."""
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: ``doc_id`` and ``fp`` (signed)."""
     kept = common.text_of(docs, docs[id_col].cast("long").alias("doc_id"), text_col=text_col)
-    names = ["doc_id", "fp", *(["w0", "w1", "w2", "w3"] if wide else [])]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b.column("text").to_pylist()
-        columns = [[fingerprint(t, size) for t in texts], *(zip(*[wide_fingerprint(t, wide) for t in texts], strict=True) if wide else [])]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in columns)], names)
+        fp = np.array([fingerprint(t, size) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return common.map_rows(kept, run, ", ".join(f"{n} long" for n in names))
+    return common.map_rows(kept, run, "doc_id long, fp long")
+
+
+def shingle_set(text: str, words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(_digests(text.encode().lower().split(), words).copy().view(">u8").astype(np.uint64).ravel())
+
+
+def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of docs: ``doc_id``, ``body`` (hash of the text), ``node`` (hash of its shingle set), ``size`` of the set, ``fp`` over single words and w0..w3 over shingles."""
+    kept = common.text_of(docs, docs[id_col].cast("long").alias("doc_id"), _body(docs, text_col), text_col=text_col)
+    names = ["node", "size", "fp", *WIDE]
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for t in b.column("text").to_pylist():
+            shingles = shingle_set(t, words)
+            rows.append((xxhash.xxh64_intdigest(shingles.tobytes()), len(shingles), fingerprint(t, 1), *wide_fingerprint(t, words)))
+        table = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("body"), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["doc_id", "body", *names])
+
+    return common.map_rows(kept, run, "doc_id long, body long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _body(docs: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("body")
 
 
 class _Forest:
@@ -186,7 +214,7 @@ def linked(distinct: DataFrame, budget: int, segments: int, wide_budget: int | N
     spark = distinct.sparkSession
     edges = [*segment_edges(segments).tolist(), 64]
     value = lambda k: F.expr(f"shiftrightunsigned(shiftleft(fp, {edges[k]}), {64 - (edges[k + 1] - edges[k])})")
-    wide = ["w0", "w1", "w2", "w3"] if wide_budget is not None else []
+    wide = WIDE if wide_budget is not None else []
     keyed = distinct.select("node", "fp", *wide, F.explode(F.array(*[F.struct(F.lit(k).alias("start"), value(k).alias("value")) for k in range(segments)])).alias("s")).select("node", "fp", *wide, "s.start", "s.value")
     # At most segments * 2 ** (64 / segments) keys exist, and only those of over ``block`` rows are kept: the size is bounded.
     hot = keyed.groupBy("start", "value").agg(F.count("*").alias("rows")).where(F.col("rows") > block)
@@ -227,7 +255,7 @@ def linked(distinct: DataFrame, budget: int, segments: int, wide_budget: int | N
 
 def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, segments: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row of docs: ``doc_id``, ``fp`` (signed) and ``component_id``, the smallest id reachable over links of at most ``budget`` differing bits."""
-    prints = common.written(fingerprints(docs, size, None, id_col, text_col), "prints")
+    prints = common.written(fingerprints(docs, size, id_col, text_col), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(linked(classes.select(F.col("fp").alias("node"), "fp"), budget, segments, block=block))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -236,23 +264,104 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, segments: i
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def _alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges among sets, as their positions, with the components of all pairs of Jaccard similarity ``ALIKE`` or more."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, start = flat.ravel(), np.concatenate(([0], np.cumsum(size)))
+    forest, marked = _Forest(len(sets)), np.zeros(len(values), dtype=bool)
+    top, bottom = ALIKE
+    for i in range(len(sets) - 1):
+        p = forest.parent
+        open_ = p[i + 1 :] != p[i]
+        open_ &= bottom * np.minimum(size[i], size[i + 1 :]) >= top * np.maximum(size[i], size[i + 1 :])
+        if not open_.any():
+            continue
+        mine = flat[start[i] : start[i + 1]]
+        marked[mine] = True
+        rows = np.flatnonzero(open_) + i + 1
+        if len(rows) < 32:
+            both = np.array([np.count_nonzero(marked[flat[start[r] : start[r + 1]]]) for r in rows])
+        else:
+            both = np.bincount(owner[start[i + 1] :], weights=marked[flat[start[i + 1] :]], minlength=len(sets))[rows].astype(np.int64)
+        marked[mine] = False
+        to = rows[bottom * both >= top * (size[i] + size[rows] - both)]
+        if len(to):
+            forest.join(np.full(len(to), i), to)
+    roots = forest.flatten()
+    moved = np.flatnonzero(roots != np.arange(len(roots)))
+    return moved, roots[moved]
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (u, v) between the classes (node, least, body, size) that share a key of members (key, node) and whose shingle sets have a Jaccard similarity of ``ALIKE`` or more, enough for their components.
+
+    The sets are made anew from one text a class, only of classes that are members. Keys with the same classes are
+    settled once; a key of more than ``TOGETHER`` classes, or ``SHINGLES`` of their shingles, is dealt out as pairs of blocks.
+    """
+    members = common.written(members.join(classes.select("node", "size"), "node").select("key", "node", "size"), "members")
+    keys = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("sizes"), F.bit_xor(F.xxhash64("node")).alias("who")).where("rows > 1")
+    keys = keys.groupBy("rows", "sizes", "who").agg(F.min("key").alias("key"))
+    keys = keys.select("key", F.greatest(F.ceil(F.col("rows") / TOGETHER), F.ceil(F.col("sizes") / SHINGLES)).cast("int").alias("blocks"))
+    met = common.written(members.join(keys, "key").select("key", "node", "blocks"), "met")
+    wanted = met.select("node").distinct().join(classes, "node").select("node", "least", F.col("body").alias("of"))
+    texts = common.text_of(docs, docs[id_col].cast("long").alias("doc_id"), _body(docs, text_col), text_col=text_col)
+    texts = texts.join(wanted, (F.col("body") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"]).select("node", "text")
+
+    def shingled(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["node", "shingles"])
+
+    sets = common.written(common.map_rows(texts, shingled, "node long, shingles binary"), "shingles")
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    dealt = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node")
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["key", "low", "high"]
+    grouped = dealt.join(sets, "node").select(*order, "node", "shingles").repartition(parts, *order).sortWithinPartitions(*order, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, held = None, [], []
+
+        def work() -> pa.RecordBatch:
+            u, v = _alike(held) if len(held) > 1 else (np.zeros(0, dtype=np.int64),) * 2
+            at = np.array(nodes, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at[u]), pa.array(at[v])], ["u", "v"])
+
+        for b in batches:
+            for *group, node, shingles in zip(*(b.column(n).to_pylist() for n in order), b.column("node").to_pylist(), b.column("shingles"), strict=True):
+                if group != now:
+                    if nodes:
+                        yield work()
+                    now, nodes, held = group, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(shingles.as_py(), dtype=np.uint64))
+        if nodes:
+            yield work()
+
+    return grouped.mapInArrow(run, "u long, v long")
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, budget: int = 5, segments: int = 6, wide_budget: int = 50, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Groups of similar texts for filtering: ``doc_id`` and ``component_id`` per row of docs.
 
-    Candidates are texts whose fingerprints over single words (with repeats)
-    differ in at most ``budget`` bits, found by the pigeonring; a link also needs
-    256-bit fingerprints over shingles of ``words`` words that differ in at most
-    ``wide_budget`` bits. 50 of 256 is what a Jaccard similarity of 0.8 gives in
-    the mean (38), plus two standard deviations.
+    Texts are linked whose sets of shingles of ``words`` words have a Jaccard
+    similarity of ``ALIKE`` or more, counted exactly. Candidates are texts whose
+    fingerprints over single words (with repeats) differ in at most ``budget``
+    bits, found by the pigeonring, and whose 256-bit fingerprints over shingles
+    differ in at most ``wide_budget`` bits.
     """
-    prints = common.written(fingerprints(docs, 1, words, id_col, text_col), "prints")
-    shape = ["fp", "w0", "w1", "w2", "w3"]
-    classes = common.written(prints.groupBy(*shape).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*shape)), "classes")
-    roots = components(linked(classes.select("node", *shape), budget, segments, wide_budget, block))
-    placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    prints = common.written(_sketches(docs, words, id_col, text_col), "prints")
+    shape = ["fp", *WIDE]
+    classes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least"), "body")).alias("first"), F.first("size").alias("size"), F.min(F.struct(*shape)).alias("shape"))
+    classes = common.written(classes.select("node", "first.least", "first.body", "size", "shape.*"), "classes")
+    pairs = linked(classes.select("node", *shape), budget, segments, wide_budget, block)
+    members = components(pairs).select(F.col("root").alias("key"), "node")  # a link that fails may have stood for others: all of its component meet
+    roots = components(confirmed(docs, classes, members, words, id_col, text_col))
+    placed = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = common.written(placed.join(named, "root").select(*shape, "component_id"), "placed")
-    return prints.join(by_print, shape).select("doc_id", "component_id")
+    by_node = common.written(placed.join(named, "root").select("node", "component_id"), "placed")
+    return prints.join(by_node, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

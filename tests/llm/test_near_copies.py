@@ -92,3 +92,61 @@ def test_one_document_of_each_group_stays(spark, odd):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
     left = simhash.keep_one(odd, simhash.near_duplicate_groups(odd)).select("doc_id").collect()
     assert sorted(str(r[0]) for r in left) == ["1", "3", "6", "8", "9", "None"]
+
+
+def plain_alike(texts, size=5):
+    """id -> smallest id reachable over texts of a Jaccard similarity of 0.8 or more, and that similarity of each pair."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}
+    similar = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in texts for b in texts if a < b}
+    group = {i: i for i in texts}
+    for _ in texts:
+        for (a, b), s in similar.items():
+            if s >= 0.8:
+                group[a] = group[b] = min(group[a], group[b])
+    return group, similar
+
+
+def groups_of(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+
+
+def test_links_are_exactly_alike(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for k in range(20):  # some words replaced: similarities around 0.8
+        w = [f"word{x}" for x in rng.integers(0, 5000, 300)]
+        texts[2 * k], n = " ".join(w), 3 + k % 12
+        for at in np.arange(n) * 20 + 10:
+            w[at] = "other"
+        texts[2 * k + 1] = " ".join(w)
+    want, similar = plain_alike(texts)
+    near = [similar[2 * k, 2 * k + 1] for k in range(20)]
+    assert sum(0.6 < s < 0.8 for s in near) >= 5 and sum(s >= 0.8 for s in near) >= 5
+    got = groups_of(spark, texts)
+    assert all(got[i] in (i, want[i]) for i in texts)
+    # one word that repeats outweighs all else in a fingerprint
+    lines = {k: " ".join(["same"] * 400 + [f"own{k}x{x}" for x in range(150)]) for k in range(4)}
+    assert groups_of(spark, lines) == {k: k for k in range(4)}
+
+
+@pytest.mark.parametrize("together", [4, 512])
+def test_blocks_change_no_group(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = np.random.default_rng(4)
+    base = [f"word{x}" for x in rng.integers(0, 5000, 200)]
+    texts = {}
+    for k in range(30):
+        w = list(base)
+        for at in rng.choice(200, 3 if k % 3 else 6, replace=False):
+            w[at] = f"new{k}"
+        texts[k] = " ".join(w)
+    members = simhash._sketches(docs := spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5, "doc_id", "text")
+    classes = members.selectExpr("node", "doc_id AS least", "body", "size").cache()
+    roots = components.components(simhash.confirmed(docs, classes, classes.selectExpr("7L AS key", "node"), 5))
+    placed = {r["least"]: r["root"] for r in classes.join(roots, "node", "left").collect()}
+    want, _ = plain_alike(texts)
+    assert {frozenset(b for b in texts if placed[b] == placed[a] and (placed[a] is not None or a == b)) for a in texts} == {frozenset(b for b in texts if want[b] == want[a]) for a in texts}
