@@ -150,3 +150,16 @@ def test_blocks_change_no_group(spark, monkeypatch, together):
     placed = {r["least"]: r["root"] for r in classes.join(roots, "node", "left").collect()}
     want, _ = plain_alike(texts)
     assert {frozenset(b for b in texts if placed[b] == placed[a] and (placed[a] is not None or a == b)) for a in texts} == {frozenset(b for b in texts if want[b] == want[a]) for a in texts}
+
+
+def test_cut_and_added_blocks_are_found(spark):
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(30):
+        w = [f"word{x}" for x in rng.integers(0, 5000, 80 + 15 * k)]
+        cut = int(len(w) * (0.83 + 0.03 * (k % 4)))
+        texts[3 * k], texts[3 * k + 1] = " ".join(w), " ".join(w[:cut])
+        texts[3 * k + 2] = " ".join(w + [f"new{x}" for x in rng.integers(0, 5000, len(w) // 8)])
+    want, similar = plain_alike(texts)
+    assert sum(s >= 0.8 for s in similar.values()) >= 60
+    assert groups_of(spark, texts) == want
