@@ -14,8 +14,8 @@ is a forest with the same components, never all pairs of a group.
 
 A null or wordless text has fingerprint 0, linked like any other. Repeated rows
 share a fingerprint. Fewer words than a shingle: the whole word sequence is the
-one shingle. Rows with a null id keep a row; they name their group only if no
-other id does. An empty table gives an empty result; other columns are ignored.
+one shingle. Rows with a null id keep a row in ``near_duplicates``; they name
+their group only if no other id does. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -358,7 +358,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, members: DataFrame, words: in
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, budget: int = 5, segments: int = 6, wide_budget: int = 50, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Groups of similar texts for filtering: ``doc_id`` and ``component_id`` per row of docs.
+    """Groups of similar texts for filtering: ``doc_id``, ``component_id`` and ``component_body`` per row of docs, the last two being the id (nulls last) and text hash of the group's first document.
 
     Texts are linked whose sets of shingles of ``words`` words have a Jaccard
     similarity of ``ALIKE`` or more, counted exactly. Candidates are texts that
@@ -374,15 +374,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, budget: int = 5, segm
     pairs = linked(classes.select("node", *shape), budget, segments, wide_budget, block).distinct()
     members = classes.where("size > 0").select(F.explode("bands").alias("key"), "node").union(pairs.select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("node")))
     roots = components(confirmed(docs, classes, members, words, id_col, text_col))
-    placed = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = common.written(placed.join(named, "root").select("node", "component_id"), "placed")
-    return prints.join(by_node, "node").select("doc_id", "component_id")
+    placed = classes.select("node", "least", "body").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), F.col("least").alias("component_id"), F.col("body").alias("component_body"))).alias("first")).select("root", "first.component_id", "first.component_body")
+    by_node = common.written(placed.join(named, "root").select("node", "component_id", "component_body"), "placed")
+    return prints.join(by_node, "node").select("doc_id", "component_id", "component_body")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the rows of docs whose id names a group, a row and its repetitions once. Rows with a null id stay, as do other texts under a kept id."""
-    names = groups.select("component_id").where("component_id IS NOT NULL").distinct().withColumnRenamed("component_id", id_col)
-    one = docs.join(names, id_col, "left_semi").withColumn("__text", F.xxhash64(text_col))
+    """One document of each group: the rows of docs whose id and text name a group, a row and its repetitions once. A row with a null id stays only where its group has no other id."""
+    names = groups.select("component_id", "component_body").distinct()
+    hashed = docs.withColumn("__text", _body(docs, text_col))
+    one = hashed.join(names, F.col("__text").eqNullSafe(F.col("component_body")) & docs[id_col].cast("long").eqNullSafe(F.col("component_id")), "left_semi")
     order = Window.partitionBy(id_col, "__text").orderBy(F.xxhash64(*[c for c in docs.columns if c != text_col]))
-    return one.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    return one.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*docs.columns)

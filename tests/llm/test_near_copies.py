@@ -163,3 +163,15 @@ def test_cut_and_added_blocks_are_found(spark):
     want, similar = plain_alike(texts)
     assert sum(s >= 0.8 for s in similar.values()) >= 60
     assert groups_of(spark, texts) == want
+
+
+def test_null_ids_are_deduplicated(spark):
+    rng = np.random.default_rng(6)
+    a, b, c, d = ([f"word{x}" for x in rng.integers(0, 5000, 100)] for _ in range(4))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(None, " ".join(a)), (None, " ".join(a)), (None, near(a)), (None, " ".join(b)), (7, near(b)), (8, " ".join(c)), (8, " ".join(d)), (5, near(d)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs, simhash.near_duplicate_groups(docs)).collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [5, 7, 8] and (8, " ".join(c)) in kept
+    alone = [t for i, t in kept if i is None]
+    assert len(alone) == 2 and len([t for t in alone if t in (" ".join(a), near(a))]) == 1
