@@ -37,7 +37,7 @@ from corpusloom.llm.labelled import held_out, training_rows
 
 ROWS, TERMS, THRESHOLD = 8000, 400, 0.5
 STEM, ALL = range(4, 11), ""  # ALL: the term of every text
-BIAS, INSULT, TARGETED, THREATENED, NEGATED, REPORTED = -2.5, 5.0, 0.5, 4.5, 0.65, 0.7
+BIAS, INSULT, TARGETED, THREATENED, NEGATED, REPORTED = -2.5, 5.0, 0.5, 4.5, 0.35, 0.35  # one negated or reported insult or threat stays below THRESHOLD
 #: A matched word of this weight tells by itself; lighter ones must come together. RATE: weight that is expected of a word in a clean text.
 SURE, RATE = 2.75, 0.015
 #: Learning takes the best TAKE stems at a time and goes on with the toxic texts that these don't explain.
@@ -91,8 +91,10 @@ class Machine:
 
     def weigh(self, symbols: list[tuple[int, float]], quoted: bool) -> list[float]:
         """The weights of the clause's insults and threats in their context; empty if it has none."""
-        state, found = [t.start for t in self.parts], []
+        state, found, denied = [t.start for t in self.parts], [], []
         for symbol, weight in symbols:
+            if symbol == THREAT:
+                denied.append(state[1] > 0)
             factor = REPORTED if quoted else 1.0
             for k, t in enumerate(self.parts):
                 state[k], by = t.step(state[k], symbol)
@@ -102,7 +104,7 @@ class Machine:
         if found and state[0]:
             found[0] += TARGETED * self.parts[0].accepting[state[0]]
         if self.parts[3].accepting[state[3]] and not found:
-            found.append(THREATENED * (NEGATED if state[1] else 1.0) * (REPORTED if quoted or state[2] else 1.0))
+            found.append(THREATENED * (NEGATED if all(denied) or state[1] == 3 else 1.0) * (REPORTED if quoted or state[2] else 1.0))
         return found
 
 

@@ -118,3 +118,11 @@ def test_rules_are_filed_under_their_rarest_token():
     index = url_rules.Index([url_rules.host_rule("block", "example.org/es/")], {"example": 90, "org": 50, "es": 3})
     assert list(index.filed) == ["es"]
     assert index.candidates("x.example.org", "/en/") == [] and index.judge("x.example.org", "/es/1") == ("example.org/es/", "block")
+
+
+def test_one_negated_or_reported_clause_is_clean():
+    g = toxicity.Grammar({"zorble": toxicity.INSULT})
+    for text in ("He is not an idiot.", "You are not an idiot.", 'He said "idiot" once.', "She called him a moron.", "You are no zorbles.", "I will not kill you.", "I would never hurt him in the house.", 'It reads "I will kill you" there.', "Ich töte dich nicht."):
+        assert g.score(text) < 0.5, text
+    for text in ("He is an idiot.", "I will kill you.", "I will kill you, not her.", "I will not hurt her, I will kill you.", "He said idiot. You moron."):
+        assert g.score(text) > 0.5, text
