@@ -41,8 +41,8 @@ BIAS, INSULT, TARGETED, THREATENED, NEGATED, REPORTED = -2.5, 5.0, 0.5, 4.5, 0.3
 #: A matched word of this weight tells by itself; lighter ones must come together. RATE: weight that is expected of a word in a clean text.
 SURE, RATE = 2.75, 0.015
 #: Learning takes the best TAKE stems at a time and goes on with the toxic texts that these don't explain.
-ROUNDS, TAKE = 24, 4
-#: It stops when no more than this share of the toxic texts is left: what a few near copies share is no stem.
+TAKE = 4
+#: It stops at TERMS, when no stem is far above chance, or when no more than this share of the toxic texts is left: what a few near copies share is no stem.
 LEFT = 0.01
 
 #: Words of the grammar, in English, French, German and Spanish.
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     toxic, clean = bad.count(), good.count()
     usual = common.written(count(good, None, "clean"), "clean-terms")
     learned: dict[str, float] = {}
-    for _ in range(ROUNDS):
+    while len(learned) < TERMS:
         rest = count(bad, Grammar(learned, base=False), "toxic").where((F.col("toxic") >= 3) | (F.col("term") == ALL))
         counts = rest.join(usual, "term", "left").select("term", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
         best = counts.where((F.col("toxic") > 2 * F.col("clean")) | (F.col("term") == ALL)).orderBy(F.desc(F.col("term") == ALL), F.desc("toxic"), "clean", "term").limit(5000).collect()
@@ -232,9 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
             break
         best = [r for r in best if r["term"] != ALL]
         new = learn([(r["term"], r["toxic"], r["clean"]) for r in best], toxic, clean, toxic, max(20_000, len(best)), learned)
-        if not new or len(learned) + len(new) > TERMS:
+        if not new:
             break
-        learned |= new
+        learned |= dict(list(new.items())[: TERMS - len(learned)])
     return Grammar(learned)
 
 

@@ -126,3 +126,18 @@ def test_one_negated_or_reported_clause_is_clean():
         assert g.score(text) < 0.5, text
     for text in ("He is an idiot.", "I will kill you.", "I will kill you, not her.", "I will not hurt her, I will kill you.", "He said idiot. You moron."):
         assert g.score(text) > 0.5, text
+
+
+def test_only_terms_bounds_the_learned_stems(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TAKE", 1)
+    rng = np.random.default_rng(9)
+    stems = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(27)]
+    words = ["stone", "river", "cloud", "garden", "window", "paper", "music", "winter"]
+    toxic = [f"{s} {' '.join(rng.choice(words, 12))} {s} x{''.join(rng.choice(list('aeiou'), 8))}" for s in stems for _ in range(26)]
+    clean = [" ".join([*rng.choice(words, 14), "".join(rng.choice(list("aeiou"), 8))]) for _ in range(3 * len(toxic))]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(toxic + clean))], "doc_id long, toxic int")
+    grammar = toxicity.fit(docs, labels)
+    assert all(any(s.startswith(t.rstrip("$")) for t in grammar.learned) for s in stems)
+    monkeypatch.setattr(toxicity, "TERMS", 3)
+    assert len(toxicity.fit(docs, labels).learned) == 3
