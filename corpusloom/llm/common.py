@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in local mode only, one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if sc_dir.isDefined():
             return sc_dir.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -43,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made and nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df computed now and stored on the executors' disks for several uses, which so never compute it side by side; a lost executor's part is computed anew from its lineage."""
     stored = df.persist(StorageLevel.DISK_ONLY)
@@ -56,6 +70,65 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: A key is hot if more than one in HOT of a table's rows have it (and HOT_ROWS at least), so there are fewer than HOT hot keys at any size.
+HOT, HOT_ROWS = 4096, 256
+
+
+def hot_bound(total: int) -> int:
+    return max(HOT_ROWS, total // HOT)
+
+
+def hot_keys(counted: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame | None:
+    """The hot keys of a table of keys and their numbers of ``rows``, ``total`` in all, as a local table of fewer than HOT rows; None if there are none."""
+    found = counted.where(F.col(rows) > hot_bound(total)).select(*keys).collect()
+    return counted.sparkSession.createDataFrame(found, counted.select(*keys).schema) if found else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join with a right side of one row a key: rows of hot keys stay where they are and meet a broadcast of fewer than HOT rows, the others are shuffled. left should be stored, since it is read twice."""
+    if hot is None:
+        return left.join(right, keys)
+    few = right.join(F.broadcast(hot), keys, "left_semi")
+    return left.join(F.broadcast(hot), keys, "left_anti").join(right, keys).union(left.join(F.broadcast(few), keys))
+
+
+#: Bits of a bitmap: 8 MiB at any size of the input; overfull, it only lets more rows through.
+MAP_BITS = 26
+
+
+def slots(*columns: np.ndarray) -> np.ndarray:
+    """Slots of the bitmap for rows of 64-bit columns."""
+    h = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c in columns:
+        h = mixed(h ^ np.ascontiguousarray(c).view(np.uint64))
+    return (h >> U(64 - MAP_BITS)).astype(np.int64)
+
+
+def slot(*columns: Column) -> Column:
+    """A slot of the bitmap, on the JVM (not the same as slots())."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << MAP_BITS)).cast("int")
+
+
+def bitmap(tags: DataFrame) -> Broadcast:
+    """A broadcast bitmap of the slots in column ``tag``; at most 2 ** (MAP_BITS - 6) rows of 16 bytes reach the driver."""
+    words = tags.select(F.shiftright("tag", 6).alias("word"), F.expr("shiftleft(1L, tag & 63)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return tags.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(bits: Broadcast, tag: Column) -> Column:
+    """Whether a slot is set."""
+
+    @F.pandas_udf("boolean")
+    def test(tags: pd.Series) -> pd.Series:
+        t = tags.to_numpy()
+        return pd.Series((bits.value[t >> 6] >> (t & 63) & 1).astype(bool))
+
+    return test(tag)
+
+
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for a function from batch to batch."""
 
@@ -68,6 +141,11 @@ def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever letters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_of(docs: DataFrame, *columns, text_col: str = "text") -> DataFrame:
     """Only the wanted columns and the text, so that the scan reads nothing else and no extra column can clash."""
     return docs.select(*columns, F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
@@ -129,7 +207,7 @@ class Rolling:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_PIECE = 1 << 20
+_PIECE, _LONG_WORD = 1 << 20, 256
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -142,6 +220,10 @@ def word_hashes(data: bytes) -> np.ndarray:
         raw = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
         inside = np.concatenate(([False], ~_SPACE[raw], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        out.append(Rolling(raw.astype(np.uint64) + U(1)).slices(edges[::2], edges[1::2]))
+        first, last = edges[::2], edges[1::2]
+        hashes = Rolling(raw.astype(np.uint64) + U(1)).slices(first, last)
+        for k in np.flatnonzero(last - first > _LONG_WORD).tolist():  # a polynomial modulo 2 ** 64 can be made to collide over a thousand bytes
+            hashes[k] = xxhash.xxh64_intdigest(raw[first[k] : last[k]].tobytes(), 9)
+        out.append(hashes)
         at = end
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)

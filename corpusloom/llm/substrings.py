@@ -16,13 +16,18 @@ covers. Occurrences meet on their anchor, and matches extend from it both ways:
   document's context is covered.
 
 Overlapping covered windows merge into maximal repeats. Members of a group meet
-in aggregates on 64-bit hash pairs, never pair by pair, so thousands of copies
-cost thousands of rows. A window counts as covered only by a strictly smaller
-document id, judged on the input. Repeats inside one document stay.
+in aggregates and joins on pairs of 64-bit hashes (anchor and context, anchor and
+window), never pair by pair, so thousands of copies cost thousands of rows. Keys
+that more than one in ``common.HOT`` rows share, a line of every document say, are
+joined from a bounded broadcast, so no task gathers them. A window counts as
+covered only by a strictly smaller document id, judged on the input. Repeats
+inside one document stay.
 
 Null text has no words. Null ids count as larger than any other and as equal to
 one another. Repeated rows with one id never cover each other. Texts shorter
-than ``length`` words stay as they are. Other columns are ignored.
+than ``length`` words stay as they are. Long texts are read whole; memory is
+bounded by a batch of documents and the longest text. Other columns, whatever
+their names, are kept or ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +43,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 LENGTH, SEED = 50, 20
-#: The branching contexts are looked up in a bitmap of fixed size (8 MiB); overfull, it only lets more windows through.
-MAP_BITS = 26
+#: Occurrences in one bundle, and windows in one batch, at most: both bound the bytes that a task holds at once.
+BUNDLE, WINDOWS = 64, 1 << 17
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
@@ -77,23 +82,17 @@ class Runs:
         context = Rolling.slices(self.first, self.last + length)
         self.context = common.mixed(context + (where - self.first).astype(np.uint64)).view(np.int64)
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the chosen runs: each window's start, and its hash together with its anchor's."""
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chosen runs: each window's start, its anchor and its hash."""
         size = (self.last - self.first + 1)[chosen]
         start = np.repeat(self.first[chosen] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        h = self.rolling.slices(start, start + self.length)
-        return start, common.mixed(h ^ np.repeat(self.anchor[chosen], size).view(np.uint64) * common.U(0x9FB21C651E98DF25)).view(np.int64)
+        return start, np.repeat(self.anchor[chosen], size), self.rolling.slices(start, start + self.length).view(np.int64)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id with null as the largest, a hash of the text (rows that repeat an id stay apart), the text."""
-    return common.text_of(docs, F.coalesce(docs[id_col].cast("long"), F.lit(common.MAX_ID)).alias("id"), text_col=text_col).select("id", F.xxhash64("text").alias("body"), "text")
-
-
-def _tags(anchor: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Slots of the bitmap."""
-    h = common.mixed(anchor.view(np.uint64) ^ common.mixed(context.view(np.uint64) ^ common.mixed(ids.view(np.uint64))))
-    return (h >> common.U(64 - MAP_BITS)).astype(np.int64)
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *columns) -> DataFrame:
+    """id with null as the largest, a hash of the text (rows that repeat an id stay apart), the text, and what else is wanted."""
+    kept = common.text_of(docs, *columns, F.coalesce(docs[id_col].cast("long"), F.lit(common.MAX_ID)).alias("id"), text_col=text_col)
+    return kept.select("id", F.xxhash64("text").alias("body"), "text", *kept.columns[: len(columns)])
 
 
 #: One occurrence inside a bundle.
@@ -101,11 +100,10 @@ _MEMBER = np.dtype([("id", "<i8"), ("body", "<i8"), ("first", "<i4"), ("last", "
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Anchor occurrences, those of equal (anchor, context) in a batch of documents bundled in one row.
+    """Anchor occurrences, those of equal (anchor, context) in a batch of documents bundled in rows of up to ``BUNDLE``.
 
     anchor, context, least and most id, the bitmap slot ``tag`` of the least, ``batch``, which names the batch of
-    documents, and ``members``, the occurrences packed as _MEMBER. Copies and common passages so leave each task as one
-    row a batch, not one a document.
+    documents, and ``members``, the occurrences packed as _MEMBER.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -119,31 +117,24 @@ def occurrences(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col:
         order = np.lexsort((members["id"], context, anchor))
         anchor, context, members = anchor[order], context[order], members[order]
         starts = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])))) if len(anchor) else np.zeros(0, dtype=np.int64)
+        within = np.arange(len(anchor)) - np.repeat(starts, np.diff(np.append(starts, len(anchor))))
+        starts = np.flatnonzero(within % BUNDLE == 0)
         ends = np.append(starts[1:], len(anchor))
         anchor, context, least, most = anchor[starts], context[starts], members["id"][starts], members["id"][ends - 1] if len(starts) else members["id"]
         packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(members)) * _MEMBER.itemsize).astype(np.int32)), pa.py_buffer(members.tobytes())])
         batch = np.full(len(starts), ids[0] ^ body[0] if len(ids) else 0)
-        columns = [pa.array(c) for c in (anchor, context, np.ascontiguousarray(least), np.ascontiguousarray(most), _tags(anchor, context, np.ascontiguousarray(least)).astype(np.int32), batch)]
+        columns = [pa.array(c) for c in (anchor, context, np.ascontiguousarray(least), np.ascontiguousarray(most), common.slots(anchor, context, least).astype(np.int32), batch)]
         return pa.RecordBatch.from_arrays([*columns, packed], ["anchor", "context", "least", "most", "tag", "batch", "members"])
 
     return common.map_rows(_keyed(docs, id_col, text_col), run, "anchor long, context long, least long, most long, tag int, batch long, members binary")
 
 
-def _bitmap(tags: DataFrame, spark: SparkSession) -> np.ndarray:
-    """The set bits of a bitmap of 2 ** MAP_BITS; at most 2 ** (MAP_BITS - 6) rows reach the driver."""
-    words = tags.select(F.shiftright("tag", 6).alias("word"), F.expr("shiftleft(1L, tag & 63)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    got = words.toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeats per document: id, body, spans array<struct<start, end>> in words, sorted and disjoint; only documents that have one."""
-    spark = docs.sparkSession
     seen = common.kept(occurrences(docs, length, seed, id_col, text_col))
-    contexts = common.kept(seen.groupBy("anchor", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("tag", "least").alias("tag")))
+    contexts = common.kept(seen.groupBy("anchor", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("tag", "least").alias("tag"), F.count("*").alias("bundles")))
     copied = contexts.where("least < most").select("anchor", "context", F.col("least").alias("first_id"))
+    hot = common.hot_keys(contexts.where("least < most"), ["anchor", "context"], "bundles", seen.count())
 
     def cover(b: pa.RecordBatch) -> pa.RecordBatch:
         packed = b.column("members").to_pylist()
@@ -161,32 +152,33 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
         return pa.RecordBatch.from_arrays([pa.array(ids[first][heads]), pa.array(body[first][heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(first)).astype(np.int32)), spans)], ["id", "body", "spans"])
 
     # Bundles of later documents go back together by batch, so a document's contexts merge before they are grouped.
-    later = seen.select("anchor", "context", "most", "batch", "members").join(copied, ["anchor", "context"]).where("most > first_id").select("batch", "first_id", "members")
-    opened = common.map_rows(later.repartition("batch").sortWithinPartitions("batch"), cover, "id long, body long, spans array<struct<start:int,end:int>>")
-    whole = common.written(opened.groupBy("id", "body").agg(F.flatten(F.collect_list("spans")).alias("spans")), "whole")
+    later = common.spread_join(seen.select("anchor", "context", "most", "batch", "members"), copied, ["anchor", "context"], hot).where("most > first_id").select("batch", "first_id", "members")
+    whole = common.map_rows(later.repartition("batch").sortWithinPartitions("batch"), cover, "id long, body long, spans array<struct<start:int,end:int>>")
     branching = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    bits = spark.sparkContext.broadcast(_bitmap(contexts.join(branching, "anchor", "left_semi").select("tag"), spark))
-    contexts.unpersist()
-    seen.unpersist()
-    common.release(spark)
-
-    def extend(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, body, out = b.column("id").to_numpy(), b.column("body").to_numpy(), []
-        for k, t in enumerate(b.column("text")):
-            runs = Runs(common.word_hashes(t.as_py().encode()), length, seed)
-            tag = _tags(runs.anchor, runs.context, np.full(len(runs.first), ids[k]))
-            chosen = np.flatnonzero(bits.value[tag >> 6] >> (tag & 63) & 1)
-            if len(chosen):
-                start, window = runs.windows(chosen)
-                out.append((np.full(len(start), ids[k]), np.full(len(start), body[k]), start.astype(np.int32), window))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "body", "start", "window"])
-
-    steps = common.kept(common.map_rows(_keyed(docs, id_col, text_col), extend, "id long, body long, start int, window long"))
-    shared = steps.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
-    partly = (
-        steps.join(shared, "window").where("id > least").groupBy("id", "body").agg(F.collect_list(F.struct("start", (F.col("start") + length).cast("int").alias("end"))).alias("spans"))
-    )
+    bits = common.bitmap(contexts.join(branching, "anchor", "left_semi").select("tag"))
+
+    def extend(batches):
+        held, rows = [], 0
+        for b in batches:
+            for i, body, t in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), b.column("text"), strict=True):
+                runs = Runs(common.word_hashes(t.as_py().encode()), length, seed)
+                tag = common.slots(runs.anchor, runs.context, np.full(len(runs.first), i))
+                chosen = np.flatnonzero(bits.value[tag >> 6] >> (tag & 63) & 1)
+                for at in range(0, len(chosen), WINDOWS // length):
+                    start, anchor, window = runs.windows(chosen[at : at + WINDOWS // length])
+                    held.append((np.full(len(start), i), np.full(len(start), body), start.astype(np.int32), anchor, window))
+                    rows += len(start)
+                    if rows >= WINDOWS:
+                        yield _table(held)
+                        held, rows = [], 0
+        if held:
+            yield _table(held)
+
+    steps = common.kept(_keyed(docs, id_col, text_col).mapInArrow(extend, "id long, body long, start int, anchor long, window long"))
+    met = steps.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("rows")).where("least < most")
+    hot = common.hot_keys(met, ["anchor", "window"], "rows", steps.count())
+    partly = common.spread_join(steps, met.select("anchor", "window", "least"), ["anchor", "window"], hot).where("id > least")
+    partly = partly.groupBy("id", "body").agg(F.collect_list(F.struct("start", (F.col("start") + length).cast("int").alias("end"))).alias("spans"))
     both = whole.union(partly).groupBy("id", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def merge(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -197,7 +189,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), pa.array(out, kind)], ["id", "body", "spans"])
 
-    return common.map_rows(both, merge, "id long, body long, spans array<struct<start:int,end:int>>")
+    found = common.written(common.map_rows(both, merge, "id long, body long, spans array<struct<start:int,end:int>>"), "spans")
+    for table in (seen, contexts, steps):
+        table.unpersist()
+    common.release(docs.sparkSession)
+    return found
+
+
+def _table(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["id", "body", "start", "anchor", "window"])
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> list[dict]:
@@ -209,9 +209,11 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[dict]:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, *columns) -> DataFrame:
-    keyed = docs.select(*columns, F.coalesce(docs[id_col].cast("long"), F.lit(common.MAX_ID)).alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text")).withColumn("__body", F.xxhash64("__text"))
-    right = spans.select(F.col("id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans"))
-    return keyed.join(right, ["__id", "__body"], "left")
+    """id, body, text, the wanted columns as one struct ``row`` and the row's spans or null. Rows that a bitmap of (id, body) shows to have none aren't shuffled."""
+    bits = common.bitmap(spans.select(common.slot("id", "body").alias("tag")))
+    keyed = _keyed(docs, id_col, text_col, F.struct(*columns).alias("row")).withColumn("maybe", common.in_bitmap(bits, common.slot("id", "body")))
+    plain = keyed.where(~F.col("maybe")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return plain.drop("maybe").unionByName(keyed.where("maybe").drop("maybe").join(spans, ["id", "body"], "left"))
 
 
 def _spans(value: pa.Scalar) -> list[tuple[int, int]]:
@@ -220,11 +222,11 @@ def _spans(value: pa.Scalar) -> list[tuple[int, int]]:
 
 def removed_digests(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: ``doc_id``, n_words, n_removed and the digest of the kept words joined by one space."""
-    joined = _with_spans(docs, repeats(docs, length, seed, id_col, text_col), id_col, text_col, docs[id_col].alias("doc_id")).select("doc_id", "__text", "__spans")
+    joined = _with_spans(docs, repeats(docs, length, seed, id_col, text_col), id_col, text_col, docs[id_col].alias("doc_id")).select("row.doc_id", "text", "spans")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, gone, sha = [], [], []
-        for t, s in zip(b.column("__text"), b.column("__spans"), strict=True):
+        for t, s in zip(b.column("text"), b.column("spans"), strict=True):
             words = t.as_py().encode().split()
             kept, at, lost = [], 0, 0
             for start, end in _spans(s):
@@ -250,12 +252,15 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, every row and column, with repeated passages cut out of the text."""
-    joined = _with_spans(docs, repeats(docs, length, seed, id_col, text_col), id_col, text_col, *docs.columns)
+    rest = [docs[common.quoted(c)].alias(c) for c in docs.columns if c != text_col]
+    joined = _with_spans(docs, repeats(docs, length, seed, id_col, text_col), id_col, text_col, docs[text_col].isNull().alias("none"), F.struct(*rest).alias("rest"))
 
     @F.pandas_udf("string")
     def shortened(texts, spans):
         return texts.combine(spans, lambda t, s: None if t is None else cut(t, [(x["start"], x["end"]) for x in s]))
 
     # A null in place of the text of every row without a repeat: those don't travel to Python.
-    changed = shortened(F.when(F.col("__spans").isNotNull(), F.col("__text")), "__spans")
-    return joined.withColumn("__new", changed).withColumn(text_col, F.coalesce("__new", F.col(text_col))).select(*docs.columns)
+    changed = shortened(F.when(F.col("spans").isNotNull(), F.col("text")), "spans")
+    kind = docs.schema[text_col].dataType
+    whole = F.when(~F.col("row.none"), F.coalesce("changed", F.col("text"))).cast(kind)
+    return joined.withColumn("changed", changed).select(*(whole.alias(c) if c == text_col else F.col("row").getField("rest").getField(c).alias(c) for c in docs.columns))

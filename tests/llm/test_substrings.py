@@ -52,12 +52,43 @@ def test_equal_to_brute_force(spark):
         assert got == plain(rows, 12)
 
 
-def test_odd_rows(odd, none, nothing):
+def test_hot_keys_bundles_and_batches(spark, monkeypatch):
+    """One line in every document and one passage in changing surroundings: hot keys, many bundles and batches, the same result."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT", 1000)
+    monkeypatch.setattr(substrings, "BUNDLE", 4)
+    monkeypatch.setattr(substrings, "WINDOWS", 150)
+    line, passage = " ".join(f"l{k}" for k in range(70)), " ".join(f"p{k}" for k in range(50))
+    rows = [(i, f"a{i} {line} b{i} c{i} {passage} d{i} " + "e " * (i % 90)) for i in range(600)] + [(i, line) for i in range(600, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = []
+    kept = common.spread_join
+    monkeypatch.setattr(common, "spread_join", lambda *a: asked.append(a[3] is not None) or kept(*a))
+    assert sorted(tuple(r) for r in substrings.removed_digests(docs).collect()) == plain(rows, 50)
+    assert asked == [True, True]
+
+
+def test_long_words_do_not_collide():
+    """Words that a polynomial hash modulo 2 ** 64 can't tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << 12)]
+    one, other = bytes(97 + b for b in bits), bytes(98 - b for b in bits)
+    a, b = common.word_hashes(one + b" " + other).tolist()
+    assert a != b
+
+
+def test_odd_rows(spark, odd, none, nothing):
     assert substrings.removed_digests(odd).count() == odd.count()
     assert substrings.removed_digests(none).count() == 0
     assert tuple(substrings.removed_digests(nothing).first()) == (None, 0, 0, hashlib.sha256(b"").hexdigest())
     cut = substrings.without_repeats(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()
+    passage = " ".join(f"p{k}" for k in range(60))
+    names = ["__id", "__text", "__body", "__spans", "row", "rest", "id", "body", "spans", "maybe", "changed", "none", "a.b"]
+    docs = spark.createDataFrame([(1, passage, *names), (2, f"x {passage} y", *names), (3, None, *names), (2, f"x {passage} y", *names)], ["doc_id", "text", *names])
+    got = substrings.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, passage, *names), (2, "x y", *names), (3, None, *names), (2, "x y", *names)], key=str)
+    assert substrings.without_repeats(none).count() == 0
 
 
 def test_texts_are_cut_in_place(spark):
