@@ -57,11 +57,10 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed now and stored on the executors' disks for several uses, which so never compute it side by side; a lost executor's part is computed anew from its lineage."""
+def kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """df and its number of rows, computed now and stored on the executors' disks for several uses, which so never compute it side by side; a lost executor's part is computed anew from its lineage."""
     stored = df.persist(StorageLevel.DISK_ONLY)
-    stored.count()
-    return stored
+    return stored, stored.count()
 
 
 def release(spark: SparkSession) -> None:

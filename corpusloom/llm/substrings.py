@@ -131,10 +131,10 @@ def occurrences(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col:
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeats per document: id, body, spans array<struct<start, end>> in words, sorted and disjoint; only documents that have one."""
-    seen = common.kept(occurrences(docs, length, seed, id_col, text_col))
-    contexts = common.kept(seen.groupBy("anchor", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("tag", "least").alias("tag"), F.count("*").alias("bundles")))
+    seen, bundles = common.kept(occurrences(docs, length, seed, id_col, text_col))
+    contexts, _ = common.kept(seen.groupBy("anchor", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("tag", "least").alias("tag"), F.count("*").alias("bundles")))
     copied = contexts.where("least < most").select("anchor", "context", F.col("least").alias("first_id"))
-    hot = common.hot_keys(contexts.where("least < most"), ["anchor", "context"], "bundles", seen.count())
+    hot = common.hot_keys(contexts.where("least < most"), ["anchor", "context"], "bundles", bundles)
 
     def cover(b: pa.RecordBatch) -> pa.RecordBatch:
         packed = b.column("members").to_pylist()
@@ -153,9 +153,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
 
     # Bundles of later documents go back together by batch, so a document's contexts merge before they are grouped.
     later = common.spread_join(seen.select("anchor", "context", "most", "batch", "members"), copied, ["anchor", "context"], hot).where("most > first_id").select("batch", "first_id", "members")
-    whole = common.map_rows(later.repartition("batch").sortWithinPartitions("batch"), cover, "id long, body long, spans array<struct<start:int,end:int>>")
+    whole, _ = common.kept(common.map_rows(later.repartition("batch").sortWithinPartitions("batch"), cover, "id long, body long, spans array<struct<start:int,end:int>>"))
     branching = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     bits = common.bitmap(contexts.join(branching, "anchor", "left_semi").select("tag"))
+    _dropped(docs, seen, contexts)
 
     def extend(batches):
         held, rows = [], 0
@@ -174,9 +175,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
         if held:
             yield _table(held)
 
-    steps = common.kept(_keyed(docs, id_col, text_col).mapInArrow(extend, "id long, body long, start int, anchor long, window long"))
-    met = steps.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("rows")).where("least < most")
-    hot = common.hot_keys(met, ["anchor", "window"], "rows", steps.count())
+    steps, windows = common.kept(_keyed(docs, id_col, text_col).mapInArrow(extend, "id long, body long, start int, anchor long, window long"))
+    met, _ = common.kept(steps.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("rows")).where("least < most"))
+    hot = common.hot_keys(met, ["anchor", "window"], "rows", windows)
     partly = common.spread_join(steps, met.select("anchor", "window", "least"), ["anchor", "window"], hot).where("id > least")
     partly = partly.groupBy("id", "body").agg(F.collect_list(F.struct("start", (F.col("start") + length).cast("int").alias("end"))).alias("spans"))
     both = whole.union(partly).groupBy("id", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -190,10 +191,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
         return pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), pa.array(out, kind)], ["id", "body", "spans"])
 
     found = common.written(common.map_rows(both, merge, "id long, body long, spans array<struct<start:int,end:int>>"), "spans")
-    for table in (seen, contexts, steps):
+    _dropped(docs, whole, steps, met)
+    return found
+
+
+def _dropped(docs: DataFrame, *stored: DataFrame) -> None:
+    for table in stored:
         table.unpersist()
     common.release(docs.sparkSession)
-    return found
 
 
 def _table(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
