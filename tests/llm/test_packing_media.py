@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,23 +71,76 @@ def test_cuts_are_the_cheapest(steps):
     assert cost == best[-1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=3000), st.sampled_from([2, 4, 8]))
-def test_lzw_round_trip(data, bits):
-    samples = bytes(b & ((1 << bits) - 1) for b in data)
-    assert gif.lzw_decode(gif.lzw_encode(samples, bits), bits, len(samples)).tobytes() == samples
+def plain_lzw(data, bits):
+    """A decoder that reads one code after the other."""
+    clear, stop = 1 << bits, (1 << bits) + 1
+    n, have, out, table, width, last = 0, 0, b"", [], bits + 1, None
+    for byte in data:
+        n, have = n | byte << have, have + 8
+        while have >= width:
+            code, n, have = n & ((1 << width) - 1), n >> width, have - width
+            if code == clear:
+                table, width, last = [bytes([k]) for k in range(clear)] + [None, None], bits + 1, None
+            elif code == stop:
+                return out
+            else:
+                entry = table[code] if code < len(table) else last + last[:1]
+                out += entry
+                if last is not None and len(table) < 4096:
+                    table.append(last + entry[:1])
+                    if len(table) == 1 << width and width < 12:
+                        width += 1
+                last = entry
+    return out
+
+
+def plain_frames(data):
+    """(index, shown pixels) of every frame of a GIF as encode_payload() writes it, pixel by pixel."""
+    width, height = data[6] | data[7] << 8, data[8] | data[9] << 8
+    palette, at = [tuple(data[13 + 3 * k : 16 + 3 * k]) for k in range(256)], 13 + 768
+    canvas, shown = [[None] * width for _ in range(height)], []
+    while data[at] != 0x3B:
+        assert data[at : at + 3] == b"\x21\xf9\x04"
+        flags, clear = data[at + 3], data[at + 6]
+        at += 8
+        w, h, size = data[at + 5] | data[at + 6] << 8, data[at + 7] | data[at + 8] << 8, data[at + 10]
+        at, stream = at + 11, b""
+        while data[at]:
+            stream, at = stream + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        pixels = plain_lzw(stream, size)
+        assert len(pixels) == w * h
+        for y in range(h):
+            for x in range(w):
+                if not (flags & 1 and pixels[y * w + x] == clear):
+                    canvas[y][x] = palette[pixels[y * w + x]]
+        shown.append([list(row) for row in canvas[:h]])
+        if flags >> 2 & 7 == 2:
+            canvas = [[None] * width for _ in range(height)]
+    return shown
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.binary(min_size=1, max_size=2000))
-def test_literal_streams_are_ordinary_lzw(data):
-    stream = gif.lzw_literals(np.frombuffer(data, np.uint8))
-    assert gif._literals(stream).tobytes() == data
-    quick, gif._literals = gif._literals, lambda d: None
-    try:
-        assert gif.lzw_decode(stream, 8, len(data)).tobytes() == data
-    finally:
-        gif._literals = quick
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000), st.integers(2, 8), st.integers(1, 9))
+def test_lzw_round_trip(data, bits, times):
+    samples = bytes(b & ((1 << bits) - 1) for b in data * times)
+    stream = gif.lzw_encode(samples, bits)
+    assert plain_lzw(stream, bits) == samples
+    assert gif.lzw_decode(stream, bits, len(samples)).tobytes() == samples
+
+
+def test_lzw_dictionaries_fill_and_stay():
+    rng = np.random.default_rng(2)
+    samples = rng.integers(0, 256, 60_000, dtype=np.uint8).tobytes()  # several resets
+    stream = gif.lzw_encode(samples, 8)
+    assert plain_lzw(stream, 8) == samples and gif.lzw_decode(stream, 8, len(samples)).tobytes() == samples
+    codes = [256, *rng.integers(0, 256, 9000).tolist(), 257]  # a writer that never resets a full dictionary
+    widths = [9, *np.append(gif._widths(4096, 8), [12] * 9000)[:9001].tolist()]
+    odd = gif._packed(np.array(codes), np.array(widths))
+    assert plain_lzw(odd, 8) == bytes(codes[1:-1]) == gif.lzw_decode(odd, 8, 9000).tobytes()
+    for broken in (b"", stream[:-900], gif._packed(np.array([256, 300]), np.array([9, 9]))):
+        with pytest.raises(ValueError):
+            gif.lzw_decode(broken, 8, len(samples))
 
 
 def test_payload_round_trip(spark, odd, none, nothing):
@@ -101,10 +155,32 @@ def test_payload_round_trip(spark, odd, none, nothing):
         assert r["media_sha256"] == hashlib.sha256(gif.encode_payload(payload)).hexdigest()
     assert gif.round_trip(none).count() == 0
     assert gif.round_trip(nothing).first()["payload_bytes"] == 64
-    big = gif.encode_payload(bytes(range(256)) * 1000)
-    assert len(gif.decode(big).frames) == 4 and gif.payload_of(big)[0] == bytes(range(256)) * 1000
+    text = bytes(range(256)) * 1000
+    big = gif.encode_payload(text)
+    assert len(gif.decode(big).frames) == 4 and gif.payload_of(big)[0] == text
     shown = gif.frames(gif.media(odd)).collect()
     assert len(shown) >= odd.count() and all(len(r["canvas"]) == 4 * 64 * r["height"] or r["frame"] for r in shown)
+    assert gif.frames(gif.media(none)).count() == 0
+
+
+def test_every_stored_form_of_the_query(spark, odd):
+    """What the query reports, from the stored bytes by a plain decoder."""
+    texts = [r["text"] or "" for r in odd.select("text").collect()] + [("\0ab" * 9 + "é") * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in gif.round_trip(docs).collect()}
+    for r in gif.media(docs).collect():
+        shown = plain_frames(bytes(r["gif"]))
+        back = bytes(p[0] if p else 0 for f in shown for row in f for p in row)
+        assert back == gif.padded(texts[r["doc_id"]])[0]
+        seen = Counter(sum(c >> 6 << s for c, s in zip(p, (4, 2, 0), strict=True)) for f in shown for row in f for p in row if p)
+        assert got[r["doc_id"]]["feature"] == f"frames={len(shown)};cs={10 * len(shown)};colours=" + ",".join(f"{k}:{n}" for k, n in sorted(seen.items()))
+
+
+def test_broken_gifs_are_reported(spark):
+    whole = gif.encode_payload(bytes(64 * 1500))
+    rows = [(1, whole), (2, whole[:-200]), (3, b"PNG"), (4, None), (5, whole[:20])]
+    got = [(r["id"], r["frame"], r["error"] is None) for r in gif.frames(spark.createDataFrame(rows, "doc_id long, gif binary")).orderBy("id", "frame").collect()]
+    assert got == [(1, 0, True), (1, 1, True), (2, 0, True), (2, 1, False), (3, 0, False), (5, 0, False)]
 
 
 def image(indices, left=0, top=0, width=4, bits=2, interlace=False):
