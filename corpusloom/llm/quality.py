@@ -1,20 +1,23 @@
 """Supervised subword embeddings for document quality.
 
 Every word and every character n-gram (2 to 4 letters of a word between its
-boundary marks) is hashed to one of ``BUCKETS`` learned vectors; a document is
-the mean of the vectors of all its features, and a softmax over two classes
-scores it. numpy stochastic gradient descent (AdaGrad steps) learns vectors and
-output weights from a bounded number of labelled rows, ``ROWS``. A word that
-repeats the one before it has, instead of its own, ``REPEATED`` times the
-feature of such a pair.
+boundary marks) is hashed to one of ``BUCKETS`` learned vectors; a word that
+repeats the one before it adds, beside its own, ``REPEATED`` times the feature
+"a word twice". A document is the mean of the vectors of all its features, and a
+softmax over two classes scores it. numpy stochastic gradient descent (AdaGrad
+steps) learns vectors and output weights from a bounded number of labelled rows,
+``ROWS``.
 
 The mean and the output layer are linear, so for scoring each bucket's vector is
 folded into the amount it adds to the log odds; scores are those of the model.
 
 Null and empty texts have no feature and get the score of the output bias. All
-of a text counts, in pieces of a million letters cut at white space. Repeated
-rows score alike. Without labels of both classes every score is the share of
-label 1 among the rows (0.5 without any).
+of a text counts, in pieces of a million letters cut at white space, which change
+no feature; memory is bounded by a piece and the longest word. Repeated rows
+score alike, and among training rows with one id the smaller label counts. A
+score of exactly the threshold predicts 1. Without labels of both classes every
+score is the share of label 1 among the rows (0.5 without any). An empty table
+gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -34,18 +37,24 @@ _PIECE = 1 << 20
 
 
 def features(text: str) -> np.ndarray:
-    """The bucket of every word and n-gram occurrence."""
-    out, at = [], 0
+    """The bucket of every word and n-gram occurrence, and of every repeat."""
+    out, at, last = [], 0, None
     while at < len(text):
         end = min(len(text), at + _PIECE)
-        while end < len(text) and end - at < 2 * _PIECE and not text[end].isspace():
+        while end < len(text) and not _is_blank(text[end]):
             end += 1
-        out.append(_features(text[at:end]))
+        hashes, last = _features(text[at:end], last)
+        out.append((common.mixed(hashes) >> common.U(48)).astype(np.uint16))
         at = end
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint16)
 
 
-def _features(text: str) -> np.ndarray:
+def _is_blank(letter: str) -> bool:
+    return letter <= " " or letter == "\xa0"
+
+
+def _features(text: str, before: int | None) -> tuple[np.ndarray, int | None]:
+    """Hashes of a piece, and its last word; before: the last word of the piece before."""
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     blank = (letters <= 32) | (letters == 0xA0)
     letters = np.concatenate(([32], np.where(blank, 32, letters), [32])).astype(np.uint64)
@@ -53,29 +62,20 @@ def _features(text: str) -> np.ndarray:
     inside = ~blank
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     words = common.Rolling(letters).slices(edges[::2], edges[1::2])
-    again = np.flatnonzero(words[1:] == words[:-1]) + 1
-    if len(again):  # a word that repeats the one before it is one feature as often as it would have others
-        change = np.zeros(len(letters) + 1, dtype=np.int64)
-        change[edges[::2][again]] += 1
-        change[edges[1::2][again]] -= 1
-        letters = np.where(np.cumsum(change)[:-1] > 0, common.U(32), letters)
-        blank = letters == 32
-        words = np.delete(words, again)
+    again = np.count_nonzero(words[1:] == words[:-1]) + (before is not None and len(words) > 0 and int(words[0]) == before)
     # n-grams hold at most a boundary mark at either end
-    found = []
+    found = [words, np.full(REPEATED * again, 0xA9A1, dtype=np.uint64)]
     for n in GRAMS:
         if len(letters) < n:
             continue
         h = np.full(len(letters) - n + 1, n, dtype=np.uint64)
-        ok = np.ones(len(h), dtype=bool)
+        ok = ~(blank[: len(h)] & blank[1 : 1 + len(h)])
         for k in range(n):
             h = h * common.U(0x100000001B3) + letters[k : k + len(h)]
             if 0 < k < n - 1:
                 ok &= ~blank[k : k + len(h)]
-        ok &= ~(blank[: len(h)] & blank[n - 1 : n - 1 + len(h)]) if n < 3 else True
         found.append(h[ok])
-    found += [words, np.full(REPEATED * len(again), 0xA9A1, dtype=np.uint64)]
-    return (common.mixed(np.concatenate(found)) >> common.U(48)).astype(np.uint16)
+    return np.concatenate(found), int(words[-1]) if len(words) else before
 
 
 class Model:

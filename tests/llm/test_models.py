@@ -1,6 +1,8 @@
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from corpusloom.llm import labelled, quality, toxicity, url_rules
+from corpusloom.llm import common, labelled, quality, toxicity, url_rules
 
 
 def labelled_corpus(spark, n=600):
@@ -63,13 +65,99 @@ def test_held_out_is_a_crc(spark):
     assert all(r["h"] == labelled.is_held_out(r["id"]) for r in got)
 
 
+def mixed(h):
+    """A bijection of 64-bit integers, in plain Python."""
+    m = (1 << 64) - 1
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & m
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def plain_features(text):
+    """Bucket counts, n-gram by n-gram; words are hashed as the module hashes a text of that word alone."""
+    words = "".join(" " if ord(c) <= 32 or c == "\xa0" else c for c in text).split(" ")
+    words = [w for w in words if w]
+    out = []
+    for w in words:
+        letters = np.array([32, *map(ord, w), 32], dtype=np.uint64)
+        out.append(mixed(int(common.Rolling(letters).slices(np.array([1]), np.array([len(w) + 1]))[0])) >> 48)
+        marked = " " + w + " "
+        for n in (2, 3, 4):
+            for k in range(len(marked) - n + 1):
+                h = n
+                for c in marked[k : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & ((1 << 64) - 1)
+                out.append(mixed(h) >> 48)
+    for a, b in zip(words, words[1:], strict=False):
+        out += [mixed(0xA9A1) >> 48] * (quality.REPEATED if a == b else 0)
+    return sorted(out)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab é\xa0\t\n日x", max_size=60))
+def test_features_are_all_ngrams(text):
+    assert sorted(quality.features(text).tolist()) == plain_features(text)
+
+
 def test_features_do_not_depend_on_pieces(monkeypatch):
-    text = " ".join(f"word{k % 91}" for k in range(4000))
-    whole = np.sort(quality.features(text))
-    monkeypatch.setattr(quality, "_PIECE", 500)
-    parts = np.sort(quality.features(text))
-    assert abs(len(whole) - len(parts)) < 2 * len(text) / 500 + 2
-    assert len(quality.features("")) == 0
+    texts = [" ".join(f"word{k % 91}" for k in range(4000)), "same " * 900, "x" * 3000 + " y", " \n " * 500, "a\xa0b " * 400, ""]
+    whole = [np.sort(quality.features(t)) for t in texts]
+    for piece in (1, 7, 500):
+        monkeypatch.setattr(quality, "_PIECE", piece)
+        for t, w in zip(texts, whole, strict=True):
+            assert np.array_equal(np.sort(quality.features(t)), w)
+
+
+def test_sgd_is_the_plain_one():
+    """The same steps with loops, from the gradient of the log loss."""
+    rng = np.random.default_rng(1)
+    documents, labels = [], np.array([0, 1, 1, 0, 1, 0])
+    for k in range(6):
+        ids = np.unique(rng.integers(0, 40, 5)).astype(np.uint16)
+        documents.append((ids, np.full(len(ids), 1 / len(ids), dtype=np.float32)) if k < 5 else (ids[:0], np.zeros(0, dtype=np.float32)))
+    got = quality.sgd(documents, labels, epochs=2, rate=0.1, dim=3, seed=5)
+    r = np.random.default_rng(5)
+    vectors = r.uniform(-1 / 3, 1 / 3, (quality.BUCKETS, 3)).astype(np.float32).astype(float)
+    out = r.uniform(-1, 1, (2, 3)).astype(np.float32).astype(float)
+    bias, seen_v, seen_o = np.log([0.5, 0.5]), dict.fromkeys(range(40), 1e-8), [1e-8, 1e-8]
+
+    def loss(vecs, o, b, ids, weight, y):
+        hidden = sum(w * vecs[i] for i, w in zip(ids, weight, strict=True))
+        z = o @ hidden + b
+        return np.log(np.exp(z).sum()) - z[y]
+
+    for epoch in range(2):
+        step = 0.1 * (1 - epoch / 2)
+        for d in r.permutation(6):
+            ids, weight = documents[d]
+            if not len(ids):
+                continue
+            gradient = lambda a: _numeric(lambda: loss(vectors, out, bias, ids.tolist(), weight.astype(float), labels[d]), a)  # noqa: B023, E731
+            of_out, of_bias = gradient(out), gradient(bias)
+            of_vectors = {int(i): gradient(vectors[i]) for i in ids}
+            for i, g in of_vectors.items():
+                seen_v[i] += g @ g
+                vectors[i] -= step * g / np.sqrt(seen_v[i])
+            for c in range(2):
+                seen_o[c] += of_out[c] @ of_out[c]
+                out[c] -= step * of_out[c] / np.sqrt(seen_o[c])
+            bias -= 0.1 * step * of_bias
+    assert np.allclose(got.amounts[:40], (vectors[:40] @ (out[1] - out[0])), atol=2e-3)
+    assert abs(got.bias - (bias[1] - bias[0])) < 2e-3
+
+
+def _numeric(loss, a):
+    g = np.zeros_like(a)
+    for k in np.ndindex(a.shape):
+        was = a[k]
+        a[k] = was + 1e-5
+        high = loss()
+        a[k] = was - 1e-5
+        g[k] = (high - loss()) / 2e-5
+        a[k] = was
+    return g
 
 
 def test_grammar_scores_clauses():
