@@ -1,26 +1,36 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words of a clause are read as symbols: insult, threat, target, negation, report,
-other. Small weighted transducers say what a clause means: INSULT accepts a
-clause with an insult; TARGET adds weight if an addressed person stands with it;
-THREAT needs a threat verb and a target; NEGATION before an insult and REPORTED
-speech around it (a verb of saying, quotation marks) multiply the weight.
-``Machine`` composes them into one automaton over the clause's symbols; its
-weights are those of its insults in their context. A document's log odds are a
-bias plus the weights of its matched clauses; a clause without insult or threat
-adds nothing, and light words count only where they come together.
-
-The insult symbols are a base list and stems learned from labelled rows: words
-and word beginnings that stand in toxic texts far more often than chance allows
-(a Bonferroni bound over all candidates). ``ROWS`` bounds the rows, ``TERMS`` the
-learned stems.
-
-Null and empty texts score as no match. Every clause of a text counts. Repeated
-rows score alike. Without labels only the base grammar is used.
+other; a quotation mark in the clause comes first, its end last. Five weighted
+transducers pass them on to one another: NEGATION weakens the insults and marks
+the threat verbs among the next three words; INSULT notes that one was met;
+TARGET adds weight if an addressed person stands with it; THREAT adds the weight
+of a threat verb with a target, less if every such verb is negated; REPORT weakens
+all that follows a verb of saying or stands in quotes. ``compose`` makes one
+automaton of them, once; clauses are scored by its table alone.
+
+A document's log odds are a bias plus the weights of its matched clauses; a clause
+without insult or threat adds nothing. Insults are a base list and stems learned
+from labelled rows. Light stems also stand in clean texts now and then: each
+counts by its Poisson log likelihood ratio, different words with it times weight
+less its usual rate in toxic texts times the text's different words, and only in
+texts with two light words.
+
+Learned stems are words, and beginnings of 4 to 10 letters of words, that stand
+in toxic texts far more often than chance allows (a Bonferroni bound over all of
+them). All terms are counted and weighed on the executors, the best few of a round
+reach the driver, and learning goes on with the toxic texts that are left. ``ROWS``
+bounds the labelled rows, ``TERMS`` the learned stems.
+
+Null and empty texts score as no match. Every clause of a text counts, however
+long it is. Repeated rows score alike; a score of exactly the threshold predicts
+1. Without labels only the base grammar is used. An empty table gives an empty
+result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -36,12 +46,12 @@ from corpusloom.llm import common
 from corpusloom.llm.labelled import held_out, training_rows
 
 ROWS, TERMS, THRESHOLD = 8000, 400, 0.5
-STEM, ALL = range(4, 11), ""  # ALL: the term of every text
+STEM = range(4, 11)
 BIAS, INSULT, TARGETED, THREATENED, NEGATED, REPORTED = -2.5, 5.0, 0.5, 4.5, 0.35, 0.35  # one negated or reported insult or threat stays below THRESHOLD
-#: A matched word of this weight tells by itself; lighter ones must come together. RATE: weight that is expected of a word in a clean text.
-SURE, RATE = 2.75, 0.015
-#: Learning takes the best TAKE stems at a time and goes on with the toxic texts that these don't explain.
-TAKE = 4
+#: The most that a light stem weighs, and how often its toxic rate must be that of clean texts, overall and of those that have it.
+LIGHT, RATIO, AMONG = 3.5, 8, 3
+#: Learning takes the best TAKE stems of the BEST that reach the driver and goes on with the toxic texts that these don't explain.
+TAKE, BEST = 4, 64
 #: It stops at TERMS, when no stem is far above chance, or when no more than this share of the toxic texts is left: what a few near copies share is no stem.
 LEFT = 0.01
 
@@ -55,69 +65,105 @@ REPORTS = "said says say called calls wrote told claims claimed reported quote q
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;\n|]+")
 _QUOTE = re.compile(r"[\"“”«»„]")
-OTHER, INSULTS, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULTS, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
+DENIED, END_DENIED, INSULTED = range(8, 11)  # what transducers tell one another: a negated threat verb, an end right after a negation, an end of a clause with an insult
+READ, ENDS = range(8), (END, END_DENIED, INSULTED)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """States, weighted arcs (state, symbol) -> (state, factor on the insult weight), and what is added on acceptance."""
+    """Arcs (state, symbol) -> (state, symbol passed on, factor on what the arc weighs, weight added); without an arc all stays as it is."""
 
-    arcs: dict[tuple[int, int], tuple[int, float]]
-    accepting: dict[int, float]
-    start: int = 0
+    arcs: dict[tuple, tuple]
+    start: object = 0
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.arcs.get((state, symbol), (state, 1.0))
+    def step(self, state: object, symbol: int) -> tuple:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0, 0.0))
 
 
-#: A target anywhere in the clause adds TARGETED.
-TARGET_T = Transducer({(0, TARGET): (1, 1.0)}, {0: 0.0, 1: 1.0})
-#: Negation holds for the next three words.
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One transducer that passes what first writes to second; its states are the pairs that can be reached."""
+    start = (first.start, second.start)
+    arcs, todo = {}, [start]
+    seen = {start}
+    while todo:
+        state = todo.pop()
+        for symbol in range(INSULTED + 1):
+            a, middle, f, u = first.step(state[0], symbol)
+            b, out, g, v = second.step(state[1], middle)
+            arcs[state, symbol] = ((a, b), out, f * g, u * g + v)
+            if (a, b) not in seen:
+                seen.add((a, b))
+                todo.append((a, b))
+    return Transducer(arcs, start)
+
+
+_WORDS = (OTHER, TARGET, REPORT)
 NEGATION_T = Transducer(
-    {(s, NEGATION): (3, 1.0) for s in range(4)} | {(s, x): (s - 1, 1.0) for s in (1, 2, 3) for x in (OTHER, TARGET, REPORT, THREAT)} | {(s, INSULTS): (s - 1, NEGATED) for s in (1, 2, 3)},
-    dict.fromkeys(range(4), 0.0),
+    {(s, NEGATION): (3, NEGATION, 1.0, 0.0) for s in range(4)}
+    | {(s, x): (s - 1, x, 1.0, 0.0) for s in (1, 2, 3) for x in _WORDS}
+    | {(s, INSULTS): (s - 1, INSULTS, NEGATED, 0.0) for s in (1, 2, 3)}
+    | {(s, THREAT): (s - 1, DENIED, 1.0, 0.0) for s in (1, 2, 3)}
+    | {(3, END): (3, END_DENIED, 1.0, 0.0)}
+)
+INSULT_T = Transducer({(0, INSULTS): (1, INSULTS, 1.0, 0.0)} | {(1, x): (1, INSULTED, 1.0, 0.0) for x in (END, END_DENIED)})
+TARGET_T = Transducer({(0, TARGET): (1, TARGET, 1.0, 0.0), (1, INSULTED): (1, INSULTED, 1.0, TARGETED)})
+#: States: the threat verbs so far (none, only negated ones, others too) and whether a target was met.
+THREAT_T = Transducer(
+    {((v, t), THREAT): (("some", t), THREAT, 1.0, 0.0) for v in ("none", "denied", "some") for t in (False, True)}
+    | {(("none", t), DENIED): (("denied", t), DENIED, 1.0, 0.0) for t in (False, True)}
+    | {((v, False), TARGET): ((v, True), TARGET, 1.0, 0.0) for v in ("none", "denied", "some")}
+    | {(("some", True), END): (("some", True), END, 1.0, THREATENED)}
+    | {((v, True), e): ((v, True), e, 1.0, THREATENED * NEGATED) for v, e in (("some", END_DENIED), ("denied", END), ("denied", END_DENIED))},
+    ("none", False),
+)
+#: States: a verb of saying was met, quotation marks were met.
+REPORT_T = Transducer(
+    {((v, q), REPORT): ((True, q), REPORT, 1.0, 0.0) for v in (False, True) for q in (False, True)}
+    | {((False, False), QUOTE): ((False, True), QUOTE, 1.0, 0.0)}
+    | {((v, q), x): ((v, q), x, REPORTED ** (v + q) if x == INSULTS else REPORTED, 0.0) for v in (False, True) for q in (False, True) if v or q for x in (INSULTS, *ENDS)},
+    (False, False),
 )
-#: After a verb of saying, insults are reported.
-REPORT_T = Transducer({(0, REPORT): (1, 1.0), (1, INSULTS): (1, REPORTED)}, {0: 0.0, 1: 0.0})
-#: A threat verb and a target, in either order.
-THREAT_T = Transducer({(0, THREAT): (1, 1.0), (0, TARGET): (2, 1.0), (1, TARGET): (3, 1.0), (2, THREAT): (3, 1.0)}, {0: 0.0, 1: 0.0, 2: 0.0, 3: 1.0})
 
 
 class Machine:
-    """The composition: one state tuple over the four transducers, run once over a clause."""
+    """The composed automaton as a table: per state and symbol the next state, a factor and an added weight."""
 
     def __init__(self) -> None:
-        self.parts = (TARGET_T, NEGATION_T, REPORT_T, THREAT_T)
+        whole = functools.reduce(compose, (NEGATION_T, INSULT_T, TARGET_T, THREAT_T, REPORT_T))
+        number = {whole.start: 0}
+        for state, _ in whole.arcs:
+            number.setdefault(state, len(number))
+        self.table = [[None] * len(READ) for _ in number]
+        for (state, symbol), (to, _, factor, added) in whole.arcs.items():
+            if symbol in READ:
+                self.table[number[state]][symbol] = (number[to], factor, added)
 
     def weigh(self, symbols: list[tuple[int, float]], quoted: bool) -> list[float]:
-        """The weights of the clause's insults and threats in their context; empty if it has none."""
-        state, found, denied = [t.start for t in self.parts], [], []
-        for symbol, weight in symbols:
-            if symbol == THREAT:
-                denied.append(state[1] > 0)
-            factor = REPORTED if quoted else 1.0
-            for k, t in enumerate(self.parts):
-                state[k], by = t.step(state[k], symbol)
-                factor *= by
+        """The weights of the clause's insults in their context, the first with what the clause adds, or that of its threat; empty if it has none."""
+        state, found, added = 0, [], 0.0
+        for symbol, weight in [*([(QUOTE, 0.0)] if quoted else ()), *symbols, (END, 0.0)]:
+            state, factor, more = self.table[state][symbol]
+            added += more
             if symbol == INSULTS:
                 found.append(weight * factor)
-        if found and state[0]:
-            found[0] += TARGETED * self.parts[0].accepting[state[0]]
-        if self.parts[3].accepting[state[3]] and not found:
-            found.append(THREATENED * (NEGATED if all(denied) or state[1] == 3 else 1.0) * (REPORTED if quoted or state[2] else 1.0))
+        if found:
+            found[0] += added
+        elif added:
+            found.append(added)
         return found
 
 
 class Grammar:
     """The lexicon as one expression that finds the clauses worth weighing, and the machine that weighs them."""
 
-    def __init__(self, learned: dict[str, float], base: bool = True):
-        """learned: stems (``word$`` for a whole word) and their weights; base: with the base insults and threats."""
-        self.learned, self.base = dict(learned), base
+    def __init__(self, learned: dict[str, float], base: bool = True, rates: dict[str, float] | None = None):
+        """learned: stems (``word$`` for a whole word) and their weights; rates: uses per word of the light ones; base: with the base insults and threats."""
+        self.learned, self.base, self.rates = dict(learned), base, dict(rates or {})
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {"learned": self.learned, "base": self.base, "_ready": False}
+        return {"learned": self.learned, "base": self.base, "rates": self.rates, "_ready": False}
 
     def _prepare(self) -> None:
         self.whole = (dict.fromkeys(BASE_INSULTS, INSULT) if self.base else {}) | {t[:-1]: w for t, w in self.learned.items() if t.endswith("$")}
@@ -133,16 +179,14 @@ class Grammar:
         self.machine = Machine()
         self._ready = True
 
-    def symbol(self, word: str) -> tuple[int, float]:
-        if (w := self.whole.get(word)) is not None:
-            return INSULTS, w
-        for n in self.lengths:
-            if len(word) >= n and (w := self.stems.get(word[:n])) is not None:
-                return INSULTS, w
-        return self.kinds.get(word, OTHER), 0.0
+    def term(self, word: str) -> str | None:
+        """The lexicon's entry for a word: itself, or its longest learned beginning."""
+        if word in self.whole:
+            return word + "$"
+        return next((word[:n] for n in self.lengths if len(word) >= n and word[:n] in self.stems), None)
 
-    def clauses(self, text: str) -> list[tuple[str, list[float]]]:
-        """The clauses that match and the weights of what matched."""
+    def clauses(self, text: str) -> list[tuple[str, list[tuple[str, str, float]]]]:
+        """The clauses that match, with their insults: word, term, weight in context; a threat stands without word and term."""
         if not self._ready:
             self._prepare()
         low, out, done = text.lower(), [], -1
@@ -152,52 +196,61 @@ class Grammar:
             start = max((low.rfind(c, 0, m.start()) for c in ".!?;\n|")) + 1
             end = m2.start() if (m2 := _CLAUSE.search(low, m.end())) else len(low)
             clause, done = low[start:end], end
-            weights = self.machine.weigh([self.symbol(w) for w in _WORD.findall(clause)], bool(_QUOTE.search(clause)))
+            words = _WORD.findall(clause)
+            terms = [self.term(w) for w in words]
+            symbols = [(self.kinds.get(w, OTHER), 0.0) if t is None else (INSULTS, self.whole[w] if t.endswith("$") else self.stems[t]) for w, t in zip(words, terms, strict=True)]
+            weights = self.machine.weigh(symbols, bool(_QUOTE.search(clause)))
             if weights:
-                out.append((clause, weights))
+                insults = [(w, t) for w, t in zip(words, terms, strict=True) if t is not None] or [("", "")]
+                out.append((clause, [(w, t, x) for (w, t), x in zip(insults, weights, strict=True)]))
         return out
 
     def score(self, text: str | None) -> float:
         text = text or ""
-        weights = [w for _, found in self.clauses(text) for w in found]
-        weak = [w for w in weights if w < SURE]
-        z = BIAS + sum(w for w in weights if w >= SURE)
-        if weak:  # words that clean texts hold now and then: all but one count, against what a text of this length would hold
-            z += max(0.0, sum(weak) - max(weak) - RATE * len(text.split()))
+        found = [x for _, xs in self.clauses(text) for x in xs]
+        z, light = BIAS, {}
+        for word, term, weight in found:
+            if term in self.rates:
+                light[word, term] = max(weight, light.get((word, term), 0.0))
+            else:
+                z += weight
+        if len(light) > 1:  # against what a toxic text of this length would hold
+            words = len(set(text.lower().split()))
+            for t in {t for _, t in light}:
+                z += max(0.0, sum(x for (_, own), x in light.items() if own == t) - self.rates[t] * words)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def terms_of(text: str) -> set[str]:
-    """The words of a text and their beginnings."""
-    words = set(_WORD.findall(text.lower()))
-    return {w + "$" for w in words if len(w) > 2} | {w[:n] for w in words for n in STEM if len(w) > n}
-
-
-def learn(counts: list[tuple[str, int, int]], toxic: int, clean: int, base: int, candidates: int, taken: dict[str, float]) -> dict[str, float]:
-    """The best new stems from (term, unexplained toxic texts, clean texts): far above chance, none implied by one already taken."""
-    share = base / max(1, base + clean)
-    if not toxic or not clean:
-        return {}
-    limit, good = math.log(0.01 / max(1, candidates)), []
-    for term, a, b in counts:
-        # the chance that a or more of a + b texts are toxic, by the Chernoff bound
-        n, p = a + b, a / (a + b)
-        if p <= max(share, 0.7):
-            continue
-        chance = -n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0))
-        if chance < limit:
-            pure = a >= 200 * b and a >= 8
-            good.append((a * p**4, len(term), term, INSULT if pure else min(SURE - 0.05, math.log((a + 0.5) / (b + 0.5) * (clean + 1) / (base + 1)))))
-    new: dict[str, float] = {}
-    for _, _, term, weight in sorted(good, key=lambda g: (-g[0], -g[1], g[2])):
-        bare, known = term.rstrip("$"), [*taken, *new]
-        if len(new) < TAKE and not any(bare.startswith(t.rstrip("$")) or t.startswith(bare) for t in known):
-            new[term] = weight
-    return new
+def terms_of(text: str) -> tuple[Counter, int]:
+    """Of a text's different words, those that are or begin with each term, and their number."""
+    low, out = text.lower(), Counter()
+    for w in set(_WORD.findall(low)):
+        if len(w) > 2:
+            out[w + "$"] += 1
+        for k in STEM:
+            if len(w) <= k:
+                break
+            out[w[:k]] += 1
+    return out, len(set(low.split()))
+
+
+def weighed(counts: DataFrame, toxic: int, clean: int, clean_words: int, candidates: int) -> DataFrame:
+    """Of terms with their texts, uses and those texts' words in toxic and clean rows, the ones far above chance: gain, weight and, for light ones, rate."""
+    share = toxic / max(1, toxic + clean)
+    both = F.col("texts") + F.col("clean_texts")
+    p = F.col("texts") / both
+    # the chance that so many of the texts with the term are toxic, by the Chernoff bound
+    gain = both * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    rate = F.col("uses") / F.col("words")
+    among = (F.col("clean_uses") + 0.5) / (F.col("clean_words") + 1)
+    ratio = rate / ((F.col("clean_uses") + 0.5) / max(1, clean_words))
+    pure = (F.col("texts") >= 200 * F.col("clean_texts")) & (F.col("texts") >= 8)
+    fits = (p > share) & (gain > -math.log(0.01 / max(1, candidates))) & (pure | ((ratio >= RATIO) & (rate >= AMONG * among)))
+    return counts.where(F.col("words") > 0).where(fits).select("term", gain.alias("gain"), F.when(pure, INSULT).otherwise(F.least(F.log(ratio), F.lit(LIGHT))).alias("weight"), F.when(~pure, rate).alias("rate"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
-    """Counts terms over the training rows on the executors; of each round only terms mostly in toxic texts, at most 5,000, reach the driver.
+    """Counts and weighs terms over the training rows on the executors; the ``BEST`` of each round reach the driver.
 
     Copies of a text count once: rows are first reduced to distinct texts.
     """
@@ -205,37 +258,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
 
     def counter(grammar: Grammar | None):
         def run(batches):
-            seen: Counter = Counter()
+            texts, uses, words = Counter(), Counter(), Counter()
             for b in batches:
                 for text in b.column("text").to_pylist():
                     if grammar is None or sum(len(found) for _, found in grammar.clauses(text)) < 2:
-                        seen.update(terms_of(text))
-                        seen[ALL] += 1
-            rows_ = list(seen.items())
-            for at in range(0, len(rows_), 50_000):
-                t, n = zip(*rows_[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(n, pa.int64())], ["term", "n"])
+                        seen, n = terms_of(text)
+                        texts.update(dict.fromkeys([*seen, ""], 1))
+                        uses.update(seen)
+                        words.update(dict.fromkeys([*seen, ""], n))
+            terms = list(texts)
+            for at in range(0, len(terms), 50_000):
+                part = terms[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in (texts, uses, words))], ["term", "texts", "uses", "words"])
 
         return run
 
-    count = lambda frame, grammar, name: frame.select("text").mapInArrow(counter(grammar), "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
+    def counts(frame: DataFrame, grammar: Grammar | None, prefix: str = "") -> DataFrame:
+        """Per term; the empty one counts all texts."""
+        made = frame.select("text").mapInArrow(counter(grammar), "term string, texts long, uses long, words long")
+        return made.groupBy("term").agg(*[F.sum(c).alias(prefix + c) for c in ("texts", "uses", "words")])
+
+    def total(frame: DataFrame, column: str) -> int:
+        return sum(r[0] for r in frame.where("term = ''").select(column).collect())
+
     bad, good = train.where("label = 1"), train.where("label = 0")
-    toxic, clean = bad.count(), good.count()
-    usual = common.written(count(good, None, "clean"), "clean-terms")
+    usual = common.written(counts(good, None, "clean_"), "clean-terms")
+    toxic, clean, clean_words, candidates = bad.count(), good.count(), total(usual, "clean_words"), 0
     learned: dict[str, float] = {}
-    while len(learned) < TERMS:
-        rest = count(bad, Grammar(learned, base=False), "toxic").where((F.col("toxic") >= 3) | (F.col("term") == ALL))
-        counts = rest.join(usual, "term", "left").select("term", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
-        best = counts.where((F.col("toxic") > 2 * F.col("clean")) | (F.col("term") == ALL)).orderBy(F.desc(F.col("term") == ALL), F.desc("toxic"), "clean", "term").limit(5000).collect()
-        left = sum(r["toxic"] for r in best if r["term"] == ALL)
-        if left <= LEFT * toxic:
+    rates: dict[str, float] = {}
+    while toxic and clean and len(learned) < TERMS:
+        rest = counts(bad, Grammar(learned, False, rates)).where("texts > 2 OR term = ''").join(usual, "term", "left").na.fill(0, ["clean_texts", "clean_uses", "clean_words"])
+        rest = common.written(rest, "toxic-terms")
+        candidates = candidates or rest.count()
+        if total(rest, "texts") <= LEFT * toxic:
             break
-        best = [r for r in best if r["term"] != ALL]
-        new = learn([(r["term"], r["toxic"], r["clean"]) for r in best], toxic, clean, toxic, max(20_000, len(best)), learned)
+        best = weighed(rest.where("term <> ''"), toxic, clean, clean_words, candidates).orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(BEST).collect()
+        new: list = []
+        for r in best:
+            bare = r["term"].rstrip("$")
+            if len(new) < min(TAKE, TERMS - len(learned)) and not any(bare.startswith(t.rstrip("$")) or t.startswith(bare) for t in [*learned, *(x["term"] for x in new)]):
+                new.append(r)
         if not new:
             break
-        learned |= dict(list(new.items())[: TERMS - len(learned)])
-    return Grammar(learned)
+        learned |= {r["term"]: r["weight"] for r in new}
+        rates |= {r["term"]: r["rate"] for r in new if r["rate"] is not None}
+    return Grammar(learned, rates=rates)
 
 
 def scorer(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> Column:

@@ -229,3 +229,71 @@ def test_only_terms_bounds_the_learned_stems(spark, monkeypatch):
     assert all(any(s.startswith(t.rstrip("$")) for t in grammar.learned) for s in stems)
     monkeypatch.setattr(toxicity, "TERMS", 3)
     assert len(toxicity.fit(docs, labels).learned) == 3
+
+
+def plain_weights(symbols, quoted):
+    """What a clause's insults or threat weigh, by rules over positions."""
+    T = toxicity
+    kinds = [k for k, _ in symbols]
+    negated = [any(x == T.NEGATION for x in kinds[max(0, k - 3) : k]) for k in range(len(kinds))]
+    last_negated = bool(kinds) and kinds[-1] == T.NEGATION
+    found = []
+    for k, (kind, weight) in enumerate(symbols):
+        if kind == T.INSULTS:
+            reported = T.REPORT in kinds[:k]
+            found.append(weight * (T.NEGATED if negated[k] else 1) * T.REPORTED ** (quoted + reported))
+    target, threats = T.TARGET in kinds, [negated[k] for k, x in enumerate(kinds) if x == T.THREAT]
+    reported = T.REPORTED if quoted or T.REPORT in kinds else 1
+    if found:
+        found[0] += T.TARGETED * reported if target else 0
+    elif threats and target:
+        found = [T.THREATENED * (T.NEGATED if all(threats) or last_negated else 1) * reported]
+    return found
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=12), st.booleans())
+def test_composed_automaton_is_the_plain_grammar(kinds, quoted):
+    symbols = [(k, 2.5 if k == toxicity.INSULTS else 0.0) for k in kinds]
+    assert np.allclose(toxicity.Machine().weigh(symbols, quoted), plain_weights(symbols, quoted))
+
+
+def test_composition_is_associative():
+    parts = (toxicity.NEGATION_T, toxicity.INSULT_T, toxicity.THREAT_T)
+    left = toxicity.compose(toxicity.compose(parts[0], parts[1]), parts[2])
+    right = toxicity.compose(parts[0], toxicity.compose(parts[1], parts[2]))
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = left.start, right.start
+        for symbol in [*rng.integers(0, 7, 9).tolist(), toxicity.END]:
+            (a, x, f, u), (b, y, g, v) = left.step(a, symbol), right.step(b, symbol)
+            assert (x, f, u) == (y, g, v)
+
+
+def test_terms_are_counted_and_weighed_plainly(spark):
+    """The best stem of a round, by loops over texts."""
+    docs, labels = labelled_corpus(spark)
+    got = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"].lower() for r in docs.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if not labelled.is_held_out(r["doc_id"])}
+    by_label = [{texts[i] for i, t in known.items() if t == y} for y in (0, 1)]
+    has = lambda text, term: any(w == term[:-1] if term.endswith("$") else w.startswith(term) and len(w) > len(term) for w in toxicity._WORD.findall(text))
+    terms = {t for text in by_label[1] for t in toxicity.terms_of(text)[0]}
+    share = len(by_label[1]) / (len(by_label[0]) + len(by_label[1]))
+
+    def gain(term):
+        a, b = (sum(has(x, term) for x in by_label[y]) for y in (1, 0))
+        p = a / (a + b)
+        return (a + b) * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0)) if a > 2 and p > share else 0
+
+    best = max(terms, key=lambda t: (round(gain(t), 9), len(t)))
+    assert best in got.learned and got.learned[best] == toxicity.INSULT
+
+
+def test_light_stems_count_against_length():
+    g = toxicity.Grammar({"zorb": 3.0}, rates={"zorb": 0.02})
+    words = " ".join(f"plain{k}" for k in range(60))
+    assert g.score("a zorbling day") < 0.5  # one light word
+    assert g.score("zorbling " * 30) < 0.5  # and one word again and again
+    assert g.score(f"a zorbling {words}. More zorblers come.") > 0.5
+    assert g.score(f"a zorbling {' '.join(f'w{k}' for k in range(900))}. More zorblers come.") < 0.5
