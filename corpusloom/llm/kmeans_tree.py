@@ -1,40 +1,51 @@
 """Approximate nearest neighbours by a hierarchical k-means tree and best-bin-first search.
 
-The tree is fitted on a bounded, documented sample (``sample`` vectors, those
-with the smallest hash of their id); every vector is then sent down it to a
-leaf. A query walks the tree with a priority queue of nodes by distance to their
-centres and visits leaves in that order. How many is calibrated: for ``probes``
-stored vectors the exact neighbours among all rows are found by a scan in
-blocks, and visits widen until the mean share of them in visited leaves reaches
-``recall``. A query goes on past that number until its leaves hold k other vectors.
+The tree has two storeys, so that its leaves grow in number with the table. The
+upper one is fitted on a bounded, documented sample (``SAMPLE`` vectors, those with
+the smallest hash of their id) and broadcast. Under each of its leaves a subtree is
+fitted on the executors, on about ``UNDER`` of the leaf's vectors, and stored with
+the leaf's number; nothing but sizes of upper leaves ever reaches the driver. Every
+vector is sent down to a cell, a leaf of a subtree.
+
+A query walks the upper tree with a priority queue of nodes by distance to their
+centres and visits leaves in that order; in each it walks the subtree in the same
+way and visits cells. How many of either is calibrated: for ``PROBES`` rows outside
+the upper sample (of the sample where it holds all) the exact neighbours among all
+rows are found by a scan in blocks, and visits widen until the mean share of them
+in visited cells reaches ``recall``. A query goes on past those numbers until its
+leaves, and its cells in each but the smallest, hold k others (for k < ``UNDER``).
 
 Equal vectors meet once: of each distinct vector only its k + 1 smallest ids can
 be among anyone's k nearest, so no group of copies travels, whatever its size.
-Leaves of over ``block`` vectors are dealt out in parts, each searched by itself;
-each query's parts merge in a windowed top-k, pre-cut in every task.
+Vectors of a large leaf or cell are dealt out in parts and its queries in blocks,
+each pair worked off by itself; a query's parts merge in a windowed top-k, pre-cut
+in every task.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do those of another than the most frequent dimension, nor rows with a null
-id. Repeated rows count once. Ties go to the smaller id. Fewer than k candidates:
-all of them. An empty table gives an empty result; other columns are ignored.
+id. Repeated rows count once; of an id with several vectors each takes part. Ties
+go to the smaller id. Fewer than k candidates: all of them. An empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
-SAMPLE, PROBES, BRANCH, BLOCK, RECALL = 16_384, 256, 8, 2048, 0.97
-#: Above the sample's means: a leaf is fitted on this many vectors at least, so there are SAMPLE / 16 leaves at most.
-LEAF = 16
+SAMPLE, UNDER, PROBES, BRANCH, RECALL = 16_384, 4096, 256, 8, 0.97
+#: A leaf of the upper tree and of a subtree is fitted on this many vectors at least, at any size of the table.
+LEAF, CELL = 64, 16
+#: Vectors in a part of a leaf or cell, and queries in a block.
+BLOCK, ASKED = 4096, 2048
 
 
 class Tree:
@@ -91,6 +102,31 @@ class Tree:
                 yield self.leaves[node]
 
 
+def _subtree(vectors: np.ndarray) -> Tree:
+    """With ``held``: how many of these vectors each cell holds."""
+    made = Tree(vectors, CELL)
+    made.held = np.bincount(made.place(vectors), minlength=len(made.leaves))
+    return made
+
+
+def _blocks(rows: DataFrame, keys: list[str], size: int, name: str) -> DataFrame:
+    """Per key with more than ``size`` rows: how many blocks they make. There are fewer such keys than rows / size."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > size).select(*keys, F.ceil(F.col("n") / size).cast("int").alias(name))
+
+
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str], per_left: int, per_right: int) -> tuple[DataFrame, DataFrame]:
+    """left and right with ``block`` and ``part``: within a key, blocks of left and parts of right meet pairwise."""
+    blocks, parts = _blocks(left, keys, per_left, "blocks"), _blocks(right, keys, per_right, "parts")
+    one = lambda c: F.coalesce(c, F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(F.col(c)) - 1))
+    own = lambda c: F.pmod(F.xxhash64("vec_id"), one(F.col(c))).cast("int")
+    both = lambda d: d.join(blocks, keys, "left").join(parts, keys, "left")
+    return (
+        both(left).withColumn("block", own("blocks")).withColumn("part", every("parts")).drop("blocks", "parts"),
+        both(right).withColumn("part", own("parts")).withColumn("block", every("blocks")).drop("blocks", "parts"),
+    )
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
@@ -118,7 +154,7 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows
 
 
-def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, under: int = UNDER, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
     """Queries are the rows whose id is divisible by ``every``: query_id, rank, vec_id, score (Euclidean)."""
     spark = table.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -126,10 +162,11 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     widths = sized.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if widths is None:
         return empty
-    width, total = widths["width"], widths["count"]
+    width = widths["width"]
     rows = sized.where(F.size("v") == width)
-    fitted = common.bounded_sample(rows, "vec_id", sample).toArrow()
-    tree = Tree(_matrix(fitted.column("v").combine_chunks(), width), leaf=max(LEAF, min(64, sample // 256)) if total > sample else LEAF)
+    fitted = common.bounded_sample(rows, "vec_id", sample + probes).toArrow()
+    tree = Tree(_matrix(fitted.column("v").combine_chunks().slice(0, sample), width), LEAF)
+    asked_rows = fitted.slice(max(0, min(sample, fitted.num_rows - probes)))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -137,84 +174,141 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
 
     first = Window.partitionBy("v").orderBy("vec_id")
     placed = common.map_rows(rows, place, "vec_id long, v array<double>, leaf int")
-    stored = common.written(placed.groupBy("v", "vec_id").agg(F.min("leaf").alias("leaf")).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
-    sizes_rows = stored.groupBy("leaf").count().collect()  # one row a leaf; leaves are bounded by the sample
+    placed = common.written(placed.groupBy("v", "vec_id").agg(F.min("leaf").alias("leaf")).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
     sizes = np.zeros(len(tree.leaves), dtype=np.int64)
-    for r in sizes_rows:
+    for r in placed.groupBy("leaf").count().collect():  # one row a leaf; the sample bounds the leaves
         sizes[r["leaf"]] = r["count"]
-    visits = calibrate(stored, tree, fitted, width, k, recall, probes)
-    parts = np.maximum(1, -(-sizes // block)).astype(np.int64)
-    known = spark.sparkContext.broadcast((sizes, parts))
+    counts = spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "leaf int, size long")
+    # a leaf's vectors with a hash below under / size: about ``under`` of them, a few more or less
+    drawn = placed.join(F.broadcast(counts), "leaf").where((F.xxhash64("vec_id", F.lit(5)) / 2.0**64 + 0.5) * F.col("size") < under)
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        made = _subtree(_matrix(t.column("v").combine_chunks(), width))
+        return pa.table([t.column("leaf").slice(0, 1), pa.array([pickle.dumps(made)], pa.binary())], ["leaf", "tree"])
+
+    trees = common.written(drawn.select("leaf", "vec_id", "v").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary"), "subtrees")
+
+    def under_leaf(function, asks: DataFrame, schema: str) -> DataFrame:
+        """function(subtree, ids, vectors) on blocks of rows of the same leaf."""
+        split = spark.createDataFrame([(n, int(-(-s // block))) for n, s in enumerate(sizes) if s > block], "leaf int, parts int")
+        parts = F.coalesce("parts", F.lit(1))
+        left = asks.join(F.broadcast(split), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).drop("parts")
+        right = trees.join(F.broadcast(split), "leaf", "left").select("leaf", "tree", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+        def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+            made = pickle.loads(b.column("tree")[0].as_py()) if b.num_rows else _subtree(np.zeros((1, width)))
+            return function(made, key[0].as_py(), a)
+
+        return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(run, schema)
+
+    def settle(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
+        cell = made.place(_matrix(t.column("v").combine_chunks(), width)) if t.num_rows else np.zeros(0)
+        return pa.table([t.column("vec_id"), t.column("v"), t.column("leaf"), pa.array(cell.astype(np.int32))], ["vec_id", "v", "leaf", "cell"])
+
+    stored = common.written(under_leaf(settle, placed.select("vec_id", "v", "leaf"), "vec_id long, v array<double>, leaf int, cell int"), "cells")
+    leaves, cells = calibrate(stored, tree, under_leaf, asked_rows, width, k, recall)
+    known = spark.sparkContext.broadcast(sizes)
 
     def walk(b: pa.RecordBatch) -> pa.RecordBatch:
-        q, ids = _matrix(b.column("v"), width), b.column("vec_id")
-        who, leaf, part = [], [], []
-        sizes, parts = known.value
+        q = _matrix(b.column("v"), width)
+        who, leaf, all_cells = [], [], []
         for i in range(len(q)):
             seen = held = 0
             for n in shared.value.order(q[i]):
-                if not sizes[n]:
+                if not known.value[n]:
                     continue
-                if seen >= visits and held > k:
+                if seen >= leaves and held > k:
                     break
-                seen, held = seen + 1, held + sizes[n]
-                who += [i] * int(parts[n])
-                leaf += [n] * int(parts[n])
-                part += range(int(parts[n]))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(who, pa.int64())), b.column("v").take(pa.array(who, pa.int64())), pa.array(leaf, pa.int32()), pa.array(part, pa.int32())], ["vec_id", "v", "leaf", "part"])
-
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "v").agg(F.lit(1).alias("one")).select("vec_id", "v")
-    visited = common.map_rows(queries, walk, "vec_id long, v array<double>, leaf int, part int")
-    split = spark.createDataFrame([(int(n), int(p)) for n, p in enumerate(parts) if p > 1], "leaf int, parts int")
-    dealt = stored.join(F.broadcast(split), "leaf", "left").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+                # of a small leaf no cell is left out
+                seen, held = seen + 1, held + known.value[n]
+                who.append(i), leaf.append(n), all_cells.append(known.value[n] <= 2 * max(CELL, k + 1))
+        return pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(who, pa.int64())), b.column("v").take(pa.array(who, pa.int64())), pa.array(leaf, pa.int32()), pa.array(all_cells, pa.bool_())], ["vec_id", "v", "leaf", "whole"])
+
+    def descend(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
+        who, cell = [], []
+        if t.num_rows:
+            q, whole = _matrix(t.column("v").combine_chunks(), width), t.column("whole").to_pylist()
+            for i in range(len(q)):
+                seen = held = 0
+                for c in made.order(q[i]):
+                    if seen >= cells and held > k and not whole[i]:
+                        break
+                    seen, held = seen + 1, held + made.held[c]
+                    who.append(i), cell.append(c)
+        at = pa.array(who, pa.int64())
+        return pa.table([t.column("vec_id").take(at), t.column("v").take(at), t.column("leaf").take(at), pa.array(cell, pa.int32())], ["vec_id", "v", "leaf", "cell"])
+
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    visited = under_leaf(descend, common.map_rows(queries, walk, "vec_id long, v array<double>, leaf int, whole boolean"), "vec_id long, v array<double>, leaf int, cell int")
+    visited = common.written(visited, "visits")
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = _scanned(visited, stored, width, k, block, asked)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _scanned(visited: DataFrame, stored: DataFrame, width: int, k: int, block: int, asked: int) -> DataFrame:
+    """The k nearest of each query within each visited cell, or part of it: query_id, vec_id, score."""
+    left, right = _dealt(visited, stored, ["leaf", "cell"], asked, block)
+
+    def scan(a: pa.Table, b: pa.Table) -> pa.Table:
         query, ids, score = [], [], []
-        if left.num_rows and right.num_rows:
-            v, own = _matrix(right.column("v").combine_chunks(), width), right.column("vec_id").to_numpy()
-            q, names = _matrix(left.column("v").combine_chunks(), width), left.column("vec_id").to_numpy()
+        if a.num_rows and b.num_rows:
+            v, own = _matrix(b.column("v").combine_chunks(), width), b.column("vec_id").to_numpy()
+            q, names = _matrix(a.column("v").combine_chunks(), width), a.column("vec_id").to_numpy()
             for i in range(len(q)):
                 got, distance = nearest(q[i], v, own, names[i], k)
                 query.append(np.full(len(got), names[i])), ids.append(got), score.append(distance)
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=t))
         return pa.table([cat(query, np.int64), cat(ids, np.int64), cat(score, np.float64)], ["query_id", "vec_id", "score"])
 
-    found = visited.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    keys = ["leaf", "cell", "block", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
+
 
+def calibrate(stored: DataFrame, tree: Tree, under_leaf, asked: pa.Table, width: int, k: int, recall: float) -> tuple[int, int]:
+    """The visits of leaves, and of cells in each, at which the probes' exact neighbours among all rows are found at the wanted mean rate.
 
-def calibrate(stored: DataFrame, tree: Tree, fitted: pa.Table, width: int, k: int, recall: float, probes: int) -> int:
-    """The fewest leaf visits at which the probes' exact neighbours among all rows are found at the wanted mean rate."""
-    step = max(1, fitted.num_rows // probes)
-    asked = fitted.take(pa.array(range(0, fitted.num_rows, step)[:probes] if fitted.num_rows else [], pa.int64()))
+    Leaves are visited up to the rank that holds the square root of that rate, cells then up to the rank that reaches it.
+    """
+    spark = stored.sparkSession
     q, names = _matrix(asked.column("v").combine_chunks(), width), asked.column("vec_id").to_numpy()
-    sent = stored.sparkSession.sparkContext.broadcast((q, names))
+    sent = spark.sparkContext.broadcast((q, names))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names = sent.value
         best: list[tuple] = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))] * len(q)
         for b in batches:
-            v, ids, leaf = _matrix(b.column("v"), width), b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
-            where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
+            v, ids = _matrix(b.column("v"), width), b.column("vec_id").to_numpy()
+            where = b.column("leaf").to_numpy().astype(np.int64) << 32 | b.column("cell").to_numpy()
             for i in range(len(q)):
                 got, distance = nearest(q[i], v, ids, names[i], k)
-                g, d, n = (np.concatenate(x) for x in zip(best[i], (got, distance, np.array([where[x] for x in got.tolist()], dtype=np.int64)), strict=True))
+                at = np.array([where[np.flatnonzero(ids == x)[0]] for x in got.tolist()], dtype=np.int64)
+                g, d, n = (np.concatenate(x) for x in zip(best[i], (got, distance, at), strict=True))
                 order = np.lexsort((g, d))[:k]
                 best[i] = g[order], d[order], n[order]
-        rows = [(i, int(g), float(d), int(n)) for i, x in enumerate(best) for g, d, n in zip(*x, strict=True)]
+        rows = [(i, int(g), float(d), int(n) >> 32, int(n) & 0xFFFFFFFF) for i, x in enumerate(best) for g, d, n in zip(*x, strict=True)]
         if rows:
-            a, b, c, d = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(d, pa.int32())], ["probe", "vec_id", "score", "leaf"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["probe", "vec_id", "score", "leaf", "cell"])
 
     top = Window.partitionBy("probe").orderBy("score", "vec_id")
-    near = stored.mapInArrow(scan, "probe int, vec_id long, score double, leaf int").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
-    truth: pd.DataFrame = near.select("probe", "leaf").toPandas()  # probes * k rows
-    at = []
-    for i, leaves in truth.groupby("probe")["leaf"]:
-        place = {n: p for p, n in enumerate(tree.order(q[i]), 1)}
-        at += [place[n] for n in leaves]
-    if not at:
-        return len(tree.leaves)
-    at = np.sort(at)
-    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)])
+    near = stored.mapInArrow(scan, "probe long, vec_id long, score double, leaf int, cell int").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
+    truth = near.select("probe", "leaf", "cell")  # probes * k rows
+
+    def rank(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
+        q, places = sent.value[0], []
+        for probe, cell in zip(t.column("vec_id").to_pylist(), t.column("cell").to_pylist(), strict=True):
+            places.append(next((p for p, c in enumerate(made.order(q[probe]), 1) if c == cell), len(made.leaves)))
+        return pa.table([t.column("vec_id"), t.column("leaf"), pa.array(places, pa.int32())], ["probe", "leaf", "place"])
+
+    ranked = under_leaf(rank, truth.withColumnRenamed("probe", "vec_id"), "probe long, leaf int, place int").toPandas()
+    if ranked.empty:
+        return len(tree.leaves), 1 << 30
+    order = {i: {n: p for p, n in enumerate(tree.order(q[i]), 1)} for i in set(ranked["probe"].tolist())}
+    upper = np.array([order[i][n] for i, n in zip(ranked["probe"].tolist(), ranked["leaf"].tolist(), strict=True)])
+    lower = ranked["place"].to_numpy()
+    quantile = lambda x, share: int(np.sort(x)[min(len(x) - 1, max(0, int(np.ceil(share * len(x))) - 1))])
+    leaves = quantile(upper, recall**0.5)
+    inside = np.where(upper <= leaves, lower, 1 << 30)
+    return leaves, quantile(inside, min(recall, (upper <= leaves).mean()))

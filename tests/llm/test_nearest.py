@@ -64,6 +64,18 @@ def test_odd_vectors(spark):
     assert kmeans_tree.search(table(spark, bad)).where("query_id <> 600").count() == 0
 
 
+def test_more_rows_than_are_fitted(spark):
+    """Leaves and cells far above their bounds are dealt out; every query has k others however few cells it visits."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(4000, 6)).astype(np.float32)
+    got = results(kmeans_tree.search(table(spark, vectors), sample=256, under=64, probes=20, recall=0.9, block=50, asked=3, every=40))
+    want = {int(q): set(np.lexsort((np.arange(4000), np.sqrt(((vectors.astype(float) - vectors[q].astype(float)) ** 2).sum(axis=1))))[1:11].tolist()) for q in range(0, 4000, 40)}
+    assert set(got) == set(want) and all(len(r) == 10 for r in got.values())
+    assert sum(len({i for i, _ in got[q]} & want[q]) for q in want) >= 0.8 * 10 * len(want)
+    few = results(kmeans_tree.search(table(spark, vectors[:400]), recall=0.0, every=7))
+    assert all(len(r) == 10 for r in few.values())
+
+
 def test_walk_order_is_best_bin_first():
     rng = np.random.default_rng(7)
     v = rng.normal(size=(2000, 4))
