@@ -9,8 +9,12 @@ When the root holds no rank, nothing can be merged and the symbols are the ids.
 size side by side as rows of a matrix, one merge per word and step. Both are
 exact; words are cached up to a fixed number per process.
 
-A null text is empty and has no ids. Decoding joins the token bytes and
-replaces malformed UTF-8, as the library does.
+A null or empty text has no ids. Long texts are encoded whole, word by word; a long
+word has a tree of its own, so time stays n log n. Among pairs of one rank the
+leftmost merges first. Repeated rows each get a row; an empty table gives an empty
+result; other columns, whatever their names, are neither read nor returned.
+Decoding joins the token bytes and replaces malformed UTF-8, as the library does.
+Files other than plain byte-level BPE are refused.
 """
 
 from __future__ import annotations

@@ -140,9 +140,10 @@ def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
-def quoted(name: str) -> str:
-    """A column's name as SQL takes it, whatever letters it has."""
-    return "`" + name.replace("`", "``") + "`"
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed to c0, c1 and so on, so that none can clash with an operator's own, and the new name of each; ``toDF`` takes the old ones back."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
 def text_of(docs: DataFrame, *columns, text_col: str = "text") -> DataFrame:

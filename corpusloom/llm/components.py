@@ -2,8 +2,11 @@
 
 Every step is a join and an aggregate over the edge table, so no component is
 ever gathered in one task; each step's edges are written to the shared folder,
-which cuts the lineage and survives lost executors. Nodes without edges don't
-appear. An empty edge table gives an empty result.
+which cuts the lineage and survives lost executors, and the step's before are
+deleted. The steps needed grow with the logarithm of a component's longest path;
+after ``MAX_STEPS``, far beyond any path that could be stored, a RuntimeError says
+so rather than a wrong result. Nodes without edges don't appear. An empty edge
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     state = None
     for _ in range(MAX_STEPS):
-        now = common.written(_small_star(_large_star(now)), "edges")
+        now, old = common.written(_small_star(_large_star(now)), "edges"), now
+        common.discard(old)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -14,8 +14,11 @@ is a forest with the same components, never all pairs of a group.
 
 A null or wordless text has fingerprint 0, linked like any other. Repeated rows
 share a fingerprint. Fewer words than a shingle: the whole word sequence is the
-one shingle. Rows with a null id keep a row in ``near_duplicates``; they name
-their group only if no other id does. An empty table gives an empty result; other columns are ignored.
+one shingle. Long texts are read whole; memory is bounded by the longest. A bit set
+in exactly half of the shingles is 0; a component is named by its smallest id. Rows
+with a null id keep a row in ``near_duplicates``; they name their group only if no
+other id does. An empty table gives an empty result; other columns, whatever their
+names, are ignored, or kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -276,7 +279,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, segments: i
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = common.written(placed.join(named, "root").select("fp", "component_id"), "classes")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return _placed(prints, by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def _placed(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Rows with what their class is given; all the copies of a text needn't meet in one task."""
+    hot = common.hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), [key], "n", rows.count())
+    return common.spread_join(rows, classes, [key], hot)
 
 
 def _alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -377,13 +386,23 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, budget: int = 5, segm
     placed = classes.select("node", "least", "body").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), F.col("least").alias("component_id"), F.col("body").alias("component_body"))).alias("first")).select("root", "first.component_id", "first.component_body")
     by_node = common.written(placed.join(named, "root").select("node", "component_id", "component_body"), "placed")
-    return prints.join(by_node, "node").select("doc_id", "component_id", "component_body")
+    return _placed(prints, by_node, "node").select("doc_id", "component_id", "component_body")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the rows of docs whose id and text name a group, a row and its repetitions once. A row with a null id stays only where its group has no other id."""
+    """One document of each group: the rows of docs whose id and text name a group, a row and its repetitions once. A row with a null id stays only where its group has no other id.
+
+    Ids and text hashes decide; only rows that a bitmap of the doubtful ones (not the first of their group, or repeated) may mean are shuffled.
+    """
     names = groups.select("component_id", "component_body").distinct()
-    hashed = docs.withColumn("__text", _body(docs, text_col))
-    one = hashed.join(names, F.col("__text").eqNullSafe(F.col("component_body")) & docs[id_col].cast("long").eqNullSafe(F.col("component_id")), "left_semi")
-    order = Window.partitionBy(id_col, "__text").orderBy(F.xxhash64(*[c for c in docs.columns if c != text_col]))
-    return one.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*docs.columns)
+    plain, name = common.numbered(docs)
+    id_col, text_col = name[id_col], name[text_col]
+    keyed = plain.select(plain[id_col].cast("long").alias("id"), _body(plain, text_col), *plain.columns)
+    keyed = keyed.withColumn("slot", common.slot(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "body"))
+    same = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("body") == F.col("component_body"))
+    counted = keyed.groupBy("id", "body", "slot").agg(F.count("*").alias("rows")).join(names.withColumn("named", F.lit(True)), same, "left")
+    bits = common.bitmap(counted.where("rows > 1 OR named IS NULL").select(F.col("slot").alias("tag")))
+    keyed = keyed.withColumn("doubtful", common.in_bitmap(bits, F.col("slot")))
+    order = Window.partitionBy("id", "body").orderBy(F.xxhash64(*[c for c in plain.columns if c != text_col]))
+    checked = keyed.where("doubtful").join(names, same, "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return keyed.where("NOT doubtful").select(*plain.columns).union(checked.select(*plain.columns)).toDF(*docs.columns)

@@ -214,9 +214,9 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[dict]:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, *columns) -> DataFrame:
-    """id, body, text, the wanted columns as one struct ``row`` and the row's spans or null. Rows that a bitmap of (id, body) shows to have none aren't shuffled."""
+    """id, body, text, the wanted columns and the row's spans or null. Rows that a bitmap of (id, body) shows to have none aren't shuffled."""
     bits = common.bitmap(spans.select(common.slot("id", "body").alias("tag")))
-    keyed = _keyed(docs, id_col, text_col, F.struct(*columns).alias("row")).withColumn("maybe", common.in_bitmap(bits, common.slot("id", "body")))
+    keyed = _keyed(docs, id_col, text_col, *columns).withColumn("maybe", common.in_bitmap(bits, common.slot("id", "body")))
     plain = keyed.where(~F.col("maybe")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     return plain.drop("maybe").unionByName(keyed.where("maybe").drop("maybe").join(spans, ["id", "body"], "left"))
 
@@ -227,7 +227,7 @@ def _spans(value: pa.Scalar) -> list[tuple[int, int]]:
 
 def removed_digests(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: ``doc_id``, n_words, n_removed and the digest of the kept words joined by one space."""
-    joined = _with_spans(docs, repeats(docs, length, seed, id_col, text_col), id_col, text_col, docs[id_col].alias("doc_id")).select("row.doc_id", "text", "spans")
+    joined = _with_spans(docs, repeats(docs, length, seed, id_col, text_col), id_col, text_col, docs[id_col].alias("doc_id")).select("doc_id", "text", "spans")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, gone, sha = [], [], []
@@ -257,8 +257,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, every row and column, with repeated passages cut out of the text."""
-    rest = [docs[common.quoted(c)].alias(c) for c in docs.columns if c != text_col]
-    joined = _with_spans(docs, repeats(docs, length, seed, id_col, text_col), id_col, text_col, docs[text_col].isNull().alias("none"), F.struct(*rest).alias("rest"))
+    plain, name = common.numbered(docs)
+    id_col, text_col, kind = name[id_col], name[text_col], docs.schema[text_col].dataType
+    others = [c for c in plain.columns if c != text_col]
+    joined = _with_spans(plain, repeats(plain, length, seed, id_col, text_col), id_col, text_col, plain[text_col].isNull().alias("none"), *others)
 
     @F.pandas_udf("string")
     def shortened(texts, spans):
@@ -266,6 +268,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_
 
     # A null in place of the text of every row without a repeat: those don't travel to Python.
     changed = shortened(F.when(F.col("spans").isNotNull(), F.col("text")), "spans")
-    kind = docs.schema[text_col].dataType
-    whole = F.when(~F.col("row.none"), F.coalesce("changed", F.col("text"))).cast(kind)
-    return joined.withColumn("changed", changed).select(*(whole.alias(c) if c == text_col else F.col("row").getField("rest").getField(c).alias(c) for c in docs.columns))
+    whole = F.when(~F.col("none"), F.coalesce("changed", F.col("text"))).cast(kind).alias(text_col)
+    return joined.withColumn("changed", changed).select(*(whole if c == text_col else c for c in plain.columns)).toDF(*docs.columns)

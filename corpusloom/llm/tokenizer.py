@@ -1,7 +1,10 @@
 """Byte-level BPE vocabularies read from a tokenizers file, and ids by a ranked encoder.
 
 Ids equal those of the ``tokenizers`` library with add_special_tokens=False: an
-added token's string in a text becomes its id, the rest is ordinary text.
+added token's string in a text becomes its id, the rest is ordinary text. Only
+files of that kind are taken: byte-level BPE without normaliser, prefix space or
+other options, token ids in the order of their merges, added tokens that stand
+for themselves. Any other file is refused rather than read wrongly.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ import functools
 import hashlib
 import json
 import re
+import warnings
 
 DEFAULT = "byte_bpe_50k.json"
 #: The word pattern of byte-level BPE.
@@ -33,6 +37,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse(spec: dict) -> None:
+    """ValueError for a tokenizers file that asks for more than this module does."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        ("a model other than BPE", model.get("type", "BPE") != "BPE"),
+        ("a normalizer", spec.get("normalizer") is not None),
+        ("another pre-tokenizer", before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False),
+        ("dropout, byte fallback or affixes", any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))),
+        ("whole words before merges", bool(model.get("ignore_merges"))),
+        ("added tokens that strip or match words", any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))),
+    ]
+    if found := [what for what, is_so in wrong if is_so]:
+        raise ValueError("not a plain byte-level BPE file: " + ", ".join(found))
+
+
 class Vocabulary:
     """Token bytes, merge ranks and added tokens of one file."""
 
@@ -41,6 +60,7 @@ class Vocabulary:
             raw = f.read()
         self.version = hashlib.sha256(raw.encode()).hexdigest()
         spec = json.loads(raw)
+        refuse(spec)
         letters = byte_letters()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ids = {t: i for t, i in spec["model"]["vocab"].items() if t not in added}
@@ -71,6 +91,9 @@ def _ranked(name: str):
     import tiktoken
 
     v = vocabulary(name)
+    ranks = [merged for _, (_, merged) in sorted(v.merges.items(), key=lambda x: x[1][0])]
+    if ranks != sorted(ranks):
+        return None  # ids aren't merge ranks: the library itself encodes
     by_rank = {v.token_bytes[i]: i for i in v.token_bytes if i not in set(v.added.values())}
     return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=by_rank, special_tokens={})
 
@@ -92,14 +115,17 @@ def library(name: str = DEFAULT):
 def encode(text: str, name: str = DEFAULT) -> list[int]:
     """The ids of one whole text; the library itself takes texts on which the ranked encoder gives up."""
     fast, out = _ranked(name), []
-    try:
-        for part, special in vocabulary(name).parts(text):
-            if special is None:
-                out += fast.encode_ordinary(part)
-            else:
-                out.append(special)
-    except (ValueError, RuntimeError, BaseException) as e:
-        if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-            raise
+    if fast is None:
         return library(name).encode(text, add_special_tokens=False).ids
+    for part, special in vocabulary(name).parts(text):
+        if special is not None:
+            out.append(special)
+            continue
+        try:
+            out += fast.encode_ordinary(part)
+        except BaseException as e:  # limits of its pattern engine on very long runs, which it may raise as a panic
+            if not isinstance(e, (ValueError, RuntimeError)) and type(e).__name__ != "PanicException":
+                raise
+            warnings.warn(f"a text of {len(text)} letters goes to the slower encoder: {e}", RuntimeWarning, stacklevel=2)
+            return library(name).encode(text, add_special_tokens=False).ids
     return out

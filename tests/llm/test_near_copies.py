@@ -41,7 +41,7 @@ def flipped(value, rng, most):
 
 def test_fingerprints(odd, none, nothing):
     got = simhash.fingerprints(odd, 3)
-    texts = {r["doc_id"]: r["text"] for r in odd.select("doc_id", "text").collect() if r["doc_id"] != 6}
+    texts = {r["doc_id"]: r["text"] for r in odd.select("doc_id", "text").collect()}
     seen = {r["doc_id"]: r["fp"] % (1 << 64) for r in got.collect()}
     for i, t in texts.items():
         assert seen[i] == plain_fingerprint(t, 3)
@@ -175,3 +175,33 @@ def test_null_ids_are_deduplicated(spark):
     assert sorted(i for i, _ in kept if i is not None) == [5, 7, 8] and (8, " ".join(c)) in kept
     alone = [t for i, t in kept if i is None]
     assert len(alone) == 2 and len([t for t in alone if t in (" ".join(a), near(a))]) == 1
+
+
+def test_hot_classes_and_clashing_names(spark, monkeypatch):
+    """A third of all rows is one text; rows of hot classes are placed from a broadcast. keep_one keeps columns of any name."""
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    one, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(i, one if i % 3 == 0 else other if i % 3 == 1 else f"own {i} " * 9) for i in range(90)] + [(5, "own 5 " * 9)] * 3
+    names = ["__text", "__place", "id", "body", "row", "slot", "doubtful", "tie", "place", "rows", "a.b"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], ["doc_id", "text", *names])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert all(got[i] == i % 3 for i in range(90) if i % 3 < 2)
+    kept = simhash.keep_one(docs, simhash.near_duplicate_groups(docs))
+    assert kept.columns == docs.columns
+    left = [tuple(r) for r in kept.collect()]
+    assert all(r[2:] == tuple(names) for r in left)
+    assert {r[0] for r in left if r[1] in (one, other)} == {0, 1} and len(left) == len({r[0] for r in left})
+
+
+def test_settled_steps_are_deleted(spark):
+    import os
+
+    from corpusloom.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100)], "u long, v long")
+    assert components.components(edges).count() == 101
+    assert len([f for f in set(os.listdir(folder)) - before if f.startswith("edges")]) == 1

@@ -1,6 +1,8 @@
 import hashlib
+import json
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +47,25 @@ def test_one_tree_equals_naive_merging(word):
     assert np.frombuffer(e.encode_words([word])[0], "<u4").tolist() == ids
 
 
+def test_other_files_are_refused(tmp_path):
+    with open(tokenizer.path_of()) as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not a plain byte-level BPE file"):
+            tokenizer.Vocabulary(str(path))
+
+
+def test_hot_digests(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    texts = ["one text again"] * 40 + [None, ""] * 4 + [f"text {k}" for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'c' AS digest", "1 AS rows", "2 AS n_tokens")
+    for _ in range(2):  # the second time from the cache
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, f"{tmp_path}/cache").collect()}
+        assert got == {i: len(reference(t or "")) for i, t in enumerate(texts)}
+
+
 def test_malformed_ids_decode_with_replacement():
     e = bpe.encoder()
     half = [i for i, b in e.vocabulary.token_bytes.items() if b == b"\xc3"]
