@@ -3,8 +3,11 @@
 Each stage works on what its predecessor kept: toxic documents go, low-quality
 documents go, one document of each near-duplicate group stays, repeated passages
 are cut out of the texts that stay, and the rest is packed. All but the last
-return the columns of documents. Null ids, null texts and repeated rows are
-handled as each operator states; empty documents give empty results.
+return the columns of documents, whatever their names. A score of exactly its
+threshold rejects a toxic document and keeps one of low quality. Null texts count
+as empty, null ids as larger than any other; repeated rows are judged alike and
+one of them stays, since they are copies. Long texts are read whole at every stage.
+Empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grammar = toxicity.fit(docs, _labels(spark, sf_dir))
-    return docs.withColumn("__score", toxicity.scorer(docs, grammar)).where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.where(toxicity.scorer(docs, grammar) < toxicity.THRESHOLD)
 
 
 def without_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, _labels(spark, sf_dir))
-    return docs.withColumn("__score", quality.scorer(docs, model)).where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    return docs.where(quality.scorer(docs, model) >= quality.THRESHOLD)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
