@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
@@ -91,8 +90,10 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     return left.join(F.broadcast(hot), keys, "left_anti").join(right, keys).union(left.join(F.broadcast(few), keys))
 
 
-#: Bits of a bitmap: 8 MiB at any size of the input; overfull, it only lets more rows through.
+#: Bits of a bitmap that goes to Python: 8 MiB at any size of the input; overfull, it only lets more rows through.
 MAP_BITS = 26
+#: The same for one that stays on the JVM, a broadcast of at most 2 ** (SLOT_BITS - 6) rows of two longs.
+SLOT_BITS = 24
 
 
 def slots(*columns: np.ndarray) -> np.ndarray:
@@ -103,34 +104,46 @@ def slots(*columns: np.ndarray) -> np.ndarray:
     return (h >> U(64 - MAP_BITS)).astype(np.int64)
 
 
-def slot(*columns: Column) -> Column:
-    """A slot of the bitmap, on the JVM (not the same as slots())."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << MAP_BITS)).cast("int")
+def _words(tags: DataFrame) -> DataFrame:
+    return tags.select(F.shiftright("tag", 6).alias("word"), F.expr("shiftleft(1L, tag & 63)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def bitmap(tags: DataFrame) -> Broadcast:
     """A broadcast bitmap of the slots in column ``tag``; at most 2 ** (MAP_BITS - 6) rows of 16 bytes reach the driver."""
-    words = tags.select(F.shiftright("tag", 6).alias("word"), F.expr("shiftleft(1L, tag & 63)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    got = words.toArrow()
+    got = _words(tags).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return tags.sparkSession.sparkContext.broadcast(out)
 
 
-def in_bitmap(bits: Broadcast, tag: Column) -> Column:
-    """Whether a slot is set."""
+def slot(*columns: Column) -> Column:
+    """A slot of a bitmap on the JVM."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << SLOT_BITS)).cast("int")
+
+
+def marked(rows: DataFrame, tags: DataFrame, tag: str, name: str) -> DataFrame:
+    """rows with a boolean column: whether their slot in column ``tag`` is among the ``tag`` of tags. True for all that are, and for few others."""
+    bits = F.broadcast(_words(tags.select(F.col(tag).alias("tag"))).withColumnsRenamed({"word": "__word", "bits": "__bits"}))
+    found = rows.join(bits, F.shiftright(tag, 6) == F.col("__word"), "left")
+    return found.withColumn(name, F.coalesce(F.expr(f"shiftright(__bits, {tag} & 63) & 1") == 1, F.lit(False))).drop("__word", "__bits")
 
-    @F.pandas_udf("boolean")
-    def test(tags: pd.Series) -> pd.Series:
-        t = tags.to_numpy()
-        return pd.Series((bits.value[t >> 6] >> (t & 63) & 1).astype(bool))
 
-    return test(tag)
+#: Spark's defaults and what is set in their place: rows and bytes in an Arrow batch. Whole texts are long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def lean(spark: SparkSession) -> None:
+    """Whole texts go to Python in small batches, so that neither the JVM nor a worker holds ten thousand of them. What the session has set otherwise stays."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, ours)
 
 
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for a function from batch to batch."""
 
+    lean(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):  # whole texts: keep the working set small
@@ -173,7 +186,7 @@ def powers(base: int, n: int) -> np.ndarray:
         while filled < size:
             np.multiply(out[:filled], U(step), out=out[filled : 2 * filled])
             step, filled = step * step % (1 << 64), 2 * filled
-        if size > 1 << 21:
+        if size > 1 << 18:
             return out
         _powers[base] = have = out
     return have
@@ -207,7 +220,7 @@ class Rolling:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_PIECE, _LONG_WORD = 1 << 20, 256
+_PIECE, _LONG_WORD = 1 << 16, 256
 
 
 def word_hashes(data: bytes) -> np.ndarray:

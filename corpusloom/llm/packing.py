@@ -189,6 +189,7 @@ def pack(docs: DataFrame, size: int = SIZE, end: int = 0, name: str = tokenizer.
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kept = common.text_of(docs, docs[id_col].alias("doc_id"), text_col=text_col)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    common.lean(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(name, size, end, TaskContext.get().partitionId() << 40)

@@ -12,7 +12,7 @@ The mean and the output layer are linear, so for scoring each bucket's vector is
 folded into the amount it adds to the log odds; scores are those of the model.
 
 Null and empty texts have no feature and get the score of the output bias. All
-of a text counts, in pieces of a million letters cut at white space, which change
+of a text counts, in pieces of 65,536 letters cut at white space, which change
 no feature; memory is bounded by a piece and the longest word. Repeated rows
 score alike, and among training rows with one id the smaller label counts. A
 score of exactly the threshold predicts 1. Without labels of both classes every
@@ -33,7 +33,7 @@ from corpusloom.llm.labelled import held_out, training_rows
 
 BUCKETS, DIM, ROWS, EPOCHS, RATE, THRESHOLD = 1 << 16, 16, 3000, 12, 0.15, 0.3
 GRAMS, REPEATED = (2, 3, 4), 12
-_PIECE = 1 << 20
+_PIECE = 1 << 16
 
 
 def features(text: str) -> np.ndarray:
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The score of the text column, as a column of docs."""
+    common.lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -401,8 +401,7 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_co
     keyed = keyed.withColumn("slot", common.slot(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "body"))
     same = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("body") == F.col("component_body"))
     counted = keyed.groupBy("id", "body", "slot").agg(F.count("*").alias("rows")).join(names.withColumn("named", F.lit(True)), same, "left")
-    bits = common.bitmap(counted.where("rows > 1 OR named IS NULL").select(F.col("slot").alias("tag")))
-    keyed = keyed.withColumn("doubtful", common.in_bitmap(bits, F.col("slot")))
+    keyed = common.marked(keyed, common.written(counted.where("rows > 1 OR named IS NULL").select("slot").distinct(), "doubtful"), "slot", "doubtful")
     order = Window.partitionBy("id", "body").orderBy(F.xxhash64(*[c for c in plain.columns if c != text_col]))
     checked = keyed.where("doubtful").join(names, same, "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
     return keyed.where("NOT doubtful").select(*plain.columns).union(checked.select(*plain.columns)).toDF(*docs.columns)

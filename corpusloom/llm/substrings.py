@@ -215,8 +215,8 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[dict]:
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, *columns) -> DataFrame:
     """id, body, text, the wanted columns and the row's spans or null. Rows that a bitmap of (id, body) shows to have none aren't shuffled."""
-    bits = common.bitmap(spans.select(common.slot("id", "body").alias("tag")))
-    keyed = _keyed(docs, id_col, text_col, *columns).withColumn("maybe", common.in_bitmap(bits, common.slot("id", "body")))
+    keyed = _keyed(docs, id_col, text_col, *columns).withColumn("slot", common.slot("id", "body"))
+    keyed = common.marked(keyed, spans.select(common.slot("id", "body").alias("slot")), "slot", "maybe").drop("slot")
     plain = keyed.where(~F.col("maybe")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     return plain.drop("maybe").unionByName(keyed.where("maybe").drop("maybe").join(spans, ["id", "body"], "left"))
 

@@ -52,6 +52,8 @@ BIAS, INSULT, TARGETED, THREATENED, NEGATED, REPORTED = -2.5, 5.0, 0.5, 4.5, 0.3
 LIGHT, RATIO, AMONG = 3.5, 8, 3
 #: Learning takes the best TAKE stems of the BEST that reach the driver and goes on with the toxic texts that these don't explain.
 TAKE, BEST = 4, 64
+#: Terms that a task counts before it hands them on.
+HELD = 50_000
 #: It stops at TERMS, when no stem is far above chance, or when no more than this share of the toxic texts is left: what a few near copies share is no stem.
 LEFT = 0.01
 
@@ -257,22 +259,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     train = common.written(training_rows(docs, labels, label, rows, id_col, text_col).withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"]).select("label", "text"), "toxic-train")
 
     def counter(grammar: Grammar | None):
+        def table(texts: Counter, uses: Counter, words: Counter) -> pa.RecordBatch:
+            terms = list(texts)
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (texts, uses, words))], ["term", "texts", "uses", "words"])
+
         def run(batches):
-            texts, uses, words = Counter(), Counter(), Counter()
+            held = Counter(), Counter(), Counter()
             for b in batches:
-                for text in b.column("text").to_pylist():
+                for text in b.column("text"):
+                    text = text.as_py()
                     if grammar is None or sum(len(found) for _, found in grammar.clauses(text)) < 2:
                         seen, n = terms_of(text)
-                        texts.update(dict.fromkeys([*seen, ""], 1))
-                        uses.update(seen)
-                        words.update(dict.fromkeys([*seen, ""], n))
-            terms = list(texts)
-            for at in range(0, len(terms), 50_000):
-                part = terms[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in (texts, uses, words))], ["term", "texts", "uses", "words"])
+                        held[0].update(dict.fromkeys([*seen, ""], 1))
+                        held[1].update(seen)
+                        held[2].update(dict.fromkeys([*seen, ""], n))
+                        if len(held[0]) > HELD:
+                            yield table(*held)
+                            held = Counter(), Counter(), Counter()
+            if held[0]:
+                yield table(*held)
 
         return run
 
+    common.lean(docs.sparkSession)
+
     def counts(frame: DataFrame, grammar: Grammar | None, prefix: str = "") -> DataFrame:
         """Per term; the empty one counts all texts."""
         made = frame.select("text").mapInArrow(counter(grammar), "term string, texts long, uses long, words long")
@@ -307,6 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
 
 def scorer(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> Column:
     """The score of the text column, as a column of docs."""
+    common.lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     @F.pandas_udf("double")
