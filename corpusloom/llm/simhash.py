@@ -276,9 +276,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, segments: i
     prints = common.written(fingerprints(docs, size, id_col, text_col), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(linked(classes.select(F.col("fp").alias("node"), "fp"), budget, segments, block=block))
-    placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = common.written(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = common.written(placed.join(named, "root").select("fp", "component_id"), "classes")
+    by_print = common.written(_placed(placed, named, "root").select("fp", "component_id"), "classes")
     return _placed(prints, by_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -383,9 +383,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, budget: int = 5, segm
     pairs = linked(classes.select("node", *shape), budget, segments, wide_budget, block).distinct()
     members = classes.where("size > 0").select(F.explode("bands").alias("key"), "node").union(pairs.select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("node")))
     roots = components(confirmed(docs, classes, members, words, id_col, text_col))
-    placed = classes.select("node", "least", "body").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = common.written(classes.select("node", "least", "body").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     named = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), F.col("least").alias("component_id"), F.col("body").alias("component_body"))).alias("first")).select("root", "first.component_id", "first.component_body")
-    by_node = common.written(placed.join(named, "root").select("node", "component_id", "component_body"), "placed")
+    by_node = common.written(_placed(placed, named, "root").select("node", "component_id", "component_body"), "placed")
     return _placed(prints, by_node, "node").select("doc_id", "component_id", "component_body")
 
 
