@@ -1,4 +1,4 @@
-"""Command line: config-check, safety-check, ingest, ask, score."""
+"""Command line: config-check, run (a registered query), manifest-check, safety-check."""
 
 from __future__ import annotations
 
@@ -36,11 +36,12 @@ def main(argv: list[str] | None = None) -> int:
 
         print(manifest.load(spark, args.path).count())
     else:
+        from corpusloom.functions import redaction
         from corpusloom.functions import text as T
         from corpusloom.operators import scoring
 
         cases = T.normalize_column(spark.read.schema("kind string, text string, values array<string>").json(args.path), "text")
-        print(scoring.safety(cases).toJSON().first())
+        print(scoring.safety(cases, redaction.NAMES).toJSON().first())
     return 0
 
 

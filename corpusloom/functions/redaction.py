@@ -1,17 +1,26 @@
 """Personal data: what the patterns find, and texts with every find replaced by its tag.
 
 A policy is one JVM expression in which each step's text is bound once, so its
-size is linear in the steps wherever it is pushed. A recogniser of names can be
-added as a step of its own; none is built in.
+size is linear in the steps wherever it is pushed. Names are a step of their own:
+``NAMES`` finds those that a title or label stands before, any other recogniser can
+take its place.
 """
 
 from __future__ import annotations
 
+import html
+import json
+import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from corpusloom.functions import text as T
 
 # The patterns of the document policy.
 SIN = r"\b\d{3}[- ]?\d{3}[- ]?\d{3}\b"
@@ -139,15 +148,55 @@ def counts_map(counts: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
 
 
-_LITERAL = r'"((?:[^"\\]|\\.)*)"'
+#: Titles and phrases that a person's name follows, then up to three capitalised words: a rule, no recogniser.
+_NAME = r"(?U)\b((?i:my name is|name\s*:|full name\s*:|attention\s*:|signed by|regards,|sincerely,|mr\.?|mrs\.?|ms\.?|dr\.?)\s+)\p{Lu}[\p{L}'-]+(?:[ ]\p{Lu}[\p{L}'-]+){0,2}"
+#: The names step to hand to a policy: finds labelled names only. Names without a label stay.
+NAMES = Step("PERSON", lambda x: F.regexp_count(x, F.lit(_NAME)), lambda x: F.regexp_replace(x, _NAME, "$1" + _tag("PERSON")))
+
+_LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("raw", StringType()), StructField("text", StringType())])))
+def _strings(x: pd.Series) -> pd.Series:
+    """The distinct string literals of JSON texts with what they decode to; null for a text that isn't JSON."""
+
+    def read(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        try:
+            json.loads(text)
+            return [{"raw": raw, "text": json.loads(raw)} for raw in dict.fromkeys(_LITERAL.findall(text))]
+        except (ValueError, RecursionError):
+            return None
+
+    return x.map(read)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _composed(x: pd.Series) -> pd.Series:
+    return x.map(lambda ts: None if ts is None else [unicodedata.normalize("NFKC", html.unescape(t)) for t in ts])
+
+
+def json_strings(x: Column) -> Column:
+    """array<struct<raw, text>>: the distinct string literals of a JSON text, keys too, and their decoded, normalised texts; null if it isn't JSON."""
+    found = _strings(x)
+    texts = F.transform(_composed(F.transform(found, lambda p: p["text"])), T.strip_controls)
+    return F.zip_with(found, texts, lambda p, t: F.struct(p["raw"].alias("raw"), t.alias("text")))
 
 
 def redacted_json(x: Column, steps: tuple[Step, ...] = QUERY_STEPS) -> Column:
     """JSON text with every string in it redacted, keys too, at any depth; numbers and structure stay.
 
-    Only distinct strings that a policy changes are replaced, as whole literals, so the result is JSON as well.
+    Strings are decoded and normalised, then redacted; those in which something is found are encoded anew and put in
+    place of the whole literal, so the result is JSON as well. A text that isn't JSON is redacted as plain text.
     """
-    literals = F.array_distinct(F.regexp_extract_all(x, F.lit(_LITERAL), F.lit(1)))
-    pairs = F.transform(literals, lambda t: F.struct(t.alias("old"), policy(t, steps)["text"].alias("new")))
-    quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
-    return F.aggregate(F.filter(pairs, lambda p: p["old"] != p["new"]), x, lambda text, p: F.replace(text, quoted(p["old"]), quoted(p["new"])))
+    encoded = lambda t: F.regexp_extract(F.to_json(F.struct(t.alias("v"))), r'(?s)^\{"v":(".*")\}$', 1)
+    done = F.transform(json_strings(x), lambda p: F.struct(p["raw"].alias("raw"), policy(p["text"], steps).alias("r")))
+    put = F.aggregate(F.filter(done, lambda p: F.size(p["r"]["counts"]) > 0), x, lambda text, p: F.replace(text, p["raw"], encoded(p["r"]["text"])))
+    return F.coalesce(put, policy(T.normalized(x), steps)["text"])
+
+
+def json_clean(x: Column, steps: tuple[Step, ...] = QUERY_STEPS) -> Column:
+    """Whether a policy finds nothing in a text, normalised, nor in any decoded string of it, if it is JSON; null: false."""
+    inside = F.coalesce(F.exists(json_strings(x), lambda p: F.size(policy(p["text"], steps)["counts"]) > 0), F.lit(False))
+    return x.isNotNull() & ~found(policy(T.normalized(x), steps)) & ~inside

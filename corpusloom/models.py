@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import redaction
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
+from corpusloom.shared import require
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Chat = Callable[[list[tuple[str, str]]], list[dict]]
@@ -79,8 +80,7 @@ def embedded(prompts: DataFrame, make: Callable[[], Embedder], dimension: int, k
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(got, pa.list_(pa.float32()))], [key, "embedding"])
 
     made = prompts.select(key, text_col).dropDuplicates([key]).mapInArrow(run, f"{key} string, embedding array<float>")
-    ok = V.valid(F.col("embedding"), dimension)
-    return made.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit("invalid embedding")).cast("array<float>")))
+    return require(made, V.valid(F.col("embedding"), dimension), F.lit("invalid embedding"))
 
 
 REPLY = "text string, finish_reason string, complete boolean, model string, input_tokens long, output_tokens long"
@@ -104,10 +104,8 @@ def prompt_key(scope: Column, system: Column, user: Column) -> Column:
 
 
 def cache_safe(text: Column) -> Column:
-    """No personal data in the text, as it stands and with JSON escapes decoded."""
-    plain = F.regexp_replace(text, r'\\"', '"')
-    clean = lambda x: x.isNotNull() & ~redaction.found(redaction.query_policy(x))
-    return clean(text) & clean(F.coalesce(F.to_json(F.try_parse_json(text)), plain))
+    """No personal data in the text, as it stands and, if it is JSON, in its decoded strings; both are normalised."""
+    return redaction.json_clean(text)
 
 
 def usable(cache: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.shared import Settings, numbered
+from corpusloom.shared import Settings, numbered, require
 
 
 def last_per_hash(chunks: DataFrame, order_col: str, hash_col: str = "content_hash") -> DataFrame:
@@ -39,9 +39,9 @@ def batches(pending_hashes: DataFrame, settings: Settings = Settings(), hash_col
 
 
 def with_vectors(chunks: DataFrame, vectors: DataFrame, hash_col: str = "content_hash") -> DataFrame:
-    """Every chunk with its vector; a missing vector fails the job when the row is read."""
+    """Every chunk with its vector; a missing vector fails the job."""
     joined = chunks.join(vectors.select(hash_col, "embedding"), hash_col, "left")
-    return joined.withColumn("embedding", F.when(F.col("embedding").isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(hash_col))).cast("array<float>")).otherwise(F.col("embedding")))
+    return require(joined, F.col("embedding").isNotNull(), F.concat(F.lit("no vector for "), F.coalesce(hash_col, F.lit("a null hash"))))
 
 
 def without_chunks(documents: DataFrame, chunks: DataFrame, id_col: str = "document_id") -> DataFrame:

@@ -97,28 +97,32 @@ def delta(before: DataFrame, after: DataFrame, key: str, *counters: str) -> Data
     return after.join(old, key, "left").select(key, *[(F.col(c) - F.coalesce(F.col(f"__{c}"), F.lit(0))).alias(c) for c in counters])
 
 
-def safety(cases: DataFrame) -> DataFrame:
+def safety(cases: DataFrame, names=None) -> DataFrame:
     """Totals over labelled cases.
 
     cases: kind (pii, control, attack), text, normalized, values array<string> (normalised). A value is removed if it no
-    longer stands in the redacted text.
+    longer stands in the redacted text once that is normalised: hiding it from a pattern is no removal.
     """
     from corpusloom.functions import guards, redaction
     from corpusloom.functions import text as T
+    from corpusloom.shared import written
 
-    document, query = redaction.document_policy(F.col("text"))["text"], redaction.query_policy(F.col("normalized"))["text"]
-    gone = lambda output: F.size(F.filter("values", lambda v: T.value_removed(v, output)))
+    cases = cases.withColumns({"__document": redaction.document_policy(F.col("text"), names)["text"], "__query": redaction.query_policy(F.col("normalized"), names)["text"]})
+    cases = written(cases, "cases")  # keeps the optimiser from moving Python functions into the sums below
+    cases = written(cases.withColumns({"__document_seen": T.normalized(F.col("__document")), "__query_seen": T.normalized(F.col("__query"))}), "cases")
+    document, query = F.col("__document"), F.col("__query")
+    gone = lambda output: F.size(F.filter("values", lambda v: T.value_removed(v, F.col(output))))
     is_ = lambda k: F.col("kind") == k
     flagged = guards.injection(F.col("normalized"))
     return cases.agg(
         F.count_if(is_("pii")).alias("pii_cases"),
         F.sum(F.when(is_("pii"), F.size("values")).otherwise(0)).alias("expected_values"),
-        F.sum(F.when(is_("pii"), gone(document)).otherwise(0)).alias("baseline_removed"),
-        F.sum(F.when(is_("pii"), gone(query)).otherwise(0)).alias("query_removed"),
+        F.sum(F.when(is_("pii"), gone("__document_seen")).otherwise(0)).alias("baseline_removed"),
+        F.sum(F.when(is_("pii"), gone("__query_seen")).otherwise(0)).alias("query_removed"),
         F.count_if(is_("attack")).alias("attacks"),
         F.count_if(is_("attack") & flagged).alias("attacks_caught"),
         F.count_if(is_("control")).alias("controls"),
         F.count_if(is_("control") & flagged).alias("controls_flagged"),
         F.count_if(is_("control") & (document != F.col("text"))).alias("baseline_controls_changed"),
-        F.count_if(is_("control") & (query != F.col("text"))).alias("query_controls_changed"),
+        F.count_if(is_("control") & (query != F.col("normalized"))).alias("query_controls_changed"),
     )

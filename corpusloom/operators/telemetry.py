@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.shared import require
 
 # Metric names and units.
 METRICS = {
@@ -28,8 +29,13 @@ ALARMS = (("errors", "sum", 0.0, 60), ("latency_ms", "average", 30000.0, 60))
 BODY_LIMIT, MOST_RETRIEVED = 128_000, 20
 
 
-def _either(*columns: Column) -> Column:
-    return F.coalesce(*[F.when(c != "", c) for c in columns])
+def _truthy(v: Column) -> Column:
+    """Whether a variant is there and neither null, false, zero nor empty."""
+    kind = F.schema_of_variant(v)
+    empty = kind.isin("VOID", "ARRAY<VOID>", "OBJECT<>") & (F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")), F.lit(0)) == 0)
+    blank = (kind == "STRING") & (F.try_variant_get(v, "$", "string") == "")
+    zero = F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False)) & ~kind.isin("STRING")
+    return v.isNotNull() & ~F.coalesce(empty, F.lit(False)) & ~F.coalesce(blank, F.lit(False)) & ~zero
 
 
 def invocation_events(calls: DataFrame) -> DataFrame:
@@ -47,16 +53,16 @@ def invocation_events(calls: DataFrame) -> DataFrame:
     error = failed | F.coalesce((code == 409) | (code >= 500), F.lit(False))
     rejected = F.coalesce(code.isin(400, 405, 415), F.lit(False))
     refused = ~error & ~rejected & F.coalesce(text("$.status") == "refused", F.lit(False))
-    given = _either(text("$.reason"), text("$.error"))
+    given = F.when(_truthy(get("$.reason", "variant")), text("$.reason")).otherwise(text("$.error"))
     reason = F.when(failed, "handler_exception").when(given.isin(*REASONS), given)
     count = F.least(F.coalesce(F.size(get("$.retrieved", "array<variant>")), F.lit(0)), F.lit(MOST_RETRIEVED))
     status = F.when(error, "error").when(rejected, "rejected").when(refused, "refused").when(text("$.status") == "answered", "answered").otherwise("completed")
     latency = F.col("latency_ms")
     fit = F.col("stage").isin(*STAGES) & F.col("environment").isin(*ENVIRONMENTS) & ~F.isnan(latency) & (latency >= 0) & (latency < float("inf"))
-    return calls.select(
+    return require(calls, fit, F.lit("unregistered dimension or bad latency")).select(
         F.lit("invocation").alias("telemetry_event"),
         T.run_id(F.col("invocation_id")).alias("invocation_id"),
-        F.when(F.coalesce(fit, F.lit(False)), F.col("stage")).otherwise(F.raise_error(F.lit("unregistered dimension or bad latency")).cast("string")).alias("stage"),
+        "stage",
         "environment",
         status.alias("status"),
         reason.alias("reason"),

@@ -9,6 +9,7 @@ from corpusloom import models
 from corpusloom.functions import guards, redaction
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, chunking, ingest, retrieval, scoring, sections, telemetry
+from corpusloom.plans import fixtures
 from corpusloom.plans.registry import _CALLS_SQL, _RANKED, SETTINGS, SQL, _calls, _events, _ranked, query, read
 from corpusloom.sources import files, logs
 from corpusloom.sources import manifest as M
@@ -128,6 +129,13 @@ def reply_order(spark, sf_dir):
     return replies.select("label", F.element_at("v", -1).alias("last"), F.size("v").cast("long").alias("n"))
 
 
+@query()
+def json_cases(spark, sf_dir):
+    """Strings with escapes, entities and plain text: redacted, and whether a cache may hold them."""
+    c = fixtures.json_cases(spark)
+    return c.select("name", redaction.redacted_json(F.col("text")).alias("redacted"), models.cache_safe(F.col("text")).alias("cache_safe"))
+
+
 @query()
 def json_redaction(spark, sf_dir):
     """Conversations as nested JSON with every string redacted."""
@@ -318,5 +326,6 @@ SQL["source_validation"] = _values("document_id, source_url, errors", [
     ("e-21", _OFFICIAL, ""), ("guide-2", "https://priv.gc.ca:443/en", ""), ("foreign", "https://example.com/en", "source_url"), ("private", _OFFICIAL, "public"), ("../up", _OFFICIAL, "document_id"),
     ("plain", "http://www.priv.gc.ca/en", "source_url"), ("user", "https://me@www.priv.gc.ca/en", "title,format,source_url,resolved_url"), (None, None, "document_id,regulator,title,format,public,source_url"),
 ])
-SQL["safety_totals"] = "SELECT 5::BIGINT AS pii_cases, 6::BIGINT AS expected_values, 4::BIGINT AS baseline_removed, 5::BIGINT AS query_removed, 7::BIGINT AS attacks, 7::BIGINT AS attacks_caught, 5::BIGINT AS controls, 0::BIGINT AS controls_flagged, 1::BIGINT AS baseline_controls_changed, 1::BIGINT AS query_controls_changed"
+SQL["json_cases"] = _values("name, redacted, cache_safe", [(n, r, ok) for n, _, r, ok in fixtures.JSON_CASES])
+SQL["safety_totals"] = "SELECT " + ", ".join(f"{n}::BIGINT AS {k}" for k, n in fixtures.expected_safety().items())
 SQL["manifest_scan"] = f"WITH {_MANIFEST_SQL} SELECT document_id, title, source_url FROM m"

@@ -252,7 +252,7 @@ def output_violations(spark, sf_dir):
 
 @query()
 def safety_totals(spark, sf_dir):
-    return scoring.safety(fixtures.cases(spark))
+    return scoring.safety(fixtures.cases(spark), redaction.NAMES)
 
 
 # --- sections and chunks ----------------------------------------------------

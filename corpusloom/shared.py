@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def require(df: DataFrame, condition: Column, message: Column) -> DataFrame:
+    """df; a row for which the condition isn't true fails the job. A filter, so no plan leaves it out, whatever columns it reads."""
+    return df.where(F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     """df with each row's zero-based place in the given total order, without moving all rows to one task.
 

@@ -10,16 +10,19 @@ _NAME = r"([^/]+)\.([A-Za-z0-9]+)$"
 
 
 def raw_documents(spark: SparkSession, folder: str, limit: int = LIMIT) -> DataFrame:
-    """document_id, format, content, sha256 of the files of at most ``limit`` bytes in a folder."""
-    files = spark.read.format("binaryFile").load(folder).where(F.col("length") <= limit)
-    return files.select(F.regexp_extract("path", _NAME, 1).alias("document_id"), F.lower(F.regexp_extract("path", _NAME, 2)).alias("format"), "content", F.sha2("content", 256).alias("sha256"))
+    """document_id, format, content, sha256 of the files in a folder; of one over ``limit`` bytes, which isn't read, ``length`` alone."""
+    named = [F.regexp_extract("path", _NAME, 1).alias("document_id"), F.lower(F.regexp_extract("path", _NAME, 2)).alias("format")]
+    files = spark.read.format("binaryFile").load(folder)
+    whole = files.where(F.col("length") <= limit).select(*named, "content", F.sha2("content", 256).alias("sha256"), "length")
+    large = files.where(F.col("length") > limit).select(*named, F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("sha256"), "length")
+    return whole.unionByName(large)
 
 
 def verified(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources with ``content`` and ``error``: null if the bytes are those of the manifest and the retrieval date is known."""
-    got = raw.select("document_id", "format", "content", F.col("sha256").alias("__sha"))
-    error = F.when(F.col("content").isNull(), "missing").when(F.col("retrieved_at").isNull(), "no retrieval date").when(~F.col("__sha").eqNullSafe(F.col("sha256")), "hash mismatch")
-    return sources.join(got, ["document_id", "format"], "left").withColumn("error", error).drop("__sha")
+    got = raw.select("document_id", "format", "content", F.col("sha256").alias("__sha"), "length")
+    error = F.when(F.col("content").isNull() & F.col("length").isNotNull(), "too large").when(F.col("content").isNull(), "missing").when(F.col("retrieved_at").isNull(), "no retrieval date").when(~F.col("__sha").eqNullSafe(F.col("sha256")), "hash mismatch")
+    return sources.join(got, ["document_id", "format"], "left").withColumn("error", error).drop("__sha", "length")
 
 
 def to_download(sources: DataFrame, raw: DataFrame, refresh: bool = False) -> DataFrame:
@@ -27,7 +30,7 @@ def to_download(sources: DataFrame, raw: DataFrame, refresh: bool = False) -> Da
     if refresh:
         return sources
     known = sources.where("sha256 IS NOT NULL AND retrieved_at IS NOT NULL")
-    held = known.join(raw.select("document_id", F.col("sha256").alias("__sha")), "document_id").select("document_id", F.when(F.col("__sha") != F.col("sha256"), F.raise_error(F.lit("cached source hash mismatch")).cast("boolean")).otherwise(F.lit(True)).alias("__held"))
+    held = known.join(raw.select("document_id", F.col("sha256").alias("__sha")), "document_id").select("document_id", F.when(~F.col("__sha").eqNullSafe(F.col("sha256")), F.raise_error(F.lit("cached source hash mismatch")).cast("boolean")).otherwise(F.lit(True)).alias("__held"))
     return sources.join(held.where("__held"), "document_id", "left_anti")
 
 

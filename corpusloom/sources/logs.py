@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.telemetry import METRICS, REASONS, STATUSES
+from corpusloom.shared import require
 
 EVENT = "telemetry_event string, stage string, environment string, status string, reason string, delivery_failed boolean, " + ", ".join(f"{m} double" for m in METRICS)
 
@@ -21,8 +22,8 @@ def invocations(lines: DataFrame, stage: str, environment: str, column: str = "v
     sound = F.lit(True)
     for m in METRICS:
         sound = sound & F.coalesce((F.col(m) >= 0) & (F.col(m) < float("inf")), F.lit(False))
-    checked = e.withColumn("stage", F.when(F.coalesce(own, F.lit(False)), F.col("stage")).otherwise(F.raise_error(F.lit("event of another stage or environment")).cast("string")))
-    checked = checked.withColumn("requests", F.when(sound, F.col("requests")).otherwise(F.raise_error(F.lit("metric out of range")).cast("double")))
+    other = F.coalesce(F.col("telemetry_event") != "invocation", F.lit(True))  # filters may be evaluated in any order
+    checked = require(require(e, other | own, F.lit("event of another stage or environment")), other | sound, F.lit("metric out of range"))
     known = (*REASONS, "handler_exception")
     return checked.withColumn("status", F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("unknown")).withColumn("reason", F.when(F.col("reason").isin(*known), F.col("reason"))).drop("delivery_failed")
 

@@ -114,7 +114,11 @@ def test_raw_files(spark, tmp_path):
     assert {r["document_id"] for r in files.to_download(sources.where("document_id IN ('a', 'd') AND format = 'html'"), raw).collect()} == {"d"}
     with pytest.raises(Exception, match="hash mismatch"):
         files.to_download(sources, raw).collect()
-    assert files.raw_documents(spark, str(tmp_path), limit=3).count() == 1
+    few = files.raw_documents(spark, str(tmp_path), limit=3)
+    assert few.where("content IS NOT NULL").count() == 1
+    assert {(r["document_id"], r["format"]): r["error"] for r in files.verified(few, sources).collect()}["b", "html"] == "too large"
+    with pytest.raises(Exception, match="hash mismatch"):
+        files.to_download(sources.where("document_id = 'b'"), few).collect()
     chunk = spark.createDataFrame([("a", "x")], "document_id string, text string")
     files.write_artifact(chunk, str(tmp_path / "out"), "r1", "chunks")
     assert files.read_artifact(spark, str(tmp_path / "out"), "r1", "chunks", "document_id string, text string").count() == 1

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import models
+from corpusloom.functions import redaction
 from corpusloom.operators import answers, ingest, retrieval, scoring, store
 from corpusloom.plans import ask, evaluate, fixtures
 from corpusloom.plans import ingest as build
@@ -130,9 +131,12 @@ def test_usage_keeps_unknown_apart(spark):
 
 
 def test_safety_totals(spark):
-    r = scoring.safety(fixtures.cases(spark)).first()
-    assert (r["pii_cases"], r["expected_values"], r["baseline_removed"], r["query_removed"]) == (5, 6, 4, 5)
-    assert (r["attacks"], r["attacks_caught"], r["controls_flagged"], r["query_controls_changed"]) == (7, 7, 0, 1)
+    r = scoring.safety(fixtures.cases(spark), redaction.NAMES).first().asDict()
+    assert r == fixtures.expected_safety()
+    assert (r["pii_cases"], r["expected_values"], r["baseline_removed"], r["query_removed"]) == (19, 21, 8, 16)
+    assert (r["attacks"], r["attacks_caught"], r["controls"], r["controls_flagged"], r["query_controls_changed"]) == (14, 11, 9, 1, 1)
+    without = scoring.safety(fixtures.cases(spark)).first()
+    assert (without["baseline_removed"], without["query_removed"]) == (7, 15)  # the labelled name stays
 
 
 def test_cached_replies(spark):

@@ -126,3 +126,33 @@ def test_observer_never_alters_a_call(spark):
     watched, seen = observe.counted(spark.range(10), "rows", n=F.count("*"))
     watched.collect()
     assert seen.get == {"n": 10}
+
+
+def test_checks_hold_whatever_columns_are_read(spark):
+    """No plan leaves a check out because the columns it hangs on aren't asked for."""
+    from corpusloom import models
+    from corpusloom.operators import ingest
+    from corpusloom.sources import logs
+
+    event = {"telemetry_event": "invocation", "stage": "query", "environment": "dev", "status": "answered", **dict.fromkeys(t.METRICS, 1)}
+    for change in ({"stage": "embed"}, {"environment": "prod"}, {"latency_ms": -5}, {"errors": None}):
+        lines = spark.createDataFrame([(json.dumps(event),), (json.dumps(event | change),)], "value string")
+        with pytest.raises(Exception, match="another stage|out of range"):
+            logs.invocations(lines, "query", "dev").groupBy("status").count().collect()
+    fine = spark.createDataFrame([(json.dumps(event),)], "value string")
+    assert logs.invocations(fine, "query", "dev").groupBy("status").count().collect()[0]["count"] == 1
+    chunks = spark.createDataFrame([("a",), ("b",)], "content_hash string")
+    vectors = spark.createDataFrame([("a", [1.0])], "content_hash string, embedding array<float>")
+    with pytest.raises(Exception, match="no vector for b"):
+        ingest.with_vectors(chunks, vectors).select("content_hash").count()
+    with pytest.raises(Exception, match="invalid embedding"):
+        models.embedded(chunks.withColumn("prompt", F.lit("x")), lambda: lambda texts: [[0.0]] * len(texts), 1).select("content_hash").count()
+
+
+def test_the_first_truthy_reason_counts(spark):
+    """A reason that is there but no known text gives none; only an absent or empty one lets the error speak."""
+    bodies = [('{"reason": "weak_evidence", "error": "query_failed"}', "weak_evidence"), ('{"reason": 7, "error": "query_failed"}', None), ('{"reason": ["x"], "error": "query_failed"}', None), ('{"reason": {"a": 1}, "error": "query_failed"}', None), ('{"reason": true, "error": "query_failed"}', None)]
+    bodies += [('{"reason": %s, "error": "query_failed"}' % v, "query_failed") for v in ('""', "null", "0", "0.0", "false", "[]", "{}")] + [('{"error": "query_failed"}', "query_failed"), ('{"reason": "free text", "error": "query_failed"}', None)]
+    calls = spark.createDataFrame([("query", "dev", 200, b, False, 1.0, None, w) for b, w in bodies], "stage string, environment string, status_code int, body string, failed boolean, latency_ms double, invocation_id string, want string")
+    got = [(r["reason"]) for r in t.invocation_events(calls.coalesce(1)).collect()]
+    assert got == [w for _, w in bodies]

@@ -13,7 +13,7 @@ def one(spark, value, *columns):
 
 def test_clean_and_canonical(spark):
     assert one(spark, " a \t b\n", T.clean(F.col("x")))[0] == "a b"
-    assert T.canonical("ﬁ&amp;​ x\ty\x07") == "fi& x\ty"
+    assert one(spark, "ﬁ&amp;​ x\ty\x07", T.normalized(F.col("x")))[0] == "fi& x\ty"
     rows = [("plain text",), ("ig​nore",), (None,), ("&lt;b&gt;",)]
     got = T.normalize_column(spark.createDataFrame(rows, "x string"), "x").collect()
     assert {(r["x"], r["normalized"]) for r in got} == {("plain text", "plain text"), ("ig​nore", "ignore"), (None, None), ("&lt;b&gt;", "<b>")}
