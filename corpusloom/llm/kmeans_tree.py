@@ -17,9 +17,11 @@ leaves, and its cells in each but the smallest, hold k others (for k < ``UNDER``
 
 Equal vectors meet once: of each distinct vector only its k + 1 smallest ids can
 be among anyone's k nearest, so no group of copies travels, whatever its size.
-Vectors of a large leaf or cell are dealt out in parts and its queries in blocks,
-each pair worked off by itself; a query's parts merge in a windowed top-k, pre-cut
-in every task.
+Leaves are gathered into ``GROUPS`` bins, a large bin is split by cells, and a
+query comes to a bin once a leaf, with the cells it visits there; it leaves with its
+k nearest. A bin that is still large, by one vast cell, is dealt out in parts and a
+bin's queries in blocks, each pair worked off by itself. A query's bins merge in a
+windowed top-k, pre-cut in every task.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do those of another than the most frequent dimension, nor rows with a null
@@ -44,8 +46,8 @@ from corpusloom.llm import common
 SAMPLE, UNDER, PROBES, BRANCH, RECALL = 16_384, 4096, 256, 8, 0.97
 #: A leaf of the upper tree and of a subtree is fitted on this many vectors at least, at any size of the table.
 LEAF, CELL = 64, 16
-#: Vectors in a part of a leaf or cell, and queries in a block.
-BLOCK, ASKED = 4096, 2048
+#: Bins of leaves, vectors in a part of a leaf or bin, and rows of queries in a block.
+GROUPS, BLOCK, ASKED = 32, 4096, 1 << 15
 
 
 class Tree:
@@ -202,11 +204,20 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
 
         return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(run, schema)
 
+    held = np.bincount(np.arange(len(sizes)) % GROUPS, weights=sizes, minlength=GROUPS)
+    bins = np.maximum(1, -(-held // block)).astype(np.uint64)
+
+    def binned(leaf: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each cell of a leaf, and its bin."""
+        code = (np.uint64(leaf) << common.U(32)) | cell.astype(np.uint64)
+        return code.astype(np.int64), (common.mixed(code) % bins[leaf % GROUPS]).astype(np.int64) * GROUPS + leaf % GROUPS
+
     def settle(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
-        cell = made.place(_matrix(t.column("v").combine_chunks(), width)) if t.num_rows else np.zeros(0)
-        return pa.table([t.column("vec_id"), t.column("v"), t.column("leaf"), pa.array(cell.astype(np.int32))], ["vec_id", "v", "leaf", "cell"])
+        cell = made.place(_matrix(t.column("v").combine_chunks(), width)) if t.num_rows else np.zeros(0, dtype=np.int64)
+        code, at = binned(leaf, cell)
+        return pa.table([t.column("vec_id"), t.column("v"), t.column("leaf"), pa.array(cell.astype(np.int32)), pa.array(code), pa.array(at)], ["vec_id", "v", "leaf", "cell", "code", "bin"])
 
-    stored = common.written(under_leaf(settle, placed.select("vec_id", "v", "leaf"), "vec_id long, v array<double>, leaf int, cell int"), "cells")
+    stored = common.written(under_leaf(settle, placed.select("vec_id", "v", "leaf"), "vec_id long, v array<double>, leaf int, cell int, code long, bin long"), "cells")
     leaves, cells = calibrate(stored, tree, under_leaf, asked_rows, width, k, recall)
     known = spark.sparkContext.broadcast(sizes)
 
@@ -226,43 +237,55 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
         return pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(who, pa.int64())), b.column("v").take(pa.array(who, pa.int64())), pa.array(leaf, pa.int32()), pa.array(all_cells, pa.bool_())], ["vec_id", "v", "leaf", "whole"])
 
     def descend(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
-        who, cell = [], []
+        who, at, codes = [], [], []
         if t.num_rows:
             q, whole = _matrix(t.column("v").combine_chunks(), width), t.column("whole").to_pylist()
             for i in range(len(q)):
-                seen = held = 0
+                chosen, held = [], 0
                 for c in made.order(q[i]):
-                    if seen >= cells and held > k and not whole[i]:
+                    if len(chosen) >= cells and held > k and not whole[i]:
                         break
-                    seen, held = seen + 1, held + made.held[c]
-                    who.append(i), cell.append(c)
-        at = pa.array(who, pa.int64())
-        return pa.table([t.column("vec_id").take(at), t.column("v").take(at), t.column("leaf").take(at), pa.array(cell, pa.int32())], ["vec_id", "v", "leaf", "cell"])
+                    held += made.held[c]
+                    chosen.append(c)
+                code, own = binned(leaf, np.array(chosen, dtype=np.int64))
+                for n in np.unique(own):
+                    who.append(i), at.append(n), codes.append(code[own == n])
+        ends = np.cumsum([0, *map(len, codes)])
+        taken = pa.array(who, pa.int64())
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)))
+        return pa.table([t.column("vec_id").take(taken), t.column("v").take(taken), pa.array(at, pa.int64()), listed], ["vec_id", "v", "bin", "codes"])
 
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    visited = under_leaf(descend, common.map_rows(queries, walk, "vec_id long, v array<double>, leaf int, whole boolean"), "vec_id long, v array<double>, leaf int, cell int")
+    visited = under_leaf(descend, common.map_rows(queries, walk, "vec_id long, v array<double>, leaf int, whole boolean"), "vec_id long, v array<double>, bin long, codes array<long>")
     visited = common.written(visited, "visits")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = _scanned(visited, stored, width, k, block, asked)
+    found = _scanned(visited, stored.select("vec_id", "v", "code", "bin"), width, k, 4 * block, asked)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _scanned(visited: DataFrame, stored: DataFrame, width: int, k: int, block: int, asked: int) -> DataFrame:
-    """The k nearest of each query within each visited cell, or part of it: query_id, vec_id, score."""
-    left, right = _dealt(visited, stored, ["leaf", "cell"], asked, block)
+    """The k nearest of each query within its cells of each bin, or part of it: query_id, vec_id, score."""
+    left, right = _dealt(visited, stored, ["bin"], asked, block)
 
     def scan(a: pa.Table, b: pa.Table) -> pa.Table:
         query, ids, score = [], [], []
         if a.num_rows and b.num_rows:
-            v, own = _matrix(b.column("v").combine_chunks(), width), b.column("vec_id").to_numpy()
-            q, names = _matrix(a.column("v").combine_chunks(), width), a.column("vec_id").to_numpy()
-            for i in range(len(q)):
-                got, distance = nearest(q[i], v, own, names[i], k)
-                query.append(np.full(len(got), names[i])), ids.append(got), score.append(distance)
+            v, own, code = _matrix(b.column("v").combine_chunks(), width), b.column("vec_id").to_numpy(), b.column("code").to_numpy()
+            cells, place = np.unique(code, return_inverse=True)
+            q, names, first = _matrix(a.column("v").combine_chunks(), width), a.column("vec_id").to_numpy(), {}
+            wanted: dict[int, list[np.ndarray]] = {}
+            for i, (name, codes) in enumerate(zip(names.tolist(), a.column("codes"), strict=True)):
+                first.setdefault(name, i)
+                wanted.setdefault(name, []).append(codes.values.to_numpy())
+            for name, lists in wanted.items():
+                rows = np.flatnonzero(np.isin(cells, np.concatenate(lists))[place])
+                if len(rows):
+                    got, distance = nearest(q[first[name]], v[rows], own[rows], name, k)
+                    query.append(np.full(len(got), name)), ids.append(got), score.append(distance)
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=t))
         return pa.table([cat(query, np.int64), cat(ids, np.int64), cat(score, np.float64)], ["query_id", "vec_id", "score"])
 
-    keys = ["leaf", "cell", "block", "part"]
+    keys = ["bin", "block", "part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
 
 
