@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunking, ingest, sections
 from corpusloom.operators.store import VectorStore
 from corpusloom.shared import Settings, written
+from corpusloom.sources.files import write_report
 
 
 @dataclass
@@ -25,6 +27,9 @@ class Report:
     pending: int = 0
     reused: int = 0
     batches: int = 0
+    started_at: str = ""
+    finished_at: str = ""
+    error: str | None = None
 
 
 def chunk_documents(documents: DataFrame, settings: Settings, landmark: str = "main") -> DataFrame:
@@ -36,7 +41,27 @@ def chunk_documents(documents: DataFrame, settings: Settings, landmark: str = "m
     return chunking.prepared(chunking.chunks(rows, settings), settings)
 
 
-def run(documents: DataFrame, store: VectorStore, embedder: Callable[[], models.Embedder], settings: Settings, provider_model: str = "local", landmark: str = "main", prepare_only: bool = False, prune: bool = True) -> Report:
+def run(documents: DataFrame, store: VectorStore, embedder: Callable[[], models.Embedder], settings: Settings, provider_model: str = "local", landmark: str = "main", prepare_only: bool = False, prune: bool = True, report_path: str | None = None) -> Report:
+    """One build; its report, with UTC times, is written to ``report_path`` whether it succeeds or fails. A failure is raised again."""
+    started = _now()
+    report = Report("failed")
+    try:
+        report = _build(documents, store, embedder, settings, provider_model, landmark, prepare_only, prune)
+    except Exception as e:
+        report.error = type(e).__name__  # the message may quote a document
+        raise
+    finally:
+        report.started_at, report.finished_at = started, _now()
+        if report_path:
+            write_report(documents.sparkSession, asdict(report), report_path)
+    return report
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
+def _build(documents: DataFrame, store: VectorStore, embedder: Callable[[], models.Embedder], settings: Settings, provider_model: str, landmark: str, prepare_only: bool, prune: bool) -> Report:
     """Every embedding is made and kept before the first document is replaced; pruning comes last."""
     chunks = written(chunk_documents(documents, settings, landmark), "chunks")
     over = chunks.where(~F.col("prompt_ok")).count()

@@ -100,6 +100,15 @@ def retrieval_hit(spark, sf_dir):
     return own.groupBy("question_id").agg(F.bool_or((F.col("want") == F.col("got")) & (F.col("chunk_id") != F.col("question_id"))).alias("retrieval_hit"))
 
 
+@query(_RANKED + "SELECT question_id, bool_or(number <= 6 AND chunk_id = CASE WHEN question_id % 100 = 0 THEN question_id ELSE question_id + 1 END) AS retrieval_hit FROM r GROUP BY 1")
+def gold_hits(spark, sf_dir):
+    """The gold chunk of every other question is the question itself, which is found, or else the chunk after it."""
+    _, ranked = _ranked(spark, sf_dir, SETTINGS.top_k)
+    asked = ranked.select("question_id").distinct()
+    gold = asked.select("question_id", F.when(F.pmod("question_id", F.lit(100)) == 0, F.col("question_id")).otherwise(F.col("question_id") + 1).alias("chunk_id"))
+    return retrieval.hits(ranked, gold)
+
+
 @query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings")
 def vector_validity(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", V.valid(F.col("embedding"), SETTINGS.dimension).alias("valid"))
@@ -308,12 +317,14 @@ def source_validation(spark, sf_dir):
 
 
 @query(
-    "SELECT page_id, regexp_replace(url, '#.*$', '') || '#page=' || (page_id % 7 + 1) AS by_page, CASE WHEN contains(url, '#') THEN url ELSE url END AS as_is FROM pages"
+    "SELECT page_id, regexp_replace(url, '#.*$', '') || '#page=' || (page_id % 7 + 1) AS by_page, regexp_replace(url, '#.*$', '') || '#' || replace(url_encode(url || ' é+~*'), '%3A', ':') AS by_anchor, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '#.*$', '') ELSE regexp_replace(url, '#.*$', '') || '#own' END AS as_is FROM pages"
 )
 def citation_urls(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     page = (F.pmod("page_id", F.lit(7)) + 1).cast("int")
-    return p.select("page_id", T.citation_url(F.col("url"), page, F.lit(None)).alias("by_page"), T.citation_url(F.col("url"), F.lit(None).cast("int"), F.lit(None).cast("string")).alias("as_is"))
+    none, anchor = F.lit(None).cast("int"), F.concat("url", F.lit(" é+~*"))
+    own = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.pmod("page_id", F.lit(2)) == 0, "#").otherwise("#own"))
+    return p.select("page_id", T.citation_url(F.col("url"), page, F.lit(None)).alias("by_page"), T.citation_url(F.col("url"), none, anchor).alias("by_anchor"), T.citation_url(own, none, F.lit(None).cast("string")).alias("as_is"))
 
 
 @query()
@@ -340,7 +351,7 @@ def json_extract(spark, sf_dir):
 
 
 @query(
-    "WITH q AS (SELECT doc_id, doc_id % 7 <> 0 AS supported FROM documents), o AS (SELECT doc_id, quality, toxic FROM labels), r AS (SELECT supported, coalesce(quality = 1, false) AS hit, coalesce(toxic = 0, false) AS accurate, coalesce(toxic, 0) AS pairs, CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END AS good, quality = 0 AS refused FROM q LEFT JOIN o USING (doc_id)) SELECT 'baseline' AS variant, count(CASE WHEN supported AND hit THEN 1 END) AS hits, count(CASE WHEN supported THEN 1 END) AS supported, round(count(CASE WHEN supported AND hit THEN 1 END) / count(CASE WHEN supported THEN 1 END), 6) AS hit_rate, round(count(CASE WHEN supported AND accurate THEN 1 END) / count(CASE WHEN supported THEN 1 END), 6) AS accuracy, round(sum(good) / nullif(sum(pairs), 0), 6) AS citation_rate, count(CASE WHEN NOT supported AND refused THEN 1 END) AS refusals, (SELECT count(*) FROM o WHERE quality = 0 AND toxic = 1) AS failed FROM r"
+    "WITH q AS (SELECT doc_id, doc_id % 7 <> 0 AS supported FROM documents), o AS (SELECT doc_id, quality, toxic FROM labels), r AS (SELECT supported, coalesce(quality = 1, false) AS hit, coalesce(toxic = 0, false) AS accurate, coalesce(toxic, 0) AS pairs, CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END AS good, quality = 0 AND toxic = 0 AS refused FROM q LEFT JOIN o USING (doc_id)) SELECT 'baseline' AS variant, count(CASE WHEN supported AND hit THEN 1 END) AS hits, count(CASE WHEN supported THEN 1 END) AS supported, round(count(CASE WHEN supported AND hit THEN 1 END) / count(CASE WHEN supported THEN 1 END), 6) AS hit_rate, round(count(CASE WHEN supported AND accurate THEN 1 END) / count(CASE WHEN supported THEN 1 END), 6) AS accuracy, round(sum(good) / nullif(sum(pairs), 0), 6) AS citation_rate, count(CASE WHEN NOT supported AND refused THEN 1 END) AS refusals, (SELECT count(*) FROM o WHERE quality = 0 AND toxic = 1) AS failed FROM r"
 )
 def label_scores(spark, sf_dir):
     """Documents as questions, labels as outcomes."""
@@ -356,9 +367,6 @@ def label_scores(spark, sf_dir):
     return s.select("variant", F.col("retrieval_hit.numerator").alias("hits"), F.col("retrieval_hit.denominator").alias("supported"), rate("retrieval_hit").alias("hit_rate"), rate("answer_accuracy").alias("accuracy"), rate("citation_correctness").alias("citation_rate"), F.col("unsupported_refusal.numerator").alias("refusals"), F.col("failed_questions").alias("failed"))
 
 
-SQL["label_scores"] = SQL["label_scores"].replace("quality = 0 AS refused", "quality = 0 AND toxic = 0 AS refused")
-
-
 @query("SELECT role, count(*) AS responses_reported, sum(coalesce(CASE WHEN turn % 5 = 0 THEN NULL ELSE length(text) END, 0))::BIGINT AS input_tokens, sum(turn)::BIGINT AS output_tokens, count(*) + 1 AS requests_started, 1::BIGINT AS requests_without_reported_usage, false AS token_usage_complete FROM conversations GROUP BY role")
 def usage_ledger(spark, sf_dir):
     """Turns as model calls; every fifth turn doesn't report its input."""
@@ -383,6 +391,20 @@ def gold_validation(spark, sf_dir):
     return b.join(d, "excerpt_hash", "left").select("item_id", "excerpt_hash", F.coalesce("found", F.lit(False)).alias("indexed"))
 
 
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 13 = 5 OR doc_id % 10 = 3 OR doc_id % 17 = 2 OR source IS NULL OR source = (SELECT max(source) FROM documents)")
+def gold_faults(spark, sf_dir):
+    """Whole texts as gold excerpts; chunks that aren't stored, another heading, another text and a source outside the manifest are faults."""
+    d = read(spark, sf_dir, "documents")
+    fault = lambda n, r: F.pmod("doc_id", F.lit(n)) == r
+    manifest = d.select("source").distinct().join(d.agg(F.max("source").alias("source")), "source", "left_anti").select(F.col("source").alias("document_id"), F.concat(F.lit("https://"), "source").alias("source_url"), F.lit("r").alias("regulator"), F.col("source").alias("title"))
+    gold = d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.sha2("text", 256).alias("sha256"), F.col("lang").alias("section_heading"), F.col("text").alias("excerpt"))
+    stored = d.where(~fault(13, 5)).select(
+        F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("content_hash"), F.col("source").alias("document_id"), F.when(fault(10, 3), "another").otherwise(F.col("lang")).alias("section_heading"),
+        F.when(fault(17, 2), "another").otherwise(F.col("text")).alias("text"), F.concat(F.lit("https://"), "source").alias("source_url"), F.lit("r").alias("regulator"), F.col("source").alias("document_title"),
+    )
+    return scoring.gold_errors(gold, stored, manifest)
+
+
 @query("SELECT lang, sha256('{\"backend\":\"local\",\"dimension\":\"64\",\"model\":\"' || lang || '\"}') AS fingerprint FROM (SELECT DISTINCT lang FROM documents)")
 def fingerprints(spark, sf_dir):
     langs = read(spark, sf_dir, "documents").select("lang").distinct()
@@ -449,11 +471,14 @@ def alarm_transitions(spark, sf_dir):
     return telemetry.alarm_transitions(states).select("environment", "stage", "metric", F.col("at").cast("timestamp_ntz").alias("at"), "to_state")
 
 
-@query(_CALLS_SQL + "SELECT environment, stage, 'errors' AS metric, sum(error::INT)::DOUBLE AS metric_total, sum(CASE WHEN code IN (409, 500) THEN 1 ELSE 0 END)::DOUBLE AS log_total, 'agree' AS verdict FROM i GROUP BY ALL")
+@query(_CALLS_SQL + "SELECT environment, stage, 'errors' AS metric, sum(error::INT)::DOUBLE AS metric_total, CASE stage WHEN 'embed' THEN NULL WHEN 'chunk' THEN sum(error::INT) + 1 WHEN 'parse' THEN sum(error::INT) + 0.05 ELSE sum(error::INT) END::DOUBLE AS log_total, CASE stage WHEN 'embed' THEN 'missing' WHEN 'chunk' THEN 'differ' ELSE 'agree' END AS verdict FROM i GROUP BY environment, stage")
 def reconciliation(spark, sf_dir):
+    """Errors by metric and by log, whose side lacks a stage, is one too high in another and within the tolerance in a third."""
     key = ["environment", "stage"]
     metrics = telemetry.metric_values(_events(spark, sf_dir)).where("metric = 'errors'").groupBy(*key, "metric").agg(F.sum("value").alias("total"))
-    logs = _calls(spark, sf_dir).groupBy(*key).agg(F.sum(F.when(F.col("status_code").isin(409, 500), 1.0).otherwise(0.0)).alias("total")).withColumn("metric", F.lit("errors"))
+    found = F.sum(F.when(F.col("status_code").isin(409, 500), 1.0).otherwise(0.0))
+    off = F.when(F.col("stage") == "chunk", 1.0).when(F.col("stage") == "parse", 0.05).otherwise(0.0)
+    logs = _calls(spark, sf_dir).where("stage <> 'embed'").groupBy(*key).agg(found.alias("total")).withColumn("total", F.col("total") + off).withColumn("metric", F.lit("errors"))
     return telemetry.reconciled(metrics, logs)
 
 

@@ -35,7 +35,7 @@ def to_download(sources: DataFrame, raw: DataFrame, refresh: bool = False) -> Da
 
 
 def pdf_sections(documents: DataFrame, id_col: str = "document_id", content_col: str = "content") -> DataFrame:
-    """One row per page with text: heading "Page N", page N from 1, blank pages dropped after numbering. A document without text is an error row.
+    """One row per page with text: heading "Page N", page N from 1, blank pages dropped after numbering. A document without text, or one that can't be read, is an error row.
 
     Needs the optional package pypdf on the executors.
     """
@@ -49,7 +49,11 @@ def pdf_sections(documents: DataFrame, id_col: str = "document_id", content_col:
         for b in batches:
             rows = []
             for i, content in zip(b[id_col], b[content_col], strict=True):
-                pages = [(n, p.extract_text() or "") for n, p in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
+                try:
+                    pages = [(n, p.extract_text() or "") for n, p in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
+                except Exception as e:  # a broken file is that document's error, not the job's
+                    rows.append((i, None, None, None, None, None, f"unreadable: {type(e).__name__}"))
+                    continue
                 full = [(n, t) for n, t in pages if t.strip()]
                 rows += [(i, k, f"Page {n}", t, None, n, None) for k, (n, t) in enumerate(full)] or [(i, None, None, None, None, None, "no extractable text")]
             yield pd.DataFrame(rows, columns=[id_col, "section", "heading", "text", "anchor", "page", "error"])

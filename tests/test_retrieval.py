@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +62,10 @@ def test_ingest_ask_evaluate(spark, manifest, tmp_path):
     changed = manifest.where("document_id <> 'loans'").withColumn("html", F.when(F.col("document_id") == "reports", HTML.format("Reports are due in April.")).otherwise(F.col("html")))
     third = build.run(changed, index, embedder, s)
     assert (third.pending, third.reused) == (1, 1) and index.count() == 2
+    with pytest.raises(ValueError):
+        build.run(manifest, index, embedder, Settings(prompt_max_bytes=1), report_path=str(tmp_path / "report"))
+    report = json.loads(spark.read.text(str(tmp_path / "report")).first()[0])
+    assert report["status"] == "failed" and report["error"] == "ValueError" and report["started_at"] < report["finished_at"]
     with pytest.raises(store.IdentityMismatch):
         store.VectorStore(spark, str(tmp_path / "index"), {**identity, "model": "other"}).initialize()
     with pytest.raises(store.IdentityMismatch):
