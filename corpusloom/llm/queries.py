@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, gif, kmeans_tree, packing, quality, simhash, substrings, token_counts, toxicity, url_rules
+from corpusloom.llm import bpe, common, filter_audit, gif, kmeans_tree, lexical, packing, quality, simhash, substrings, threshold, token_counts, toxicity, url_rules
 
 LIMIT = 1024
 
@@ -61,8 +61,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.search(_read(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (op1_token_counts, op2_quality_classifier, op3_nearest_neighbours, op4_packing, op5_gif_media, op6_toxicity, op7_url_filters, op8_simhash, op9_substring_dedup, op10_bpe, op11_lexical_search, op12_filter_audit, op13_inner_product)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_nearest_neighbours, op4_packing, op5_gif_media, op6_toxicity, op7_url_filters, op8_simhash, op9_substring_dedup, op10_bpe)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 #: Every window of 50 words as text, the smallest document it starts in, and the words that a later document's copy covers.
@@ -80,4 +95,4 @@ SELECT k.doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: tokenizers, XXH64, CRC-32, learned models and approximate search are tested by brute force."""
-    return {"op7_url_filters": url_rules.SQL, "op9_substring_dedup": SUBSTRING_SQL}
+    return {"op7_url_filters": url_rules.SQL, "op9_substring_dedup": SUBSTRING_SQL, "op11_lexical_search": lexical.SQL, "op12_filter_audit": filter_audit.SQL, "op13_inner_product": threshold.SQL}
