@@ -9,8 +9,9 @@ longest wins (ties: the first in text order); without one, a fitting pattern
 blocks; else the URL is allowed.
 
 Null or without ``://``: empty host and path, no rule, allowed. An empty host or
-path stays so. Repeated rows each get a row; an empty table gives an empty
-result; other columns are ignored.
+path stays so. Hosts and paths may hold any other characters, line breaks too, and
+be of any length: each is read once a candidate rule. Repeated rows each get a row;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _TOKEN_SQL = "[^a-z0-9]+"
 class Rule:
     action: str
     text: str  # host + path for host rules, a name for patterns
-    pattern: str  # over host + "\n" + path
+    pattern: str  # over host + "/" + path, since no host holds a slash
     tokens: tuple[str, ...]  # literals that every fitting URL has among its tokens
     pattern_only: bool = False
 
@@ -43,7 +44,7 @@ def host_rule(action: str, text: str) -> Rule:
     literal = _TOKEN.findall(host)
     # the last piece of a path prefix may go on in a URL, so it is no whole token; neither is one with other letters
     inner = [t for t in re.split("[^a-z0-9]+", path)[:-1] if t] if path == path.lower() and path.isascii() else []
-    return Rule(action, text, rf"(?s)(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(path)}", tuple(literal + inner))
+    return Rule(action, text, rf"(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}", tuple(literal + inner))
 
 
 def pattern_rule(name: str, pattern: str, *tokens: str) -> Rule:
@@ -60,10 +61,10 @@ RULES = (
 )
 #: Without a fitting rule: hosts that sell what spam sells.
 PATTERNS = (
-    pattern_rule("casino", r"(?s)(?:[^\n]*[^a-z0-9\n])?casino(?![a-z0-9])", "casino"),
-    pattern_rule("pills", r"(?s)(?:[^\n]*[^a-z0-9\n])?pills(?![a-z0-9])", "pills"),
-    pattern_rule("xxx", r"(?s)(?:[^\n]*[^a-z0-9\n])?xxx(?![a-z0-9])", "xxx"),
-    pattern_rule("free-money", r"(?s)(?:[^\n]*[^a-z0-9\n])?free-money(?![a-z0-9])", "free", "money"),
+    pattern_rule("casino", r"(?:[^/]*[^a-z0-9/])?casino(?![a-z0-9])", "casino"),
+    pattern_rule("pills", r"(?:[^/]*[^a-z0-9/])?pills(?![a-z0-9])", "pills"),
+    pattern_rule("xxx", r"(?:[^/]*[^a-z0-9/])?xxx(?![a-z0-9])", "xxx"),
+    pattern_rule("free-money", r"(?:[^/]*[^a-z0-9/])?free-money(?![a-z0-9])", "free", "money"),
 )
 
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -98,7 +99,7 @@ class Index:
         return found
 
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
-        where = f"{host}\n{path}"
+        where = f"{host}/{path}"
         fits = [r for r, p in self.candidates(host, path) if p.match(where)]
         if own := [r for r in fits if not r.pattern_only]:
             best = min(own, key=lambda r: (-len(r.text), r.text))
