@@ -191,12 +191,15 @@ class Grammar:
         """The clauses that match, with their insults: word, term, weight in context; a threat stands without word and term."""
         if not self._ready:
             self._prepare()
-        low, out, done = text.lower(), [], -1
+        low, out, start, done = text.lower(), [], 0, -1
+        breaks = _CLAUSE.finditer(low)
+        ahead = next(breaks, None)
         for m in self.find.finditer(low):
             if m.start() < done:
                 continue
-            start = max((low.rfind(c, 0, m.start()) for c in ".!?;\n|")) + 1
-            end = m2.start() if (m2 := _CLAUSE.search(low, m.end())) else len(low)
+            while ahead is not None and ahead.end() <= m.start():  # clauses are walked once, in order
+                start, ahead = ahead.end(), next(breaks, None)
+            end = len(low) if ahead is None else ahead.start()
             clause, done = low[start:end], end
             words = _WORD.findall(clause)
             terms = [self.term(w) for w in words]

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -172,6 +174,17 @@ def test_grammar_scores_clauses():
     assert g.score("idiotic scummy words") < 0.5
 
 
+def test_clauses_are_walked_once():
+    """Megabytes of matching clauses, of one clause without an end, and of separators, in linear time."""
+    g = toxicity.Grammar({})
+    for text, n in (("you are an idiot. " * 150_000, 150_000), ("you idiot " * 250_000, 1), ("?! idiot ;\n" * 900_000, 900_000)):
+        began = time.process_time()
+        assert len(g.clauses(text)) == n
+        assert time.process_time() - began < 20
+    short = "Fine. You idiot!? no; not an idiot\nx | idiot idiot |"
+    assert [c for c, _ in g.clauses(short)] == [" you idiot", " not an idiot", " idiot idiot "]
+
+
 def test_url_rules_are_the_plain_rules(spark):
     rules = [(r.action, r.text) for r in url_rules.RULES]
 
@@ -187,7 +200,8 @@ def test_url_rules_are_the_plain_rules(spark):
     rng = np.random.default_rng(0)
     hosts = ["org", "example.org", "a.example.org", "notexample.org", "example.org.com", "com", "x.com", "casino.net", "my-casino-x.net", "casinox.net", "EXAMPLE.Org", "", "exämple.org", "a.org:80"]
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/17/x", "/fr/a", "/de/", "/DE/", "//es/", "/es/é"]
-    urls = [f"https://{h}{p}{e}" for h in hosts for p in paths for e in ("", "?x=/de/", "#/fr/")] + [None, "", "no scheme", "://", "a://b://c/d", "http://x.com\n/de/"]
+    urls = [f"https://{h}{p}{e}" for h in hosts for p in paths for e in ("", "?x=/de/", "#/fr/")] + [None, "", "no scheme", "://", "a://b://c/d", "http://x.com\n/de/", "http://a\nb.example.org/es/x", "http://a\nb.org/", "http://a\n\ncasino.net/casino", "http://b.net/casino", "http://" + "a." * 100_000 + "example.org/es/"]
+    urls += urls[:5]
     rng.shuffle(urls)
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'c' AS host", "'c' AS token", "'c' AS rule")
     for r, u in zip(sorted(url_rules.judged(pages).collect()), urls, strict=True):
@@ -198,7 +212,9 @@ def test_url_rules_are_the_plain_rules(spark):
         else:
             assert r["rule"] is None
     got = {r["host"]: r["verdict"] for r in url_rules.judged(pages).collect() if r["host"].endswith(".net")}
-    assert got == {"casino.net": "block", "my-casino-x.net": "block", "casinox.net": "allow"}
+    assert got == {"casino.net": "block", "my-casino-x.net": "block", "casinox.net": "allow", "a\n\ncasino.net": "block", "b.net": "allow"}
+    nulls = spark.createDataFrame([(1, None), (1, None)], "page_id long, url string")
+    assert list(map(tuple, url_rules.judged(nulls).collect())) == [(1, "", "", None, "allow")] * 2
     assert url_rules.judged(pages.where("false")).count() == 0
 
 
