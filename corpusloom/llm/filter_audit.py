@@ -68,16 +68,17 @@ def masks(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_col: st
     """Numbers of documents by part, label and mask of failures: part, good, bad, mask, n; a combination may have several rows."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     read = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[part_col].cast("string"), F.lit("")).alias("part"), text.alias("body"))
-    rows = judged(read).groupBy("id", "part", "digest", "mask").agg(F.count("*").alias("n"))
+    rows = judged(read.where("id IS NOT NULL")).groupBy("id", "part", "digest", "mask").agg(F.count("*").alias("n"))
+    lone = judged(read.where("id IS NULL")).groupBy("part", "mask").agg(F.count("*").alias("n"))
     flags = labels.select(labels[id_col].cast("long").alias("id"), (labels["quality"] == 1).alias("good"), (labels["toxic"] == 1).alias("bad")).where("id IS NOT NULL")
     flags = flags.groupBy("id").agg(F.bool_or("good").alias("good"), F.bool_or("bad").alias("bad"))
-    known = rows.where("id IS NOT NULL").join(flags, "id", "left").na.fill(False, ["good", "bad"])
+    known = rows.join(flags, "id", "left").na.fill(False, ["good", "bad"])
     # a digest's rows of one part and label: how many, and how many of them have the smallest id
     met = known.groupBy("digest", "part", "good", "bad", "mask").agg(F.sum("n").alias("n"), F.min(F.struct("id", "n")).alias("first"))
     least = F.min("first.id").over(Window.partitionBy("digest"))
     originals = F.when(F.col("first.id") == least, F.col("first.n")).otherwise(0)
     halves = met.withColumn("originals", originals).select("part", "good", "bad", F.explode(F.array(F.struct("mask", F.col("originals").alias("n")), F.struct((F.col("mask") + CELLS // 2).alias("mask"), (F.col("n") - F.col("originals")).alias("n")))).alias("x"))
-    return halves.select("part", "good", "bad", "x.mask", "x.n").unionByName(rows.where("id IS NULL").select("part", F.lit(False).alias("good"), F.lit(False).alias("bad"), "mask", "n"))
+    return halves.select("part", "good", "bad", "x.mask", "x.n").unionByName(lone.select("part", F.lit(False).alias("good"), F.lit(False).alias("bad"), "mask", "n"))
 
 
 def _sign(a: Column, b: Column) -> Column:
