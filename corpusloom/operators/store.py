@@ -1,8 +1,8 @@
-"""A vector table in Parquet, partitioned by document, with an identity beside it.
+"""The vector table: snapshots of chunks with vectors, whose identity is a property of each snapshot.
 
-Replacing a document overwrites its partition and no other; what a document no
-longer has falls away with it. One writer at a time. Nothing reads and
-overwrites the same path in one plan.
+A build is one commit: the new documents take the place of the old, what a document
+no longer has falls away, and documents outside the manifest go. Readers see the
+snapshot before or the one after, and a build that fails leaves the one before.
 """
 
 from __future__ import annotations
@@ -11,65 +11,61 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from corpusloom.shared import written
+from corpusloom.operators.snapshots import Snapshot, SnapshotTable
 
-IDENTITY = "backend string, model string, dimension int, fingerprint string, provider_model string"
+IDENTITY = ("backend", "model", "dimension", "fingerprint")
 
 
 class IdentityMismatch(ValueError):
-    """The stored index was built with another embedding."""
+    """The stored index was built with another embedding, or isn't whole."""
 
 
 class VectorStore:
-    def __init__(self, spark: SparkSession, path: str, identity: dict):
-        self.spark, self.path, self.identity = spark, path.rstrip("/"), identity
-
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return None
+    def __init__(self, spark: SparkSession, path: str, identity: dict, buckets: int = 64):
+        self.spark, self.identity = spark, identity
+        self.table = SnapshotTable(spark, path, "document_id", buckets)
 
     def initialize(self) -> None:
-        """Records the identity once; later calls only check it."""
-        if self._read("identity") is None:
-            row = {**self.identity, "provider_model": None}
-            self.spark.createDataFrame([row], IDENTITY).coalesce(1).write.parquet(f"{self.path}/identity")
+        """Creates the empty table with its identity, once; later calls only check it. Rows without an identity, or an identity without its rows, are an error."""
+        now = self.table.snapshot()
+        if now is None:
+            if self.table.has_data():
+                raise IdentityMismatch("the index has rows and no identity")
+            self.table.create({"identity": json.dumps({k: self.identity[k] for k in IDENTITY}, sort_keys=True)})
+        elif lost := self.table.missing(now):
+            raise IdentityMismatch(f"the index has an identity and lacks {len(lost)} of its buckets")
         self.assert_identity()
 
-    def assert_identity(self) -> None:
-        found = self._read("identity")
-        if found is None:
+    def assert_identity(self) -> Snapshot:
+        now = self.table.snapshot()
+        if now is None or "identity" not in now.properties:
             raise IdentityMismatch("the index has no identity")
-        row = found.first().asDict()
-        if any(row[k] != self.identity[k] for k in ("backend", "model", "dimension", "fingerprint")):
-            raise IdentityMismatch(json.dumps({k: row[k] for k in ("backend", "model", "dimension")}))
+        stored = json.loads(now.properties["identity"])
+        if any(stored.get(k) != self.identity[k] for k in IDENTITY):
+            raise IdentityMismatch(json.dumps({k: stored.get(k) for k in ("backend", "model", "dimension")}))
+        return now
 
     def check_provider_model(self, model: str) -> None:
-        """The first model reported is recorded; another one later is drift."""
-        row = written(self._read("identity"), "identity").first().asDict()
-        if row["provider_model"] is None:
-            self.spark.createDataFrame([{**row, "provider_model": model}], IDENTITY).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/identity")
-        elif row["provider_model"] != model:
-            raise IdentityMismatch(f"the index was embedded by {row['provider_model']}")
-
-    def rows(self) -> DataFrame | None:
-        return self._read("vectors")
-
-    def replace(self, chunks: DataFrame) -> None:
-        """Each document in chunks becomes exactly those chunks; other documents stay."""
+        """The first model reported is recorded, by compare and set; another one later is drift."""
+        found = self.assert_identity().properties.get("provider_model")
+        if found is None and not self.table.set_property("provider_model", model, None):
+            found = self.assert_identity().properties.get("provider_model")
+        if found is not None and found != model:
+            raise IdentityMismatch(f"the index was embedded by {found}")
+
+    def rows(self, version: int | None = None) -> DataFrame | None:
+        return self.table.rows(version)
+
+    def replace(self, chunks: DataFrame, manifest: DataFrame | None = None) -> None:
+        """Each document in chunks becomes exactly those chunks; with a manifest, the documents outside it go, in the same commit."""
         self.assert_identity()
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(f"{self.path}/vectors")
+        self.table.change(chunks, manifest)
 
     def keep_only(self, manifest: DataFrame) -> None:
         """Documents that aren't in the manifest go; an empty manifest is refused."""
-        if manifest.isEmpty():
-            raise ValueError("an empty manifest would clear the index")
-        rows = self.rows()
-        if rows is not None:
-            written(rows.join(manifest.select("document_id"), "document_id", "left_semi"), "kept").write.mode("overwrite").partitionBy("document_id").parquet(f"{self.path}/vectors")
+        self.assert_identity()
+        self.table.change(manifest=manifest)
 
     def count(self) -> int:
         rows = self.rows()

@@ -62,7 +62,7 @@ def _now() -> str:
 
 
 def _build(documents: DataFrame, store: VectorStore, embedder: Callable[[], models.Embedder], settings: Settings, provider_model: str, landmark: str, prepare_only: bool, prune: bool) -> Report:
-    """Every embedding is made and kept before the first document is replaced; pruning comes last."""
+    """Every embedding is made and kept before one commit replaces the documents and prunes the rest."""
     chunks = written(chunk_documents(documents, settings, landmark), "chunks")
     over = chunks.where(~F.col("prompt_ok")).count()
     if over:
@@ -84,9 +84,7 @@ def _build(documents: DataFrame, store: VectorStore, embedder: Callable[[], mode
         store.check_provider_model(provider_model)
     known = ingest.cached(chunks.select("content_hash"), stored)
     final = written(ingest.with_vectors(chunks, known.unionByName(fresh)).drop("prompt", "prompt_ok", "redactions"), "indexed")
-    store.replace(final)
-    if prune:
-        store.keep_only(documents)
+    store.replace(final, documents if prune else None)
     return Report("completed", documents.count(), b["total"], b["pending"], b["reused"], b["batches"])
 
 

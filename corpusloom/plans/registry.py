@@ -7,6 +7,7 @@ conversations for questions, events for telemetry, labels for judgments.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from corpusloom.functions import guards, redaction, strict_json
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import answers, chunking, ingest, retrieval, scoring, sections, store, telemetry
+from corpusloom.operators.snapshots import SnapshotTable
 from corpusloom.plans import fixtures
-from corpusloom.shared import Settings
+from corpusloom.shared import Settings, shared_dir
 from corpusloom.sources import manifest as M
 from corpusloom.streaming import telemetry as live
 
@@ -167,6 +169,23 @@ def prune_documents(spark, sf_dir):
     return store.pruned(c, c.where("source < 'src15'").select("source").distinct(), "source").select("document_id", "content_hash")
 
 
+@query(
+    "WITH c AS (SELECT coalesce(source, 'none') AS document_id, doc_id AS chunk_id, sha256(coalesce(text, '')) AS content_hash, sha256(coalesce(text, '') || ' revised') AS revised, lang, crc FROM (SELECT *, ascii(right(coalesce(source, 'none'), 1)) % 4 AS crc FROM documents)) "
+    "SELECT 1 AS version, document_id, chunk_id, content_hash FROM c WHERE crc <> 0 UNION ALL SELECT 2, document_id, chunk_id, content_hash FROM c WHERE crc = 3 UNION ALL SELECT 2, document_id, chunk_id, revised FROM c WHERE crc = 2 AND chunk_id % 3 <> 0 UNION ALL SELECT 2, document_id, chunk_id, content_hash FROM c WHERE crc = 0"
+)
+def snapshot_replace(spark, sf_dir):
+    """Sources as documents in three quarters of a table; one commit then revises one quarter, without every third chunk, adds the missing one and prunes another; both snapshots are read."""
+    group = F.ascii(F.substring("document_id", -1, 1)) % 4
+    c = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("document_id"), F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("g", group)
+    first = c.where("g <> 0").select("document_id", "chunk_id", T.sha256(F.col("text")).alias("content_hash"))
+    text = F.when(F.col("g") == 2, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
+    second = c.where("g = 0 OR g = 2 AND chunk_id % 3 <> 0").select("document_id", "chunk_id", T.sha256(text).alias("content_hash"))
+    table = SnapshotTable(spark, f"{shared_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}", buckets=16)
+    was = table.change(first)
+    now = table.change(second, c.where("g <> 1").select("document_id").distinct())
+    return table.rows(was.version).select(F.lit(1).alias("version"), "*").unionByName(table.rows(now.version).select(F.lit(2).alias("version"), "*"))
+
+
 @query("SELECT count(*) AS rows FROM documents")
 def row_count(spark, sf_dir):
     return read(spark, sf_dir, "documents").agg(F.count("*").alias("rows"))
@@ -490,10 +509,6 @@ def log_privacy(spark, sf_dir):
 @query()
 def streamed_statistics(spark, sf_dir):
     """The same statistics by Structured Streaming over the events file, in append mode: all but the windows the watermark leaves open."""
-    import uuid
-
-    from corpusloom.shared import shared_dir
-
     name, base = f"stats-{uuid.uuid4().hex}", shared_dir(spark).rstrip("/")
     source = f"{base}/{name}-in"
     _events(spark, sf_dir).write.parquet(source)
