@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom import models
 from corpusloom.functions import redaction
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chunking, ingest, retrieval, scoring, sections, telemetry
+from corpusloom.operators import answers, chunking, ingest, merkle, patterns, retrieval, scoring, sections, telemetry
 from corpusloom.plans import fixtures
 from corpusloom.plans.registry import _CALLS_SQL, _RANKED, SETTINGS, SQL, _calls, _events, _ranked, query, read
+from corpusloom.shared import ordinals
 from corpusloom.sources import files, logs
 from corpusloom.sources import manifest as M
 
@@ -170,8 +171,35 @@ def prompt_texts(spark, sf_dir):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS section FROM documents")
 def section_ordinals(spark, sf_dir):
-    place = Window.partitionBy("source").orderBy("doc_id")
-    return read(spark, sf_dir, "documents").select("doc_id", (F.row_number().over(place) - 1).cast("long").alias("section"))
+    return ordinals(read(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], "section").select("doc_id", "section")
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def forbidden_passages(spark, sf_dir):
+    """Every benchmark passage sought in every document, one pass a document."""
+    return patterns.occurrences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_LINES_SQL = "SELECT sha256(sha256(id) || chr(9) || coalesce(sha256(hash), 'null') || chr(9) || count(*)) AS line, count(*) AS n FROM h GROUP BY id, hash"
+
+
+@query(
+    f"WITH RECURSIVE h AS (SELECT doc_id::VARCHAR AS id, sha256(text) AS hash FROM documents), x AS ({_LINES_SQL}), d AS (SELECT greatest(0, ceil(log(count(*) / 64.0) / log(16) - 1e-9))::INT AS depth FROM x), "
+    "l AS (SELECT depth AS k, substr(line, 1, depth) AS prefix, sum(n) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM x, d GROUP BY ALL UNION ALL "
+    "SELECT k - 1, substr(prefix, 1, k - 1), sum(n), sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) FROM l WHERE k > 0 GROUP BY k, substr(prefix, 1, k - 1)) SELECT n::BIGINT AS rows, digest FROM l WHERE k = 0"
+)
+def merkle_root(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", T.sha256(F.col("text")).alias("content_hash"))
+    return merkle.root(d, "doc_id", leaf=64)
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 101 = 7 THEN 'removed' WHEN doc_id % 103 = 9 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 101 = 7 OR doc_id % 103 = 9 OR doc_id % 107 = 3")
+def merkle_changes(spark, sf_dir):
+    """Documents against a table without some of them, with others new and others revised: found by descent."""
+    d = read(spark, sf_dir, "documents").select("doc_id", T.sha256(F.coalesce("text", F.lit(""))).alias("content_hash"))
+    gone, come, revised = F.col("doc_id") % 101 == 7, F.col("doc_id") % 103 == 9, F.col("doc_id") % 107 == 3
+    now = d.where(~gone).withColumn("content_hash", F.when(revised, T.sha256(F.concat("content_hash", F.lit("x")))).otherwise(F.col("content_hash")))
+    return merkle.changes(d.where(gone | ~come), now, "doc_id", leaf=64)
 
 
 @query("SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n FROM documents GROUP BY lang")

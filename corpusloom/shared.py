@@ -50,6 +50,32 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     return local.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
+def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """df with each row's zero-based place among the rows of its key, without a task per key.
+
+    Rows are range-partitioned and sorted by key and order once, so a key's rows are
+    contiguous and a large key lies in several partitions. What a row lacks is its
+    key's first place in its partition, one row a key and partition, and how many
+    rows of the key lie in partitions before: that concerns the first and the last
+    key of a partition only, so at most two rows a partition reach the driver.
+    Rows of one key and order have places in no set order; null keys are a key.
+    """
+    local = written(df.withColumn("__key", F.struct(*keys)).repartitionByRange("__key", *order).sortWithinPartitions("__key", *order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordinals")
+    pieces = written(local.groupBy("__part", "__key").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"), F.max("__at").alias("__last")), "pieces")
+    ends = local.groupBy("__part").agg(F.max("__at").alias("__end"))
+    edge = pieces.join(F.broadcast(ends), "__part").where("__first = 0 OR __last = __end")
+    before, offsets, key = 0, [], None
+    for r in edge.select("__part", "__key", "__first", "__n").orderBy("__part", "__first").collect():
+        before = before if r["__key"] == key else 0
+        if before:
+            offsets.append((r["__part"], r["__first"], before))
+        key, before = r["__key"], before + r["__n"]
+    earlier = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __first long, __before long"))
+    firsts = pieces.select("__part", "__key", "__first").join(earlier, ["__part", "__first"], "left")
+    place = F.col("__at") - F.col("__first") + F.coalesce("__before", F.lit(0))
+    return local.join(firsts, ["__part", "__key"]).withColumn(name, place).drop("__part", "__key", "__at", "__first", "__before")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Tunable limits with their allowed ranges; an invalid combination is refused at once."""
