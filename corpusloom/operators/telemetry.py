@@ -85,14 +85,14 @@ def metric_values(events: DataFrame) -> DataFrame:
     return events.where("telemetry_event = 'invocation'").select("ts", "environment", "stage", F.explode(pairs).alias("m")).select("ts", "environment", "stage", "m.metric", "m.value")
 
 
-def statistics(values: DataFrame, period: int = 60, ts_col: str = "ts") -> DataFrame:
-    """Sum, average, sample count, minimum and maximum per tumbling window, environment, stage and metric."""
+def statistics(values: DataFrame, period: int = 60, ts_col: str = "ts", timed: bool = False) -> DataFrame:
+    """Sum, average, sample count, minimum and maximum per tumbling window, environment, stage and metric; timed: with the window's event time as period_time."""
     ts = F.col(ts_col) if values.schema[ts_col].dataType.simpleString() == "timestamp" else F.col(ts_col).cast("timestamp")  # a cast would drop a watermark
     w = F.window(ts, f"{period} seconds")
     grouped = values.groupBy(w.alias("w"), "environment", "stage", "metric").agg(
         F.sum("value").alias("sum"), F.avg("value").alias("average"), F.count("value").alias("sample_count"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
     )
-    return grouped.select(F.col("w.start").alias("period_start"), "environment", "stage", "metric", "sum", "average", "sample_count", "minimum", "maximum")
+    return grouped.select(F.col("w.start").alias("period_start"), "environment", "stage", "metric", "sum", "average", "sample_count", "minimum", "maximum", *([F.window_time("w").alias("period_time")] if timed else []))
 
 
 def alarm_table(spark, environments=ENVIRONMENTS, stages=STAGES) -> DataFrame:
@@ -104,7 +104,7 @@ def alarm_states(stats: DataFrame, alarms: DataFrame) -> DataFrame:
     """State of each alarm in every period that has data: ALARM above the threshold, else OK."""
     value = F.when(F.col("statistic") == "sum", F.col("sum")).when(F.col("statistic") == "average", F.col("average")).when(F.col("statistic") == "maximum", F.col("maximum")).when(F.col("statistic") == "minimum", F.col("minimum")).otherwise(F.col("sample_count"))
     breach = F.coalesce(value > F.col("threshold"), F.lit(False))
-    return stats.join(F.broadcast(alarms), ["environment", "stage", "metric"]).select("period_start", "environment", "stage", "metric", "statistic", value.alias("value"), F.when(breach, "ALARM").otherwise("OK").alias("state"))
+    return stats.join(F.broadcast(alarms), ["environment", "stage", "metric"]).select("period_start", "environment", "stage", "metric", "statistic", value.alias("value"), F.when(breach, "ALARM").otherwise("OK").alias("state"), *(["period_time"] if "period_time" in stats.columns else []))
 
 
 def alarm_transitions(states: DataFrame, period: int = 60) -> DataFrame:

@@ -467,15 +467,23 @@ def invocation_events(spark, sf_dir):
 
 
 _STATS_SQL = _CALLS_SQL + """
-, m AS (SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS period_start, environment, stage, unnest(['errors', 'latency_ms', 'refusals', 'requests']) AS metric, unnest([error::INT::DOUBLE, round(latency, 3), refused::INT::DOUBLE, 1.0]) AS value FROM i),
-s AS (SELECT period_start, environment, stage, metric, sum(value) AS total, avg(value) AS average, count(*) AS sample_count, max(value) AS maximum FROM m GROUP BY ALL)
+, m AS (SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS period_start, environment, stage, unnest(['errors', 'latency_ms', 'refusals', 'requests', 'guardrail_blocks', 'rejected_requests', 'retrieved_chunks']) AS metric,
+  unnest([error::INT::DOUBLE, round(latency, 3), refused::INT::DOUBLE, 1.0, refused::INT::DOUBLE, rejected::INT::DOUBLE, CASE WHEN stage <> 'query' THEN 0.0 WHEN refuses THEN 2.0 ELSE 1.0 END]) AS value FROM i),
+s AS (SELECT period_start, environment, stage, metric, sum(value) AS total, avg(value) AS average, count(*) AS sample_count, min(value) AS minimum, max(value) AS maximum FROM m GROUP BY ALL)
 """
 
 
-@query(_STATS_SQL + "SELECT period_start, environment, stage, metric, sample_count, round(maximum, 1) AS maximum FROM s WHERE metric <> 'latency_ms'")
+_ROUNDED = "period_start, environment, stage, metric, sample_count, round(total, 2) AS total, round(average, 4) AS average, round(minimum, 2) AS minimum, round(maximum, 2) AS maximum FROM s"
+
+
+def _rounded(stats: DataFrame) -> DataFrame:
+    values = [F.round(c, n).alias(name) for c, n, name in (("sum", 2, "total"), ("average", 4, "average"), ("minimum", 2, "minimum"), ("maximum", 2, "maximum"))]
+    return stats.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"), "environment", "stage", "metric", "sample_count", *values)
+
+
+@query(_STATS_SQL + f"SELECT {_ROUNDED}")
 def metric_windows(spark, sf_dir):
-    s = telemetry.statistics(telemetry.metric_values(_events(spark, sf_dir)))
-    return s.where(F.col("metric").isin("errors", "refusals", "requests")).select(F.col("period_start").cast("timestamp_ntz").alias("period_start"), "environment", "stage", "metric", "sample_count", F.round("maximum", 1).alias("maximum"))
+    return _rounded(telemetry.statistics(telemetry.metric_values(_events(spark, sf_dir))))
 
 
 @query(_STATS_SQL + "SELECT period_start, environment, stage, metric, CASE WHEN metric = 'errors' THEN total > 0 ELSE average > 30000 END AS breach FROM s WHERE metric IN ('errors', 'latency_ms')")
@@ -506,17 +514,31 @@ def log_privacy(spark, sf_dir):
     return telemetry.leaks(read(spark, sf_dir, "events").select("event_id", F.col("props").alias("message")), ["13"]).select("event_id")
 
 
-@query()
+#: What a stream has given out when its watermark stands two minutes before the last event.
+_PASSED = "INTERVAL 60 SECONDS <= (SELECT max(ts) FROM events) - INTERVAL 2 MINUTES"
+
+
+def _streamed(spark, sf_dir, flow) -> DataFrame:
+    """Everything that a stream over the events file gives out in append mode until all of it is read."""
+    name = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    _events(spark, sf_dir).write.parquet(f"{name}-in")
+    out = flow(spark.readStream.schema(spark.read.parquet(f"{name}-in").schema).parquet(f"{name}-in"))
+    with live.stored_state(spark):
+        out.writeStream.outputMode("append").option("checkpointLocation", f"{name}-state").trigger(availableNow=True).format("parquet").start(f"{name}-out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{name}-out")
+
+
+@query(_STATS_SQL + f"SELECT {_ROUNDED} WHERE period_start + {_PASSED}")
 def streamed_statistics(spark, sf_dir):
-    """The same statistics by Structured Streaming over the events file, in append mode: all but the windows the watermark leaves open."""
-    name, base = f"stats-{uuid.uuid4().hex}", shared_dir(spark).rstrip("/")
-    source = f"{base}/{name}-in"
-    _events(spark, sf_dir).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    out = live.statistics(spark.readStream.schema(schema).parquet(source))
-    out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/{name}-state").trigger(availableNow=True).format("parquet").start(f"{base}/{name}").awaitTermination()
-    s = spark.read.schema(out.schema).parquet(f"{base}/{name}")
-    return s.where("metric = 'requests'").select("period_start", "environment", "stage", "metric", "sample_count")
+    """The same statistics by Structured Streaming, in append mode: all but the windows the watermark leaves open."""
+    return _rounded(_streamed(spark, sf_dir, live.statistics))
+
+
+@query(f"WITH t AS ({SQL['alarm_transitions']}) SELECT * FROM t WHERE t.\"at\" + {_PASSED}")
+def streamed_transitions(spark, sf_dir):
+    """Alarm transitions by a stateful operator: all but those of periods the watermark leaves open."""
+    moves = _streamed(spark, sf_dir, lambda e: live.transitions(live.alarm_states(e, telemetry.alarm_table(spark))))
+    return moves.select("environment", "stage", "metric", F.col("at").cast("timestamp_ntz").alias("at"), "to_state")
 
 
 from corpusloom.plans import more  # noqa: E402, F401  registers the rest

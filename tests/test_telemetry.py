@@ -83,7 +83,8 @@ def test_streams_agree_with_batch(spark, tmp_path):
 
     def drain(frame, name):
         out = str(tmp_path / name)
-        frame.writeStream.outputMode("append").option("checkpointLocation", out + "-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        with live.stored_state(spark):
+            frame.writeStream.outputMode("append").option("checkpointLocation", out + "-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
         return spark.read.schema(frame.schema).parquet(out)
 
     key = ["period_start", "environment", "stage", "metric"]
@@ -101,6 +102,23 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert {tuple(r) for r in moves.select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
 
 
+def test_transitions_survive_a_restart(spark, tmp_path):
+    """Files arrive one after another and the query is started anew for each: an alarm open at a stop is ended after it, once."""
+    parts = [[call(code=500, at=s) for s in (0, 61)] + [call(at=5)], [call(code=500, at=130), call(at=400)], [call(code=500, at=460)], [call(at=2000), call(code=500, at=2100)], [call(at=4000)]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events = [t.invocation_events(spark.createDataFrame(p, CALL)) for p in parts]
+    alarms = t.alarm_table(spark)
+    for some in events:
+        some.coalesce(1).write.mode("append").parquet(source)
+        moves = live.transitions(live.alarm_states(spark.readStream.schema(some.schema).parquet(source), alarms))
+        with live.stored_state(spark):
+            moves.writeStream.outputMode("append").option("checkpointLocation", out + "-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    cols = ["environment", "stage", "metric", "at", "to_state"]
+    got = sorted(map(tuple, spark.read.schema(moves.schema).parquet(out).select(cols).collect()))
+    every = t.alarm_transitions(t.alarm_states(t.statistics(t.metric_values(t.invocation_events(spark.createDataFrame(sum(parts, []), CALL)))), alarms))
+    assert got == sorted(map(tuple, every.select(cols).collect())) and len(got) == 6
+
+
 def test_observer_never_alters_a_call(spark):
     from corpusloom.streaming import observe
 
