@@ -27,10 +27,12 @@ def attacks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ATTACKS, "id string, text string")
 
 
+#: Turns with labelled personal data, in the shape of conversations.
+QUESTIONS = [(-1, n, "user", t) for n, t in enumerate(("DOB: 1980-02-03 and account number: 12345 678", "write to jane [at] example [dot] org", "address: 12 Long Hill Road N", "postal code K1A 0B1", "call 613-555-0199, section 10.1.2.3, host 10.1.2.3"))]
+
+
 def questions(spark: SparkSession) -> DataFrame:
-    """Turns with labelled personal data, in the shape of conversations."""
-    texts = ["DOB: 1980-02-03 and account number: 12345 678", "write to jane [at] example [dot] org", "address: 12 Long Hill Road N", "postal code K1A 0B1", "call 613-555-0199, section 10.1.2.3, host 10.1.2.3"]
-    return spark.createDataFrame([(-1, n, "user", t) for n, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    return spark.createDataFrame(QUESTIONS, "conv_id long, turn long, role string, text string")
 
 
 #: Labelled cases: category, text, and per value whether it is to be gone after the document and after the query policy.

@@ -9,8 +9,8 @@ from corpusloom import models
 from corpusloom.functions import redaction
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, chunking, ingest, merkle, patterns, retrieval, scoring, sections, telemetry
-from corpusloom.plans import fixtures
-from corpusloom.plans.registry import _CALLS_SQL, _RANKED, SETTINGS, SQL, _calls, _events, _ranked, query, read
+from corpusloom.plans import fixtures, oracles
+from corpusloom.plans.registry import _CALLS_SQL, _INJECTION, _RANKED, SETTINGS, SQL, _calls, _events, _ranked, query, read
 from corpusloom.shared import ordinals
 from corpusloom.sources import files, logs
 from corpusloom.sources import manifest as M
@@ -139,7 +139,7 @@ def json_cases(spark, sf_dir):
     return c.select("name", redaction.redacted_json(F.col("text")).alias("redacted"), models.cache_safe(F.col("text")).alias("cache_safe"))
 
 
-@query()
+@query(oracles.JSON_REDACTION)
 def json_redaction(spark, sf_dir):
     """Conversations as nested JSON with every string redacted."""
     c = read(spark, sf_dir, "conversations")
@@ -269,7 +269,7 @@ def context_injection(spark, sf_dir):
     return answers.excerpts(rows).select("question_id", "context_injection")
 
 
-@query()
+@query(oracles.excerpt_prompts(_INJECTION))
 def excerpt_prompts(spark, sf_dir):
     """Five documents a question as numbered, redacted excerpts in one JSON prompt."""
     d = read(spark, sf_dir, "documents")

@@ -18,7 +18,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import answers, chunking, ingest, retrieval, scoring, sections, store, telemetry
 from corpusloom.operators.snapshots import SnapshotTable
-from corpusloom.plans import fixtures
+from corpusloom.plans import fixtures, oracles
 from corpusloom.shared import Settings, shared_dir
 from corpusloom.sources import manifest as M
 from corpusloom.streaming import telemetry as live
@@ -217,9 +217,12 @@ def whitespace_clean(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || ' & <b> fi 1' END AS normalized FROM conversations")
 def normalized_text(spark, sf_dir):
-    return T.normalize_column(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "normalized")
+    """Every other turn is disguised: wide letters, entities, a ligature, a superscript, a mark without width and a bell. All of it goes."""
+    wide = F.concat(F.translate("text", "aeorst", "ａｅｏｒｓｔ"), F.lit(" &amp; &lt;b\u200b&#62; \ufb01\x07 \u00b9"))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(wide).alias("text"))
+    return T.normalize_column(c, "text").select("conv_id", "turn", "normalized")
 
 
 _B, _A = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
@@ -232,19 +235,19 @@ def email_redact(spark, sf_dir):
     return d.select("doc_id", F.regexp_count("text", F.lit(redaction.EMAIL)).cast("long").alias("emails"), F.regexp_replace("text", redaction.EMAIL, "<EMAIL_ADDRESS>").alias("text"))
 
 
-@query()
+@query(oracles.PII_REDACT)
 def pii_redact(spark, sf_dir):
     d = redaction.redacted(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", text="text")
     return d.select("doc_id", "text", F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, b: a + b).alias("redactions"))
 
 
-@query()
+@query(oracles.PII_COUNTS)
 def pii_counts(spark, sf_dir):
     d = redaction.redacted(read(spark, sf_dir, "documents").select("text"), "text")
     return d.select(F.explode("counts").alias("entity", "n")).groupBy("entity").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query(oracles.query_redaction(fixtures.QUESTIONS))
 def query_redaction(spark, sf_dir):
     c = T.normalize_column(read(spark, sf_dir, "conversations").unionByName(fixtures.questions(spark)), "text")
     c = redaction.redacted(c, "normalized", redaction.QUERY_STEPS, text="text")
@@ -272,7 +275,7 @@ def injection_flags(spark, sf_dir):
     return T.normalize_column(rows, "text").select("id", guards.injection(F.col("normalized")).alias("flagged"))
 
 
-@query()
+@query(oracles.output_violations(_INJECTION))
 def output_violations(spark, sf_dir):
     rows = T.normalize_column(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", guards.output_violation(F.col("normalized")).alias("violation"))
