@@ -66,8 +66,12 @@ def query_prompt(backend: Column, text: Column, prefix: str = "search_query: ")
     return F.when(backend == "ollama", F.concat(F.lit(prefix), text)).otherwise(text)
 
 
-def embedded(prompts: DataFrame, make: Callable[[], Embedder], dimension: int, key: str = "content_hash", text_col: str = "prompt", batch: int = 16) -> DataFrame:
-    """key, embedding of each distinct key. A vector of the wrong length, not finite or zero fails the job."""
+def embedded(prompts: DataFrame, make: Callable[[], Embedder], dimension: int, key: str = "content_hash", text_col: str = "prompt", batch: int = 16, policy: Callable[[Column], Column] = redaction.document_policy) -> DataFrame:
+    """key, embedding of each distinct key. A vector of the wrong length, not finite or zero fails the job.
+
+    Texts pass a redaction policy on their way to the model, whatever the caller has done: an adapter never sees what a
+    pattern finds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = make()
@@ -79,7 +83,7 @@ def embedded(prompts: DataFrame, make: Callable[[], Embedder], dimension: int, k
                     raise ValueError("one vector a text is expected")
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(got, pa.list_(pa.float32()))], [key, "embedding"])
 
-    made = prompts.select(key, text_col).dropDuplicates([key]).mapInArrow(run, f"{key} string, embedding array<float>")
+    made = prompts.select(key, text_col).dropDuplicates([key]).withColumn(text_col, policy(F.col(text_col))["text"]).mapInArrow(run, f"{key} string, embedding array<float>")
     return require(made, V.valid(F.col("embedding"), dimension), F.lit("invalid embedding"))
 
 

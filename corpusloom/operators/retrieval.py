@@ -12,10 +12,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
+from corpusloom.shared import written
 
 BLOCK = 4096
 
@@ -26,17 +28,45 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def top_k(questions: DataFrame, corpus: DataFrame, k: int, dimension: int, question_col: str = "question_id", id_col: str = "chunk_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """question id, chunk id (longs), similarity, excerpt number from 1: nearest first, ties to the smaller chunk id. Invalid vectors take no part."""
+    """question id (long), chunk id (long or string), similarity, excerpt number from 1: nearest first, ties to the smaller chunk id. Invalid vectors take no part.
+
+    Up to ``block`` questions make one lazy scan. More are worked off block by block,
+    each one's result written before the next is gathered, so the driver and the
+    executors hold the vectors of one block.
+    """
+    kind = "string" if corpus.schema[id_col].dataType.simpleString() == "string" else "long"
     asked = questions.where(V.valid(F.col(vector_col), dimension)).select(F.col(question_col).cast("long").alias("q"), F.col(vector_col).cast("array<double>").alias("v"))
-    stored = corpus.where(V.valid(F.col(vector_col), dimension)).select(F.col(id_col).cast("long").alias("c"), F.col(vector_col).cast("array<double>").alias("v"))
+    stored = corpus.where(V.valid(F.col(vector_col), dimension)).select(F.col(id_col).cast(kind).alias("c"), F.col(vector_col).cast("array<double>").alias("v"))
     parts = max(1, -(-asked.count() // block))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(parts)))
-    found = [_scan(dealt.where(F.col("block") == b).select("q", "v"), stored, k, question_col, id_col) for b in range(parts)]
     best = Window.partitionBy(question_col).orderBy(F.desc("similarity"), id_col)
-    return reduce(DataFrame.unionByName, found).withColumn("number", F.row_number().over(best)).where(F.col("number") <= k)
-
-
-def _scan(block: DataFrame, stored: DataFrame, k: int, question_col: str, id_col: str) -> DataFrame:
+    first = lambda found: found.withColumn("number", F.row_number().over(best)).where(F.col("number") <= k)
+    if parts == 1:
+        return first(_scan(asked, stored, k, question_col, id_col, kind)[0])
+    dealt = written(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(parts))), "asked")
+    done = []
+    for b in range(parts):
+        found, sent = _scan(dealt.where(F.col("block") == b).select("q", "v"), stored, k, question_col, id_col, kind)
+        done.append(written(first(found), "ranked"))
+        sent.unpersist()
+    return reduce(DataFrame.unionByName, done)
+
+
+def _nearest(near: np.ndarray, ids: np.ndarray, here: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's best so far (near, ids) and a batch's similarities (here) to rows ``own``, the k best, ties to the smaller id."""
+    n, seen = near.shape
+    values = np.concatenate((near, here), axis=1)
+    width = min(k, values.shape[1])
+    edge = np.partition(values, values.shape[1] - width, axis=1)[:, values.shape[1] - width]
+    row, at = np.nonzero(values >= edge[:, None])  # k a row, and those that tie with the last
+    names = np.where(at < seen, ids[row, np.minimum(at, seen - 1)], own[np.maximum(at - seen, 0)]) if seen else own[at]
+    value = values[row, at]
+    order = np.lexsort((names, -value, row))
+    starts = np.searchsorted(row, np.arange(n))  # row is ascending, and stays so in order
+    take = order[(starts[:, None] + np.arange(width)).ravel()]
+    return value[take].reshape(n, width), names[take].reshape(n, width)
+
+
+def _scan(block: DataFrame, stored: DataFrame, k: int, question_col: str, id_col: str, kind: str) -> tuple[DataFrame, Broadcast]:
     got = block.toArrow()  # about ``block`` rows by construction
     names = got.column("q").to_numpy()
     sent = stored.sparkSession.sparkContext.broadcast((names, _unit(got.column("v").combine_chunks()) if len(names) else None))
@@ -45,23 +75,18 @@ def _scan(block: DataFrame, stored: DataFrame, k: int, question_col: str, id_col
         names, q = sent.value
         if q is None:
             return
-        near, ids = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), dtype=np.int64)
+        near, ids = np.full((len(names), 0), 0.0), None
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                here = q @ _unit(part.column("v")).T
-                own = np.broadcast_to(part.column("c").to_numpy(), here.shape)
-                here, own = np.concatenate((near, here), axis=1), np.concatenate((ids, own), axis=1)
-                if here.shape[1] > k:
-                    # ties at the edge are settled by id before the cut
-                    order = np.lexsort((own, -here), axis=1)[:, :k]
-                    here, own = np.take_along_axis(here, order, 1), np.take_along_axis(own, order, 1)
-                near, ids = here, own
+                own = part.column("c").to_numpy(zero_copy_only=False)
+                ids = np.empty((len(names), 0), dtype=own.dtype) if ids is None else ids
+                near, ids = _nearest(near, ids, q @ _unit(part.column("v")).T, own, k)
         n = near.shape[1]
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel()), pa.array(near.ravel())], [question_col, id_col, "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel(), pa.string() if kind == "string" else pa.int64()), pa.array(near.ravel())], [question_col, id_col, "similarity"])
 
-    return stored.mapInArrow(run, f"{question_col} long, {id_col} long, similarity double")
+    return stored.mapInArrow(run, f"{question_col} long, {id_col} {kind}, similarity double"), sent
 
 
 def gated(ranked: DataFrame, minimum: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from corpusloom.functions import text as T
 from corpusloom.operators import answers, chunking, ingest, merkle, patterns, retrieval, scoring, sections, telemetry
 from corpusloom.plans import fixtures, oracles
 from corpusloom.plans.registry import _CALLS_SQL, _INJECTION, _RANKED, SETTINGS, SQL, _calls, _events, _ranked, query, read
-from corpusloom.shared import ordinals
+from corpusloom.operators.question_vectors import QuestionVectors
+from corpusloom.shared import ordinals, shared_dir
 from corpusloom.sources import files, logs
 from corpusloom.sources import manifest as M
 
@@ -96,6 +99,21 @@ def embedded_documents(spark, sf_dir):
     return models.embedded(d, models.hashed_embedder(SETTINGS.dimension), SETTINGS.dimension)
 
 
+@query("SELECT conv_id, turn, length(text) % 3 = 0 AS first_cached, true AS then_cached FROM conversations")
+def question_vectors(spark, sf_dir):
+    """Vectors of all turns, asked for twice. A third is stored; another third is stored zero, short or by another model, and is replaced."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    identity = {"backend": "local", "model": "hash", "dimension": SETTINGS.dimension, "fingerprint": "f"}
+    known = QuestionVectors(spark, f"{shared_dir(spark).rstrip('/')}/questions-{uuid.uuid4().hex}", identity, "hash-1")
+    size, dim = F.length("text"), SETTINGS.dimension
+    one = F.array_repeat(F.lit(0.125).cast("float"), dim)
+    bad = F.when(size % 9 == 1, F.array_repeat(F.lit(0.0).cast("float"), dim)).when(size % 9 == 4, F.slice(one, 1, 3)).otherwise(one)
+    seeded = c.where(size % 3 < 2).select(known.key(F.col("text")).alias("vector_key"), F.when(size % 9 == 7, "hash-0").otherwise("hash-1").alias("model"), F.when(size % 3 == 0, one).otherwise(bad).alias("vector"))
+    known.table.change(seeded.dropDuplicates(["vector_key"]))
+    first, then = (known.embedded(c, models.hashed_embedder(dim), "text").select("conv_id", "turn", F.col("from_cache").alias(name)) for name in ("first_cached", "then_cached"))
+    return first.join(then, ["conv_id", "turn"])
+
+
 @query("SELECT role, count(*) AS prompts, count(DISTINCT text) AS distinct_prompts, count(CASE WHEN length(text) % 3 = 0 THEN 1 END) AS from_cache FROM conversations GROUP BY role")
 def cached_replies(spark, sf_dir):
     """Replies for all turns. A third is cached; another third is, but incomplete, so it is sent again; each distinct prompt is sent once."""
