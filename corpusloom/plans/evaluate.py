@@ -11,18 +11,24 @@ from corpusloom import models
 from corpusloom.functions import strict_json
 from corpusloom.operators import answers, retrieval, scoring
 from corpusloom.plans import ask
-from corpusloom.shared import Settings, written
+from corpusloom.shared import Settings, counted, written
+from corpusloom.sources.files import reported
 
-# Fixed value: what the judge is told.
+# What the judge is told, and the names of what it is given.
 JUDGE = 'Judge the answer against the reference. Reply with JSON: {"accurate": boolean, "citations": [{"pair": number, "supported": boolean}]} with one entry for each numbered pair, in order.'
 
 
-def run(questions: DataFrame, corpus: DataFrame, manifest: DataFrame, embedder: Callable[[], models.Embedder], chat: Callable[[], models.Chat], judge: Callable[[], models.Chat], settings: Settings) -> tuple[DataFrame, DataFrame]:
+def run(questions: DataFrame, corpus: DataFrame, manifest: DataFrame, embedder: Callable[[], models.Embedder], chat: Callable[[], models.Chat], judge: Callable[[], models.Chat], settings: Settings, report_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores per variant and the outcome rows.
 
     questions: question_id, question, supported, facts array<string>, gold array<struct<chunk_id, sha256, document_id,
     section_heading, excerpt>>. Gold that differs from the corpus stops the run before anything is paid for.
     """
+    with reported(questions.sparkSession, report_path, kind="evaluate", variants={}) as figures:
+        return _scored(questions, corpus, manifest, embedder, chat, judge, settings, figures)
+
+
+def _scored(questions: DataFrame, corpus: DataFrame, manifest: DataFrame, embedder: Callable[[], models.Embedder], chat: Callable[[], models.Chat], judge: Callable[[], models.Chat], settings: Settings, figures: dict) -> tuple[DataFrame, DataFrame]:
     gold = questions.select("question_id", F.explode("gold").alias("g")).select("question_id", "g.*")
     if not scoring.gold_errors(gold, corpus, manifest).isEmpty():
         raise ValueError("gold references differ from the indexed corpus")
@@ -46,6 +52,8 @@ def run(questions: DataFrame, corpus: DataFrame, manifest: DataFrame, embedder:
         counts = pairs.groupBy("question_id").agg(F.count("*").cast("int").alias("pairs"))
         rows = result.join(questions.select("question_id", "supported"), "question_id").join(judged, "question_id", "left").join(counts, "question_id", "left").join(hits, "question_id", "left")
         rows = rows.withColumn("pairs", F.coalesce("pairs", F.lit(0))).withColumn("retrieval_hit", F.coalesce("retrieval_hit", F.lit(False)))
-        rows = written(scoring.judged(rows).withColumn("variant", F.lit(variant)).withColumn("position", F.lit(0)), "outcomes")
+        rows = scoring.judged(rows).withColumn("variant", F.lit(variant)).withColumn("position", F.lit(0))
+        seen = figures["variants"][variant] = {}
+        rows = counted(rows, "outcomes", seen, outcomes=F.count("*"), failed=F.count_if(F.col("status") == "failed"), answered=F.count_if(F.col("status") == "answered"))
         outcomes = rows if outcomes is None else outcomes.unionByName(rows)
     return scoring.score(questions, outcomes), outcomes

@@ -13,7 +13,7 @@ from corpusloom import models
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, ingest, sections
 from corpusloom.operators.store import VectorStore
-from corpusloom.shared import Settings, written
+from corpusloom.shared import Settings, counted, written
 from corpusloom.sources.files import write_report
 
 
@@ -63,15 +63,15 @@ def _now() -> str:
 
 def _build(documents: DataFrame, store: VectorStore, embedder: Callable[[], models.Embedder], settings: Settings, provider_model: str, landmark: str, prepare_only: bool, prune: bool) -> Report:
     """Every embedding is made and kept before one commit replaces the documents and prunes the rest."""
-    chunks = written(chunk_documents(documents, settings, landmark), "chunks")
-    over = chunks.where(~F.col("prompt_ok")).count()
-    if over:
-        raise ValueError(f"{over} prompts are over the byte limit")
+    seen: dict = {}
+    chunks = counted(chunk_documents(documents, settings, landmark), "chunks", seen, chunks=F.count("*"), over=F.count_if(~F.col("prompt_ok")))
+    if seen["over"]:
+        raise ValueError(f"{seen['over']} prompts are over the byte limit")
     empty = ingest.without_chunks(documents, chunks).count()
     if empty:
         raise ValueError(f"{empty} documents have no chunk")
     if prepare_only:
-        return Report("prepared", documents.count(), chunks.count())
+        return Report("prepared", documents.count(), seen["chunks"])
     store.initialize()
     rows = store.rows()
     stored = documents.sparkSession.createDataFrame([], "content_hash string, embedding array<float>") if rows is None else rows.select("content_hash", "embedding")

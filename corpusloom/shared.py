@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, into: dict, **figures: Column) -> DataFrame:
+    """As ``written``; aggregates of df are observed while it is written and put into a dict, so no job counts anything again."""
+    seen = Observation(name)
+    out = written(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name)
+    into.update(seen.get)
+    return out
+
+
 def require(df: DataFrame, condition: Column, message: Column) -> DataFrame:
     """df; a row for which the condition isn't true fails the job. A filter, so no plan leaves it out, whatever columns it reads."""
     return df.where(F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +95,19 @@ def write_report(spark: SparkSession, report: dict, path: str) -> None:
     import json
 
     spark.createDataFrame([(json.dumps(report, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+@contextmanager
+def reported(spark: SparkSession, path: str | None, **fixed: object) -> Iterator[dict]:
+    """A dict of figures that is written to ``path``, with UTC times and how the body ended, on success and on failure; a failure is raised again."""
+    figures: dict = {**fixed, "status": "failed", "error": None, "started_at": datetime.now(timezone.utc).isoformat()}
+    try:
+        yield figures
+        figures["status"] = "completed"
+    except Exception as e:
+        figures["error"] = type(e).__name__  # the message may quote a document
+        raise
+    finally:
+        figures["finished_at"] = datetime.now(timezone.utc).isoformat()
+        if path:
+            write_report(spark, figures, path)
