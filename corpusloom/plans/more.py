@@ -64,6 +64,29 @@ def pending_downloads(spark, sf_dir):
     return files.to_download(m, m.where("sha256 IS NOT NULL").select("document_id", "sha256")).select("document_id")
 
 
+@query(
+    "SELECT page_id::VARCHAR AS document_id, CASE WHEN page_id % 11 = 3 THEN 'missing' WHEN strlen(html) > 3000 THEN 'too large' WHEN page_id % 7 = 2 THEN 'no retrieval date' WHEN page_id % 5 = 4 THEN 'hash mismatch' END AS error, CASE WHEN page_id % 11 <> 3 AND strlen(html) <= 3000 THEN strlen(html) ELSE -1 END AS bytes FROM pages"
+)
+def raw_integrity(spark, sf_dir):
+    """Pages as raw files beside a manifest: some are missing, over the limit, without a date, or not what the manifest says."""
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), "page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"), F.lit("html").alias("format"))
+    given = lambda n, r: F.pmod("page_id", F.lit(n)) == r
+    sources = p.select("document_id", "format", F.when(~given(7, 2), "2024-01-01").alias("retrieved_at"), F.when(given(5, 4), F.sha2(F.lit("another"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"))
+    size = F.octet_length("content").cast("long")
+    whole = lambda c: F.when(size <= 3000, c)
+    raw = p.where(~given(11, 3)).select("document_id", "format", whole(F.col("content")).alias("content"), whole(F.sha2("content", 256)).alias("sha256"), size.alias("length"))
+    return files.verified(raw, sources).select("document_id", "error", F.coalesce(F.octet_length("content").cast("long"), F.lit(-1)).alias("bytes"))
+
+
+@query("SELECT source AS document_id, doc_id, sha256(text) AS content_hash, n_chars FROM documents")
+def stage_artifacts(spark, sf_dir):
+    """A stage's rows written as JSON objects, one folder a document, and read back below the size limit."""
+    bucket, run = shared_dir(spark).rstrip("/"), uuid.uuid4().hex
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), "doc_id", T.sha256(F.col("text")).alias("content_hash"), "n_chars")
+    files.write_artifact(d, bucket, run, "chunks")
+    return files.read_artifact(spark, bucket, run, "chunks", "document_id string, doc_id long, content_hash string, n_chars long")
+
+
 @query("SELECT doc_id FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '\\S')")
 def empty_documents(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("section"), "text")
