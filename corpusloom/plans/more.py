@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom import models
@@ -96,12 +95,13 @@ def empty_documents(spark, sf_dir):
 # --- vectors and caches -----------------------------------------------------
 
 
-@query("SELECT d.doc_id, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id")
+@query("SELECT d.doc_id, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)")
 def chunk_vectors(spark, sf_dir):
-    """Documents with the vector of their number, which must exist."""
+    """Every document with the vector of its number, counted round; a missing one would fail the job."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("content_hash"), "embedding", "label")
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("content_hash")).join(e.select("content_hash", "label"), "content_hash")
-    return ingest.with_vectors(d, e).where(F.size("embedding") > 0).select("doc_id", "label")
+    d = read(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(max(1, e.count()))).cast("string").alias("content_hash"))
+    found = ingest.with_vectors(d, e).where(F.size("embedding") > 0)
+    return found.join(e.select("content_hash", "label"), "content_hash").select("doc_id", "label")
 
 
 @query("SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -164,13 +164,13 @@ def completeness(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(models.complete(backend, ended, F.lit(None).cast("string"))).alias("complete"))
 
 
-@query("SELECT label, max(CASE WHEN rn = n THEN vec_id END) AS last, count(*) AS n FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) GROUP BY label")
+@query("SELECT label, batch, max(vec_id) AS last, count(*) AS n FROM (SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS batch FROM embeddings) GROUP BY label, batch")
 def reply_order(spark, sf_dir):
-    """Each label's rows as one reply whose items came back in reverse; put in order, the last is the largest id."""
-    place = Window.partitionBy("label").orderBy("vec_id")
-    rows = read(spark, sf_dir, "embeddings").select("label", F.struct((F.row_number().over(place) - 1).alias("index"), F.col("vec_id").alias("embedding")).alias("r"))
-    replies = rows.groupBy("label").agg(F.reverse(F.array_sort(F.collect_list("r"))).alias("replies")).withColumn("v", models.in_order(F.col("replies")))
-    return replies.select("label", F.element_at("v", -1).alias("last"), F.size("v").cast("long").alias("n"))
+    """Each label's rows in replies of 16 whose items came back in reverse; put in order, the last is the largest id."""
+    rows = ordinals(read(spark, sf_dir, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"], "at")
+    item = F.struct((F.col("at") % SETTINGS.batch_size).cast("int").alias("index"), F.col("vec_id").alias("embedding"))
+    replies = rows.groupBy("label", F.floor(F.col("at") / SETTINGS.batch_size).alias("batch")).agg(F.reverse(F.array_sort(F.collect_list(item))).alias("replies")).withColumn("v", models.in_order(F.col("replies")))
+    return replies.select("label", "batch", F.element_at("v", -1).alias("last"), F.size("v").cast("long").alias("n"))
 
 
 @query()
@@ -277,15 +277,31 @@ def answer_texts(spark, sf_dir):
     return rows.select("conv_id", T.answer_text(F.col("claims")).alias("answer"))
 
 
-@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, n))::INT AS pair, text AS claim, n::INT AS number FROM (SELECT conv_id, turn, text, unnest([1, 2]) AS n FROM conversations WHERE role = 'assistant')")
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, n))::INT AS pair, text AS claim, n::INT AS number FROM (SELECT conv_id, turn, text, unnest([1, 2]) AS n FROM conversations)")
 def citation_pairs(spark, sf_dir):
-    """Assistant turns as claims that cite excerpts 1 and 2."""
+    """Turns as claims that cite excerpts 1 and 2."""
     claim = F.struct("turn", F.struct("text", F.array(F.lit(1), F.lit(2)).alias("sources")).alias("c"))
-    said = read(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("question_id")).agg(F.transform(F.array_sort(F.collect_list(claim)), lambda x: x["c"]).alias("claims"))
+    said = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("question_id")).agg(F.transform(F.array_sort(F.collect_list(claim)), lambda x: x["c"]).alias("claims"))
     docs = F.array(*[F.struct(F.lit(n).alias("number"), F.lit("t").alias("title"), F.lit("s").alias("section"), F.lit(f"e{n}").alias("text")) for n in (1, 2)])
     return answers.pairs(said, said.select("question_id", docs.alias("documents"))).select(F.col("question_id").alias("conv_id"), "pair", "claim", "number")
 
 
+@query(
+    "WITH r AS (SELECT doc_id // 3 AS question_id, (doc_id % 3 + 1)::INT AS number, CASE WHEN doc_id % 5 <> 0 THEN 's' || doc_id END AS anchor, 'https://example.org/' || doc_id AS base, CASE WHEN doc_id % 4 = 1 THEN doc_id % 9 + 1 END AS page FROM documents) "
+    "SELECT question_id, number, anchor, base || CASE WHEN page IS NOT NULL THEN '#page=' || page WHEN anchor IS NOT NULL THEN '#' || anchor ELSE '#own' END AS url FROM r WHERE question_id % 2 = 0 AND number <> 2"
+)
+def answer_citations(spark, sf_dir):
+    """Three documents a question; every other question is answered, by claims about the third and the first. Every fifth anchor is an address and is dropped."""
+    n = F.col("doc_id")
+    d = read(spark, sf_dir, "documents")
+    anchor = F.when(n % 5 == 0, F.concat(F.lit("bob@example.com"))).otherwise(F.concat(F.lit("s"), n.cast("string")))
+    page = F.when(n % 4 == 1, (n % 9 + 1).cast("int"))
+    retrieved = d.select(F.floor(n / 3).alias("question_id"), (n % 3 + 1).cast("int").alias("number"), anchor.alias("anchor"), page.alias("page"), F.concat(F.lit("https://example.org/"), n.cast("string"), F.lit("#own")).alias("source_url"), F.col("source").alias("document_title"), F.col("lang").alias("section_heading"))
+    claims = F.array(F.struct(F.lit("c").alias("text"), F.array(F.lit(3), F.lit(1)).alias("sources")), F.struct(F.lit("d").alias("text"), F.array(F.lit(1)).alias("sources")))
+    answered = retrieved.select("question_id").distinct().select("question_id", F.when(F.col("question_id") % 2 == 0, "answered").otherwise("refused").alias("status"), claims.alias("claims"))
+    return answers.citations(answered, retrieved).select("question_id", "number", "anchor", "url")
+
+
 @query("SELECT conv_id, turn, NOT regexp_matches(text, '\\S') OR regexp_matches(text, '(?i)https?://|www\\.|\\[[0-9]+\\]') OR turn > 3 AS blocked FROM conversations WHERE text IS NOT NULL")
 def claims_blocked(spark, sf_dir):
     """Turns as claims about three excerpts; the turn is the cited number, at least 1."""
