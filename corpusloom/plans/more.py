@@ -45,6 +45,32 @@ def chunk_provenance(spark, sf_dir):
     return ingest.provenance_mismatch(_provenanced(spark, sf_dir), _manifest(spark, sf_dir)).select("document_id", "chunk_id")
 
 
+@query(f"WITH {_MANIFEST_SQL} SELECT d.source AS document_id, d.doc_id AS chunk_id FROM documents d JOIN m ON m.document_id = d.source WHERE d.doc_id % 7 = 0 OR NOT m.downloaded OR ascii(right(d.source, 1)) % 2 = 0")
+def redirected_provenance(spark, sf_dir):
+    """Every other source was redirected, so its chunks' URL isn't the resolved one; an empty resolved URL counts as none."""
+    last = F.ascii(F.substring("document_id", -1, 1))
+    m = _manifest(spark, sf_dir).withColumn("resolved_url", F.when(last % 2 == 0, F.concat("source_url", F.lit("/new"))).when(last % 3 == 0, ""))
+    return ingest.provenance_mismatch(_provenanced(spark, sf_dir), m).select("document_id", "chunk_id")
+
+
+@query("SELECT page_id, page_id % 6 IN (0, 4) AS local FROM pages")
+def local_endpoints(spark, sf_dir):
+    """Page numbers as ports of this machine, well spelled or with a scheme, user or path that isn't allowed, and the pages' own URLs."""
+    n = F.col("page_id").cast("string")
+    spelled = (F.concat(F.lit("http://localhost:"), n), F.concat(F.lit("https://localhost:"), n), F.concat(F.lit("http://me@localhost:"), n), F.concat(F.lit("http://127.0.0.1/"), n), F.concat(F.lit("http://[::1]:"), n, F.lit("/")), F.col("url"))
+    url = F.element_at(F.array(*spelled), (F.pmod("page_id", F.lit(6)) + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", M.local_endpoint(url).alias("local"))
+
+
+@query(oracles.SECTION_NUMBERS)
+def section_numbers(spark, sf_dir):
+    """A four-part section number and an address at the end of every text: the one stays, the other goes."""
+    tail = F.concat(F.lit(" See section 1.2.3."), (F.col("doc_id") % 200).cast("string"), F.lit(" or paragraphs: 4.5.6.7, host 10.2.3."), (F.col("doc_id") % 200).cast("string"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+    d = redaction.redacted(d, "text", text="text")
+    return d.select("doc_id", "text", F.coalesce(F.try_element_at("counts", F.lit("IP_ADDRESS")), F.lit(0)).cast("long").alias("addresses"))
+
+
 @query(f"WITH {_MANIFEST_SQL} SELECT document_id, sha256(source_url) AS sha256 FROM m WHERE downloaded")
 def source_lookup(spark, sf_dir):
     m = _manifest(spark, sf_dir)

@@ -76,6 +76,10 @@ PII_REDACT = f"WITH {policy('SELECT doc_id, text FROM documents', 'doc_id', Fals
 PII_COUNTS = f"WITH {policy('SELECT doc_id, text FROM documents', 'doc_id', False)} " + " UNION ALL ".join(f"SELECT '{e}' AS entity, sum(n_{e})::BIGINT AS n FROM redacted HAVING sum(n_{e}) > 0" for e in sorted(R.DOCUMENT_ENTITIES))
 
 
+_TAIL = "coalesce(text, '') || ' See section 1.2.3.' || doc_id % 200 || ' or paragraphs: 4.5.6.7, host 10.2.3.' || doc_id % 200"
+SECTION_NUMBERS = f"WITH {policy(f'SELECT doc_id, {_TAIL} AS text FROM documents', 'doc_id', False)} SELECT doc_id, t AS text, n_IP_ADDRESS::BIGINT AS addresses FROM redacted"
+
+
 def query_redaction(turns: list[tuple]) -> str:
     more = ", ".join(f"({c}, {t}, {_text(x)})" for c, t, _, x in turns)
     source = f"SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES {more})"
