@@ -124,7 +124,8 @@ def test_odd_tables_through_every_stage(spark, odd, none, nothing, folder, tmp_p
 
 def test_registered_once():
     assert __spark_entry__.queries()["pipeline"] and "pipeline" not in __spark_entry__.oracle_sql()
-    assert [n for n in __spark_entry__.queries() if n.startswith("op")] and len([n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]) == 10
+    numbers = [int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_substring_sql_is_the_query(spark, folder):
