@@ -137,9 +137,9 @@ def found(result: Column) -> Column:
     return F.coalesce(F.size(result["counts"]) > 0, F.lit(False))
 
 
-def redacted(df: DataFrame, column: str, steps: tuple[Step, ...] = DOCUMENT_STEPS, text: str = "redacted", counts: str = "counts") -> DataFrame:
-    """df with a policy's text and counts."""
-    return df.withColumn("__r", policy(F.col(column), steps)).withColumns({text: F.col("__r.text"), counts: F.col("__r.counts")}).drop("__r")
+def redacted(df: DataFrame, column: str, steps: tuple[Step, ...] = DOCUMENT_STEPS, text: str = "redacted", counts: str = "counts", how: Callable[[Column], Column] | None = None) -> DataFrame:
+    """df with a policy's text and counts: that of the steps, or ``how``."""
+    return df.withColumn("__r", how(F.col(column)) if how else policy(F.col(column), steps)).withColumns({text: F.col("__r.text"), counts: F.col("__r.counts")}).drop("__r")
 
 
 def counts_map(counts: dict[str, Column]) -> Column:

@@ -9,9 +9,10 @@ starts with as many of the last pieces as the overlap allows.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -84,15 +85,15 @@ def chunks(sections: DataFrame, settings: Settings = Settings(), id_col: str = "
     return placed.select(*rest, "part", "text", T.chunk_id(F.col(id_col).cast("string"), F.col("section"), F.col("part")).alias("chunk_id"), T.sha256(F.col("text")).alias("content_hash"))
 
 
-def prepared(chunked: DataFrame, settings: Settings = Settings(), title_col: str = "document_title", heading_col: str = "section_heading") -> DataFrame:  # noqa: B008
+def prepared(chunked: DataFrame, settings: Settings = Settings(), title_col: str = "document_title", heading_col: str = "section_heading", how: Callable[[Column], Column] | None = None) -> DataFrame:  # noqa: B008
     """Chunks ready to embed: text redacted, the prompt built from it and redacted again, content_hash that of the prompt.
 
-    Adds prompt, redactions (finds of both passes per entity) and prompt_ok (within the prompt's byte limit).
+    Adds prompt, redactions (finds of both passes per entity) and prompt_ok (within the prompt's byte limit). ``how``: another policy than the steps, ``spans.policy`` say.
     """
     from corpusloom.functions import redaction as R
 
-    first = R.redacted(chunked, "text", text="text", counts="__a").withColumn("prompt", T.prompt_text(F.col(title_col), F.col(heading_col), F.col("text")))
-    second = R.redacted(first, "prompt", text="prompt", counts="__b")
+    first = R.redacted(chunked, "text", text="text", counts="__a", how=how).withColumn("prompt", T.prompt_text(F.col(title_col), F.col(heading_col), F.col("text")))
+    second = R.redacted(first, "prompt", text="prompt", counts="__b", how=how)
     both = F.map_zip_with("__a", "__b", lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
     return second.withColumn("redactions", both).withColumn("content_hash", T.sha256(F.col("prompt"))).withColumn("prompt_ok", F.octet_length("prompt") <= settings.prompt_max_bytes).drop("__a", "__b")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom import models
-from corpusloom.functions import redaction
+from corpusloom.functions import redaction, spans
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, chunking, ingest, merkle, patterns, retrieval, scoring, sections, telemetry
 from corpusloom.plans import fixtures, oracles
@@ -62,6 +62,20 @@ def local_endpoints(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", M.local_endpoint(url).alias("local"))
 
 
+@query(oracles.SCORED_SPANS)
+def scored_spans(spark, sf_dir):
+    """Every find in the documents, and whether it stays."""
+    return spans.span_rows(read(spark, sf_dir, "documents"), "text", "doc_id").withColumnsRenamed({"start": "first", "end": "last"})
+
+
+@query(oracles.SPAN_REDACTION)
+def span_redaction(spark, sf_dir):
+    """The documents, with what several recognisers claim at each one's end."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.expr(oracles.OVERLAPS.replace("::VARCHAR", "::STRING")).alias("text"))
+    found = d.select("doc_id", spans.found(F.col("text")).alias("r"))
+    return found.select("doc_id", "r.text", F.size(F.filter("r.spans", lambda s: s["kept"])).cast("long").alias("redactions"), F.size("r.spans").cast("long").alias("finds"))
+
+
 @query(oracles.SECTION_NUMBERS)
 def section_numbers(spark, sf_dir):
     """A four-part section number and an address at the end of every text: the one stays, the other goes."""

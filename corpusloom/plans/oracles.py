@@ -80,6 +80,36 @@ _TAIL = "coalesce(text, '') || ' See section 1.2.3.' || doc_id % 200 || ' or par
 SECTION_NUMBERS = f"WITH {policy(f'SELECT doc_id, {_TAIL} AS text FROM documents', 'doc_id', False)} SELECT doc_id, t AS text, n_IP_ADDRESS::BIGINT AS addresses FROM redacted"
 
 
+#: What several recognisers claim: an address of digits, a host that begins as an IP address does, nine digits inside what may be a card.
+OVERLAPS = "coalesce(text, '') || ' Mail 416-555-' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || '@h.example.org, 10.2.3.' || doc_id % 250 || ', me@10.2.3.' || doc_id % 250 || '.example.org, card 123 456 789 ' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || ', paragraph 1.2.3.' || doc_id % 250"
+
+
+def spans(source: str) -> str:
+    """Common table expressions over ``source`` (doc_id, text): ``span``, every find with its place, and ``chosen``, per text the list of those that stay."""
+    number = r"(?i)\b(?:sections?|subsections?|paragraphs?)\s*:?\s*\d+(?:\.\d+){3}\b"
+    # RE2 splits at the same finds, so a find's place is what stands before it
+    kinds = (("EMAIL_ADDRESS", EMAIL, 1.0), ("CREDIT_CARD", R.CARD, 1.0), ("PHONE_NUMBER", R.PHONE, 0.7), ("IP_ADDRESS", R.IP, 0.6), ("CA_SIN", R.SIN, 0.7), ("SECTION", number, 0.0))
+    each = " UNION ALL ".join(f"SELECT doc_id, '{e}' AS entity, {score}::DOUBLE AS score, unnest(regexp_extract_all(text, {_text(p)})) AS c, unnest(string_split_regex(text, {_text(p)})[:len(regexp_extract_all(text, {_text(p)}))]) AS gap, generate_subscripts(regexp_extract_all(text, {_text(p)}), 1) AS i FROM src" for e, p, score in kinds)
+    return (
+        f"src AS ({source}), hit AS ({each}), "
+        "placed AS (SELECT doc_id, entity, score, c, sum(length(gap) + length(c)) OVER (PARTITION BY doc_id, entity ORDER BY i)::INT AS last FROM hit), "
+        "number AS (SELECT doc_id, last, length(regexp_extract(c, '[0-9.]+$')) AS n FROM placed WHERE entity = 'SECTION'), "
+        f"span AS (SELECT doc_id, entity, score, last - length(c) AS first, last FROM placed p WHERE entity <> 'SECTION' AND (entity <> 'CREDIT_CARD' OR {_LUHN}) AND (entity <> 'IP_ADDRESS' OR NOT EXISTS (SELECT 1 FROM number x WHERE x.doc_id = p.doc_id AND x.last = p.last AND x.n = length(p.c)))), "
+        "pick AS (SELECT doc_id, [] ::STRUCT(entity VARCHAR, first INT, last INT)[] AS kept, list({'entity': entity, 'first': first::INT, 'last': last::INT} ORDER BY score DESC, last - first DESC, first, entity) AS rest FROM span GROUP BY doc_id "
+        "UNION ALL SELECT doc_id, list_append(kept, rest[1]), list_filter(rest[2:], lambda x: x.last <= rest[1].first OR x.first >= rest[1].last) FROM pick WHERE len(rest) > 0), "
+        "chosen AS (SELECT doc_id, kept FROM pick WHERE len(rest) = 0)"
+    )
+
+
+SCORED_SPANS = f"WITH RECURSIVE {spans('SELECT doc_id, text FROM documents')} SELECT s.doc_id, s.entity, s.first::INT AS first, s.last::INT AS last, s.score, list_contains(k.kept, {{'entity': s.entity, 'first': s.first::INT, 'last': s.last::INT}}) AS kept FROM span s JOIN chosen k USING (doc_id)"
+SPAN_REDACTION = (
+    f"WITH RECURSIVE {spans(f'SELECT doc_id, {OVERLAPS} AS text FROM documents')}, one AS (SELECT doc_id, unnest(kept, recursive := true) FROM chosen), "
+    "part AS (SELECT o.doc_id, o.entity, o.first, o.last, substr(text, coalesce(lag(o.last) OVER w, 0) + 1, o.first - coalesce(lag(o.last) OVER w, 0)) || '<' || o.entity || '>' AS piece FROM one o JOIN src USING (doc_id) WINDOW w AS (PARTITION BY o.doc_id ORDER BY o.first)), "
+    "whole AS (SELECT doc_id, string_agg(piece, '' ORDER BY first) AS head, max(last) AS last, count(*) AS redactions FROM part GROUP BY doc_id) "
+    "SELECT s.doc_id, coalesce(head, '') || substr(s.text, coalesce(w.last, 0) + 1) AS text, coalesce(redactions, 0)::BIGINT AS redactions, (SELECT count(*) FROM span x WHERE x.doc_id = s.doc_id)::BIGINT AS finds FROM src s LEFT JOIN whole w USING (doc_id)"
+)
+
+
 def query_redaction(turns: list[tuple]) -> str:
     more = ", ".join(f"({c}, {t}, {_text(x)})" for c, t, _, x in turns)
     source = f"SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES {more})"
