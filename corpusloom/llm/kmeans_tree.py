@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by a hierarchical k-means tree and best-bin-first search.
 
-The tree has two storeys, so that its leaves grow in number with the table. The
-upper one is fitted on a bounded, documented sample (``SAMPLE`` vectors, those with
-the smallest hash of their id) and broadcast. Under each of its leaves a subtree is
-fitted on the executors, on about ``UNDER`` of the leaf's vectors, and stored with
-the leaf's number; nothing but sizes of upper leaves ever reaches the driver. Every
-vector is sent down to a cell, a leaf of a subtree.
-
-A query walks the upper tree with a priority queue of nodes by distance to their
+The tree has as many storeys as the table needs. The first is fitted on a bounded,
+documented sample (``SAMPLE`` vectors, those with the smallest hash of their id) and
+broadcast. Under each of its leaves a subtree is fitted on the executors, on about
+``UNDER`` of the leaf's vectors; a cell of it that still holds more than ``UNDER``
+vectors gets a subtree of its own, and so on, so cells stay small at any size of the
+table. A cell that no subtree divides, or that is still large after ``STOREYS``
+storeys, stays as it is and is searched in parts. Trees are stored by node; nothing
+but sizes of the first storey's leaves ever reaches the driver. Every vector is
+sent down to a cell.
+
+A query walks the first tree with a priority queue of nodes by distance to their
 centres and visits leaves in that order; in each it walks the subtree in the same
-way and visits cells. How many of either is calibrated: for ``PROBES`` rows outside
-the upper sample (of the sample where it holds all) the exact neighbours among all
-rows are found by a scan in blocks, and visits widen until the mean share of them
-in visited cells reaches ``recall``. A query goes on past those numbers until its
-leaves, and its cells in each but the smallest, hold k others (for k < ``UNDER``).
+way, and so on down. How many are visited at each storey is calibrated: for
+``PROBES`` rows outside the first sample (of the sample where it holds all) the exact
+neighbours among all rows are found by a scan in blocks, and visits widen until the
+mean share of them in visited cells reaches ``recall``. A query goes on past those
+numbers until what it visits at a node holds k others, or is all of it.
 
 Equal vectors meet once: of each distinct vector only its k + 1 smallest ids can
 be among anyone's k nearest, so no group of copies travels, whatever its size.
@@ -34,7 +37,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
-SAMPLE, UNDER, PROBES, BRANCH, RECALL = 16_384, 4096, 256, 8, 0.97
+SAMPLE, UNDER, PROBES, BRANCH, RECALL, STOREYS = 16_384, 4096, 256, 8, 0.97, 12
 #: A leaf of the upper tree and of a subtree is fitted on this many vectors at least, at any size of the table.
 LEAF, CELL = 64, 16
 #: Bins of leaves, vectors in a part of a leaf or bin, and rows of queries in a block.
@@ -133,8 +136,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
-def nearest(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact distances of the k nearest rows other than ``own``, ties to the smaller id."""
+def _nearest_rows(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact distances of the k nearest rows other than ``own``, ties to the smaller id."""
     near = ((vectors * vectors).sum(axis=1) - 2 * (vectors @ q)) + q @ q
     if len(ids) > k + 1:
         edge = np.partition(near, k)[k]
@@ -144,7 +147,69 @@ def nearest(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: int, k: in
     exact = np.sqrt(((vectors[rows] - q) ** 2).sum(axis=1))
     order = np.lexsort((ids[rows], exact))
     order = order[ids[rows][order] != own][:k]
-    return ids[rows][order], exact[order]
+    return rows[order], exact[order]
+
+
+def nearest(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of the k nearest rows other than ``own``, ties to the smaller id."""
+    rows, exact = _nearest_rows(q, vectors, ids, own, k)
+    return ids[rows], exact
+
+
+def _children(node: int, tree: Tree) -> np.ndarray:
+    """The codes of a tree's cells below a node."""
+    return common.mixed(common.mixed(np.array([node], dtype=np.int64).view(np.uint64)) + np.arange(len(tree.leaves), dtype=np.uint64)).view(np.int64)
+
+
+def at_nodes(function: Callable[[Tree, int, pa.Table], pa.Table], asks: DataFrame, trees: DataFrame, width: int, block: int, schema: str) -> DataFrame:
+    """function(subtree, node, rows) on blocks of rows of the same node. asks: ``vec_id``, ``node`` and more; read twice."""
+    parts = _blocks(asks, ["node"], block, "parts")
+    many = F.coalesce("parts", F.lit(1))
+    left = asks.join(parts, "node", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), many).cast("int")).drop("parts")
+    right = trees.join(parts, "node", "left").select("node", "tree", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        made = pickle.loads(b.column("tree")[0].as_py()) if b.num_rows else _subtree(np.zeros((1, width)))
+        return function(made, key[0].as_py(), a)
+
+    return left.groupBy("node", "part").cogroup(right.groupBy("node", "part")).applyInArrow(run, schema)
+
+
+def subtrees(rows: DataFrame, sizes: DataFrame, width: int, under: int, storey: int) -> DataFrame:
+    """node, tree for the nodes of ``sizes`` (node, size), each fitted on about ``under`` of its rows; below the second storey only where it divides them."""
+    # vectors with a hash below under / size: about ``under`` of them, a few more or less
+    drawn = rows.join(sizes, "node").where((F.xxhash64("vec_id", F.lit(4 + storey)) / 2.0**64 + 0.5) * F.col("size") < under)
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        made = _subtree(_matrix(t.column("v").combine_chunks(), width))
+        t = t.slice(0, 1 if storey == 1 or len(made.leaves) > 1 else 0)
+        return pa.table([t.column("node"), pa.array([pickle.dumps(made)] * t.num_rows, pa.binary())], ["node", "tree"])
+
+    return common.written(drawn.select("node", "vec_id", "v").groupBy("node").applyInArrow(fit, "node long, tree binary"), "subtrees")
+
+
+def grown(rows: DataFrame, sizes: DataFrame, width: int, under: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Sends rows (vec_id, v, leaf, path, node) down until no cell of over ``under`` rows can be divided; the trees of each storey."""
+
+    def settle(made: Tree, node: int, t: pa.Table) -> pa.Table:
+        cell = made.place(_matrix(t.column("v").combine_chunks(), width)) if t.num_rows else np.zeros(0, dtype=np.int64)
+        return pa.table([t.column("vec_id"), t.column("v"), t.column("leaf"), t.column("path"), pa.array(_children(node, made)[cell])], ["vec_id", "v", "leaf", "path", "node"])
+
+    schema, storeys = "vec_id long, v array<double>, leaf int, path array<long>, node long", []
+    for storey in range(1, STOREYS + 1):
+        if storey > 1:
+            sizes = common.written(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > under), "large")
+            if sizes.isEmpty():
+                break
+        trees = subtrees(rows, sizes, width, under, storey)
+        if trees.isEmpty():
+            break
+        storeys.append(trees)
+        moved = at_nodes(settle, rows if storey == 1 else rows.join(trees.select("node"), "node", "left_semi").select(*rows.columns), trees, width, block, schema)
+        moved = moved.withColumn("path", F.concat("path", F.array("node")))
+        rows = common.written(moved if storey == 1 else moved.union(rows.join(trees.select("node"), "node", "left_anti").select("vec_id", "v", "leaf", F.concat("path", F.array("node")).alias("path"), "node")), "cells")
+    return rows, storeys
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -176,91 +241,75 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
 
     first = Window.partitionBy("v").orderBy("vec_id")
     placed = common.map_rows(rows, place, "vec_id long, v array<double>, leaf int")
-    placed = common.written(placed.groupBy("v", "vec_id").agg(F.min("leaf").alias("leaf")).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
+    placed = placed.groupBy("v", "vec_id").agg(F.min("leaf").alias("leaf")).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
+    node = F.col("leaf").cast("long")
+    placed = common.written(placed.select("vec_id", "v", "leaf", F.array(node).alias("path"), node.alias("node")), "vectors")
     sizes = np.zeros(len(tree.leaves), dtype=np.int64)
     for r in placed.groupBy("leaf").count().collect():  # one row a leaf; the sample bounds the leaves
         sizes[r["leaf"]] = r["count"]
-    counts = spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "leaf int, size long")
-    # a leaf's vectors with a hash below under / size: about ``under`` of them, a few more or less
-    drawn = placed.join(F.broadcast(counts), "leaf").where((F.xxhash64("vec_id", F.lit(5)) / 2.0**64 + 0.5) * F.col("size") < under)
-
-    def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by("vec_id")
-        made = _subtree(_matrix(t.column("v").combine_chunks(), width))
-        return pa.table([t.column("leaf").slice(0, 1), pa.array([pickle.dumps(made)], pa.binary())], ["leaf", "tree"])
-
-    trees = common.written(drawn.select("leaf", "vec_id", "v").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary"), "subtrees")
-
-    def under_leaf(function, asks: DataFrame, schema: str) -> DataFrame:
-        """function(subtree, ids, vectors) on blocks of rows of the same leaf."""
-        split = spark.createDataFrame([(n, int(-(-s // block))) for n, s in enumerate(sizes) if s > block], "leaf int, parts int")
-        parts = F.coalesce("parts", F.lit(1))
-        left = asks.join(F.broadcast(split), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).drop("parts")
-        right = trees.join(F.broadcast(split), "leaf", "left").select("leaf", "tree", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-
-        def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-            made = pickle.loads(b.column("tree")[0].as_py()) if b.num_rows else _subtree(np.zeros((1, width)))
-            return function(made, key[0].as_py(), a)
-
-        return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(run, schema)
-
-    held = np.bincount(np.arange(len(sizes)) % GROUPS, weights=sizes, minlength=GROUPS)
-    bins = np.maximum(1, -(-held // block)).astype(np.uint64)
-
-    def binned(leaf: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The code of each cell of a leaf, and its bin."""
-        code = (np.uint64(leaf) << common.U(32)) | cell.astype(np.uint64)
-        return code.astype(np.int64), (common.mixed(code) % bins[leaf % GROUPS]).astype(np.int64) * GROUPS + leaf % GROUPS
-
-    def settle(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
-        cell = made.place(_matrix(t.column("v").combine_chunks(), width)) if t.num_rows else np.zeros(0, dtype=np.int64)
-        code, at = binned(leaf, cell)
-        return pa.table([t.column("vec_id"), t.column("v"), t.column("leaf"), pa.array(cell.astype(np.int32)), pa.array(code), pa.array(at)], ["vec_id", "v", "leaf", "cell", "code", "bin"])
-
-    stored = common.written(under_leaf(settle, placed.select("vec_id", "v", "leaf"), "vec_id long, v array<double>, leaf int, cell int, code long, bin long"), "cells")
-    leaves, cells = calibrate(stored, tree, under_leaf, asked_rows, width, k, recall)
+    counts = spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "node long, size long")
+    stored, storeys = grown(placed, F.broadcast(counts), width, under, block)
+    visits = calibrate(stored, tree, storeys, asked_rows, width, k, recall, block)
     known = spark.sparkContext.broadcast(sizes)
 
     def walk(b: pa.RecordBatch) -> pa.RecordBatch:
         q = _matrix(b.column("v"), width)
-        who, leaf, all_cells = [], [], []
+        who, leaf = [], []
         for i in range(len(q)):
             seen = held = 0
             for n in shared.value.order(q[i]):
                 if not known.value[n]:
                     continue
-                if seen >= leaves and held > k:
+                if seen >= visits[0] and held > k:
                     break
-                # of a small leaf no cell is left out
                 seen, held = seen + 1, held + known.value[n]
-                who.append(i), leaf.append(n), all_cells.append(known.value[n] <= 2 * max(CELL, k + 1))
-        return pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(who, pa.int64())), b.column("v").take(pa.array(who, pa.int64())), pa.array(leaf, pa.int32()), pa.array(all_cells, pa.bool_())], ["vec_id", "v", "leaf", "whole"])
+                who.append(i), leaf.append(n)
+        taken = pa.array(who, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column("vec_id").take(taken), b.column("v").take(taken), pa.array(leaf, pa.int32()), pa.array(leaf, pa.int64())], ["vec_id", "v", "leaf", "node"])
 
-    def descend(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
-        who, at, codes = [], [], []
-        if t.num_rows:
-            q, whole = _matrix(t.column("v").combine_chunks(), width), t.column("whole").to_pylist()
-            for i in range(len(q)):
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    asks = common.written(common.map_rows(queries, walk, "vec_id long, v array<double>, leaf int, node long"), "asks")
+    visited = _descended(asks, storeys, visits, width, k, block)
+    held = np.bincount(np.arange(len(sizes)) % GROUPS, weights=sizes, minlength=GROUPS)
+    bins = F.array(*[F.lit(int(max(1, -(-h // block)))) for h in held])
+    group = F.pmod("leaf", F.lit(GROUPS))
+    bin_of = lambda code: F.pmod(F.xxhash64(code), F.get(bins, group)) * GROUPS + group
+    visited = visited.withColumn("bin", F.explode(F.array_distinct(F.transform("codes", bin_of))))
+    visited = common.written(visited.select("vec_id", "v", "bin", F.filter("codes", lambda c: bin_of(c) == F.col("bin")).alias("codes")), "visits")
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = _scanned(visited, stored.select("vec_id", "v", F.col("node").alias("code"), bin_of(F.col("node")).alias("bin")), width, k, 4 * block, asked)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _descended(asks: DataFrame, storeys: list[DataFrame], visits: list[int], width: int, k: int, block: int) -> DataFrame:
+    """asks (vec_id, v, leaf, node) sent down all storeys: vec_id, v, leaf and the codes of the cells to scan."""
+
+    def descend(storey: int) -> Callable[[Tree, int, pa.Table], pa.Table]:
+        def run(made: Tree, node: int, t: pa.Table) -> pa.Table:
+            codes, children = [], _children(node, made)
+            for q in _matrix(t.column("v").combine_chunks(), width) if t.num_rows else ():
                 chosen, held = [], 0
-                for c in made.order(q[i]):
-                    if len(chosen) >= cells and held > k and not whole[i]:
+                for c in made.order(q):
+                    if len(chosen) >= visits[storey] and held > k:
                         break
                     held += made.held[c]
                     chosen.append(c)
-                code, own = binned(leaf, np.array(chosen, dtype=np.int64))
-                for n in np.unique(own):
-                    who.append(i), at.append(n), codes.append(code[own == n])
-        ends = np.cumsum([0, *map(len, codes)])
-        taken = pa.array(who, pa.int64())
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)))
-        return pa.table([t.column("vec_id").take(taken), t.column("v").take(taken), pa.array(at, pa.int64()), listed], ["vec_id", "v", "bin", "codes"])
+                codes.append(children[chosen])
+            ends = np.cumsum([0, *map(len, codes)])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)))
+            return pa.table([t.column("vec_id"), t.column("v"), t.column("leaf"), listed], ["vec_id", "v", "leaf", "codes"])
 
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    visited = under_leaf(descend, common.map_rows(queries, walk, "vec_id long, v array<double>, leaf int, whole boolean"), "vec_id long, v array<double>, bin long, codes array<long>")
-    visited = common.written(visited, "visits")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = _scanned(visited, stored.select("vec_id", "v", "code", "bin"), width, k, 4 * block, asked)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return run
+
+    done = None
+    for storey, trees in enumerate(storeys, 1):
+        if storey > 1:
+            asks = common.written(done.select("vec_id", "v", "leaf", F.explode("codes").alias("node")), "asks")
+        here = asks if storey == 1 else asks.join(trees.select("node"), "node", "left_semi").select("vec_id", "v", "leaf", "node")
+        done = at_nodes(descend(storey), here, trees, width, block, "vec_id long, v array<double>, leaf int, codes array<long>")
+        if storey > 1:
+            done = done.union(asks.join(trees.select("node"), "node", "left_anti").select("vec_id", "v", "leaf", F.array("node").alias("codes")))
+    return done
 
 
 def _scanned(visited: DataFrame, stored: DataFrame, width: int, k: int, block: int, asked: int) -> DataFrame:
@@ -289,10 +338,10 @@ def _scanned(visited: DataFrame, stored: DataFrame, width: int, k: int, block: i
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
 
 
-def calibrate(stored: DataFrame, tree: Tree, under_leaf, asked: pa.Table, width: int, k: int, recall: float) -> tuple[int, int]:
-    """The visits of leaves, and of cells in each, at which the probes' exact neighbours among all rows are found at the wanted mean rate.
+def calibrate(stored: DataFrame, tree: Tree, storeys: list[DataFrame], asked: pa.Table, width: int, k: int, recall: float, block: int) -> list[int]:
+    """The visits at each storey at which the probes' exact neighbours among all rows are found at the wanted mean rate.
 
-    Leaves are visited up to the rank that holds the square root of that rate, cells then up to the rank that reaches it.
+    Of n storeys the first is visited up to the rank that holds the n-th root of that rate, the second up to the rank that keeps two n-ths of it, and so on.
     """
     spark = stored.sparkSession
     q, names = _matrix(asked.column("v").combine_chunks(), width), asked.column("vec_id").to_numpy()
@@ -300,38 +349,43 @@ def calibrate(stored: DataFrame, tree: Tree, under_leaf, asked: pa.Table, width:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names = sent.value
-        best: list[tuple] = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))] * len(q)
+        best: list[list[tuple]] = [[] for _ in names]
         for b in batches:
             v, ids = _matrix(b.column("v"), width), b.column("vec_id").to_numpy()
-            where = b.column("leaf").to_numpy().astype(np.int64) << 32 | b.column("cell").to_numpy()
             for i in range(len(q)):
-                got, distance = nearest(q[i], v, ids, names[i], k)
-                at = np.array([where[np.flatnonzero(ids == x)[0]] for x in got.tolist()], dtype=np.int64)
-                g, d, n = (np.concatenate(x) for x in zip(best[i], (got, distance, at), strict=True))
-                order = np.lexsort((g, d))[:k]
-                best[i] = g[order], d[order], n[order]
-        rows = [(i, int(g), float(d), int(n) >> 32, int(n) & 0xFFFFFFFF) for i, x in enumerate(best) for g, d, n in zip(*x, strict=True)]
+                rows, distance = _nearest_rows(q[i], v, ids, names[i], k)
+                paths = b.column("path").take(pa.array(rows)).to_pylist()
+                best[i] = sorted([*best[i], *zip(distance.tolist(), ids[rows].tolist(), paths, strict=True)])[:k]
+        rows = [(i, g, d, p) for i, x in enumerate(best) for d, g, p in x]
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["probe", "vec_id", "score", "leaf", "cell"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["probe", "vec_id", "score", "path"])
 
     top = Window.partitionBy("probe").orderBy("score", "vec_id")
-    near = stored.mapInArrow(scan, "probe long, vec_id long, score double, leaf int, cell int").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
-    truth = near.select("probe", "leaf", "cell")  # probes * k rows
-
-    def rank(made: Tree, leaf: int, t: pa.Table) -> pa.Table:
-        q, places = sent.value[0], []
-        for probe, cell in zip(t.column("vec_id").to_pylist(), t.column("cell").to_pylist(), strict=True):
-            places.append(next((p for p, c in enumerate(made.order(q[probe]), 1) if c == cell), len(made.leaves)))
-        return pa.table([t.column("vec_id"), t.column("leaf"), pa.array(places, pa.int32())], ["probe", "leaf", "place"])
-
-    ranked = under_leaf(rank, truth.withColumnRenamed("probe", "vec_id"), "probe long, leaf int, place int").toPandas()
-    if ranked.empty:
-        return len(tree.leaves), 1 << 30
-    order = {i: {n: p for p, n in enumerate(tree.order(q[i]), 1)} for i in set(ranked["probe"].tolist())}
-    upper = np.array([order[i][n] for i, n in zip(ranked["probe"].tolist(), ranked["leaf"].tolist(), strict=True)])
-    lower = ranked["place"].to_numpy()
-    quantile = lambda x, share: int(np.sort(x)[min(len(x) - 1, max(0, int(np.ceil(share * len(x))) - 1))])
-    leaves = quantile(upper, recall**0.5)
-    inside = np.where(upper <= leaves, lower, 1 << 30)
-    return leaves, quantile(inside, min(recall, (upper <= leaves).mean()))
+    near = stored.mapInArrow(scan, "probe long, vec_id long, score double, path array<long>").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
+    truth = near.select("probe", "path").toArrow()  # probes * k rows
+    if not truth.num_rows:
+        return [len(tree.leaves)] + [1 << 30] * len(storeys)
+    probes, paths = truth.column("probe").to_pylist(), truth.column("path").to_pylist()
+    order = {i: {n: p for p, n in enumerate(tree.order(q[i]), 1)} for i in set(probes)}
+    ranks = [np.array([order[i][p[0]] for i, p in zip(probes, paths, strict=True)])]
+
+    def rank(made: Tree, node: int, t: pa.Table) -> pa.Table:
+        q, children, places = sent.value[0], _children(node, made), []
+        for probe, child in zip(t.column("probe").to_pylist(), t.column("child").to_pylist(), strict=True):
+            places.append(next((p for p, c in enumerate(made.order(q[probe]), 1) if children[c] == child), len(children)))
+        return pa.table([t.column("vec_id"), pa.array(places, pa.int64())], ["row", "place"])
+
+    for storey, trees in enumerate(storeys, 1):
+        asks = [(row, i, p[storey - 1], p[storey]) for row, (i, p) in enumerate(zip(probes, paths, strict=True)) if p[storey] != p[storey - 1]]
+        asks = spark.createDataFrame(asks, "vec_id long, probe long, node long, child long")
+        got = at_nodes(rank, asks, trees.join(F.broadcast(asks.select("node").distinct()), "node", "left_semi"), width, block, "row long, place long").toArrow()
+        ranks.append(np.zeros(len(probes), dtype=np.int64))  # a row that stays at its node is found for sure
+        ranks[-1][got.column("row").to_numpy()] = got.column("place").to_numpy()
+    visits, alive = [], np.ones(len(probes), dtype=bool)
+    for n, place in enumerate(ranks, 1):
+        share = min(recall ** (n / len(ranks)), alive.mean())
+        reach = np.sort(np.where(alive, place, 1 << 30))
+        visits.append(int(reach[max(0, int(np.ceil(share * len(reach))) - 1)]))
+        alive &= place <= visits[-1]
+    return visits

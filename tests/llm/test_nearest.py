@@ -76,6 +76,22 @@ def test_more_rows_than_are_fitted(spark):
     assert all(len(r) == 10 for r in few.values())
 
 
+def test_cells_stay_small_at_any_size(spark):
+    """Storeys are added until no cell holds more than it may; a tenth of the rows in one dense spot are divided as well."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(6000, 4))
+    vectors[:600] = 5 + 1e-3 * rng.normal(size=(600, 4))
+    rows = spark.createDataFrame([(i, v.tolist(), 0, [0], 0) for i, v in enumerate(vectors)], "vec_id long, v array<double>, leaf int, path array<long>, node long")
+    sizes = spark.createDataFrame([(0, 6000)], "node long, size long")
+    stored, storeys = kmeans_tree.grown(rows, sizes, 4, 80, 500)
+    got = stored.toPandas()
+    assert len(storeys) > 3 and sorted(got.vec_id) == list(range(6000)) and got.groupby("node").size().max() <= 80
+    assert all(len(p) == len(storeys) + 1 and p[-1] == n for p, n in zip(got.path, got.node, strict=True))
+    same = rows.limit(300).selectExpr("vec_id", "array(1D, 2D, 3D, 4D) AS v", "leaf", "path", "node")  # nothing to divide
+    stored, storeys = kmeans_tree.grown(same, sizes, 4, 80, 500)
+    assert len(storeys) == 1 and stored.count() == 300 and stored.select("node").distinct().count() == 1
+
+
 def test_walk_order_is_best_bin_first():
     rng = np.random.default_rng(7)
     v = rng.normal(size=(2000, 4))
