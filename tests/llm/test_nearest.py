@@ -87,7 +87,7 @@ def test_cells_stay_small_at_any_size(spark):
     got = stored.toPandas()
     assert len(storeys) > 3 and sorted(got.vec_id) == list(range(6000)) and got.groupby("node").size().max() <= 80
     assert all(len(p) == len(storeys) + 1 and p[-1] == n for p, n in zip(got.path, got.node, strict=True))
-    same = rows.limit(300).selectExpr("vec_id", "array(1D, 2D, 3D, 4D) AS v", "leaf", "path", "node")  # nothing to divide
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0], 0, [0], 0) for i in range(300)], rows.schema)  # nothing to divide
     stored, storeys = kmeans_tree.grown(same, sizes, 4, 80, 500)
     assert len(storeys) == 1 and stored.count() == 300 and stored.select("node").distinct().count() == 1
 
