@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom import models
 from corpusloom.functions import redaction, spans
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chunking, ingest, merkle, patterns, retrieval, scoring, sections, telemetry
+from corpusloom.operators import answers, chunking, graph_index, ingest, merkle, patterns, retrieval, scoring, sections, telemetry
 from corpusloom.plans import fixtures, oracles
 from corpusloom.plans.registry import _CALLS_SQL, _INJECTION, _RANKED, SETTINGS, SQL, _calls, _events, _ranked, query, read
 from corpusloom.operators.question_vectors import QuestionVectors
@@ -135,6 +135,21 @@ def empty_documents(spark, sf_dir):
 # --- vectors and caches -----------------------------------------------------
 
 
+@query("SELECT count(*)::BIGINT AS asked, count(*)::BIGINT * least(6, (SELECT count(*) FROM embeddings))::BIGINT AS found, TRUE AS recall_reached, TRUE AS similarities_exact FROM embeddings WHERE vec_id % 50 = 0")
+def graph_recall(spark, sf_dir):
+    """Neighbours by the graph index, calibrated, held against the exact ones over all rows: 0.95 or more of them, with the same similarities."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = e.where(F.pmod("chunk_id", F.lit(50)) == 0).withColumnRenamed("chunk_id", "question_id")
+    index = graph_index.build(e, SETTINGS.dimension)
+    width = graph_index.calibrated(index, e, SETTINGS.top_k, SETTINGS.dimension)
+    found = graph_index.search(index, asked, SETTINGS.top_k, SETTINGS.dimension, width)
+    exact = retrieval.top_k(asked, e, SETTINGS.top_k, SETTINGS.dimension).select("question_id", "chunk_id", F.col("similarity").alias("exact"))
+    both = found.join(exact, ["question_id", "chunk_id"], "full_outer")
+    hit = F.col("exact").isNotNull() & F.col("similarity").isNotNull()
+    off = hit & (F.abs(F.col("exact") - F.col("similarity")) > 1e-9)
+    return both.agg(F.count_distinct("question_id").alias("asked"), F.count("similarity").alias("found"), (F.count_if(hit) >= 0.95 * F.count("exact")).alias("recall_reached"), (F.count_if(off) == 0).alias("similarities_exact"))
+
+
 @query("SELECT d.doc_id, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)")
 def chunk_vectors(spark, sf_dir):
     """Every document with the vector of its number, counted round; a missing one would fail the job."""
