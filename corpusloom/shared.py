@@ -42,6 +42,18 @@ def require(df: DataFrame, condition: Column, message: Column) -> DataFrame:
     return df.where(F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
+#: Spark's defaults and what is set in their place: rows and bytes in an Arrow batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def lean() -> None:
+    """Whole texts go to Python in small batches from now on: what a worker holds depends on a batch and its longest text, not on the table. What the session has set otherwise stays."""
+    spark = SparkSession.active()
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:  # with a default of one's own, get() gives that for what isn't set
+            spark.conf.set(key, ours)
+
+
 def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     """df with each row's zero-based place in the given total order, without moving all rows to one task.
 
