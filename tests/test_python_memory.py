@@ -46,3 +46,11 @@ def test_empty_documents_splits_once_in_small_batches(spark, data):
     df = registry.queries()["empty_documents"](spark, data)
     assert evaluations(df) == 1 and largest_batch(spark) <= 512
     assert sorted(r["doc_id"] for r in df.collect()) == [0, 1, 2, 6]
+
+
+def test_html_sections_parses_once_in_small_batches(spark, data):
+    pages = [(1, "u", "<article><h2>A</h2><p>b</p></article>"), (2, "u", "<p>no landmark</p>"), (3, "u", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{data}/pages.parquet")
+    df = registry.queries()["html_sections"](spark, data)
+    assert evaluations(df) == 1 and largest_batch(spark) <= 512
+    assert [(r["page_id"], r["section"], r["heading"], r["text"]) for r in df.collect()] == [(1, 0, "A", "b")]
