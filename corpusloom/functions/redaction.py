@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusloom.functions import text as T
+from corpusloom.shared import lean
 
 # The patterns of the document policy.
 SIN = r"\b\d{3}[- ]?\d{3}[- ]?\d{3}\b"
@@ -156,32 +157,41 @@ NAMES = Step("PERSON", lambda x: F.regexp_count(x, F.lit(_NAME)), lambda x: F.re
 _LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("raw", StringType()), StructField("text", StringType())])))
-def _strings(x: pd.Series) -> pd.Series:
-    """The distinct string literals of JSON texts with what they decode to; null for a text that isn't JSON."""
+_JSON = StructType([StructField("strings", ArrayType(StructType([StructField("raw", StringType()), StructField("text", StringType())]))), StructField("plain", StringType())])
 
-    def read(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        try:
-            json.loads(text)
-            return [{"raw": raw, "text": json.loads(raw)} for raw in dict.fromkeys(_LITERAL.findall(text))]
-        except (ValueError, RecursionError):
-            return None
 
-    return x.map(read)
+@F.pandas_udf(_JSON)
+def _composed_json(x: pd.Series) -> pd.DataFrame:
+    """strings: the distinct string literals of a JSON text with what they decode to, composed; null for a text that isn't JSON, which is composed whole as ``plain``."""
 
+    def composed(text: str) -> str:
+        return unicodedata.normalize("NFKC", html.unescape(text))
 
-@F.pandas_udf(ArrayType(StringType()))
-def _composed(x: pd.Series) -> pd.Series:
-    return x.map(lambda ts: None if ts is None else [unicodedata.normalize("NFKC", html.unescape(t)) for t in ts])
+    strings, plain = [], []
+    for text in x:
+        found = None
+        if text is not None:
+            try:
+                json.loads(text)
+                found = [{"raw": raw, "text": composed(json.loads(raw))} for raw in dict.fromkeys(_LITERAL.findall(text))]
+            except (ValueError, RecursionError):
+                pass
+        strings.append(found)
+        plain.append(composed(text) if text is not None and found is None else None)
+    return pd.DataFrame({"strings": pd.Series(strings, dtype=object), "plain": pd.Series(plain, dtype=object)})
+
+
+def _json_read(x: Column) -> tuple[Column, Column]:
+    """The string literals of a JSON text, normalised, and the whole text, normalised, if it isn't JSON: one visit to Python."""
+    lean()
+    read = _composed_json(x)
+    strings = F.transform(read["strings"], lambda p: F.struct(p["raw"].alias("raw"), T.strip_controls(p["text"]).alias("text")))
+    return strings, T.strip_controls(read["plain"])
 
 
 def json_strings(x: Column) -> Column:
     """array<struct<raw, text>>: the distinct string literals of a JSON text, keys too, and their decoded, normalised texts; null if it isn't JSON."""
-    found = _strings(x)
-    texts = F.transform(_composed(F.transform(found, lambda p: p["text"])), T.strip_controls)
-    return F.zip_with(found, texts, lambda p, t: F.struct(p["raw"].alias("raw"), t.alias("text")))
+    return _json_read(x)[0]
 
 
 def redacted_json(x: Column, steps: tuple[Step, ...] = QUERY_STEPS) -> Column:
@@ -191,9 +201,10 @@ def redacted_json(x: Column, steps: tuple[Step, ...] = QUERY_STEPS) -> Column:
     place of the whole literal, so the result is JSON as well. A text that isn't JSON is redacted as plain text.
     """
     encoded = lambda t: F.regexp_extract(F.to_json(F.struct(t.alias("v"))), r'(?s)^\{"v":(".*")\}$', 1)
-    done = F.transform(json_strings(x), lambda p: F.struct(p["raw"].alias("raw"), policy(p["text"], steps).alias("r")))
+    strings, plain = _json_read(x)
+    done = F.transform(strings, lambda p: F.struct(p["raw"].alias("raw"), policy(p["text"], steps).alias("r")))
     put = F.aggregate(F.filter(done, lambda p: F.size(p["r"]["counts"]) > 0), x, lambda text, p: F.replace(text, p["raw"], encoded(p["r"]["text"])))
-    return F.coalesce(put, policy(T.normalized(x), steps)["text"])
+    return F.coalesce(put, policy(plain, steps)["text"])
 
 
 def json_clean(x: Column, steps: tuple[Step, ...] = QUERY_STEPS) -> Column:

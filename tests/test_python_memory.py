@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import redaction
 from corpusloom.plans import registry
 from corpusloom.shared import BATCHES, lean
 
@@ -54,3 +55,14 @@ def test_html_sections_parses_once_in_small_batches(spark, data):
     df = registry.queries()["html_sections"](spark, data)
     assert evaluations(df) == 1 and largest_batch(spark) <= 512
     assert [(r["page_id"], r["section"], r["heading"], r["text"]) for r in df.collect()] == [(1, 0, "A", "b")]
+
+
+def test_json_redaction_visits_python_once_in_small_batches(spark, data):
+    turns = [(1, 0, "user", 'mail a@b.co, "ﬁ" &amp; x'), (1, 1, None, None), (2, 0, "user", "été​ K1A 0B1")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{data}/conversations.parquet")
+    df = registry.queries()["json_redaction"](spark, data)
+    assert evaluations(df) == 1 and largest_batch(spark) <= 512
+    got = {(r["conv_id"], r["turn"]): r["json"] for r in df.collect()}
+    assert '"mail <EMAIL_ADDRESS>, \\"fi\\" & x"' in got[1, 0] and '"été <CA_POSTAL_CODE>"' in got[2, 0] and "null" in got[1, 1]
+    plain = spark.createDataFrame([("ﬁ a@b.co {", "{}")], "x string, y string").select(redaction.redacted_json(F.col("x")), redaction.redacted_json(F.col("y")), redaction.redacted_json(F.lit(None).cast("string")))
+    assert tuple(plain.first()) == ("fi <EMAIL_ADDRESS> {", "{}", None)
