@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from corpusloom.functions import redaction as R
+from corpusloom.shared import lean
 
 # Lowest score of a find, and scores of the patterns. What a checksum or a label confirms is certain.
 THRESHOLD = 0.5
@@ -96,6 +97,7 @@ _RESULT = StructType([StructField("text", StringType()), StructField("spans", Ar
 def found(x: Column, recognisers: tuple[Recogniser, ...] = DOCUMENT, threshold: float = THRESHOLD) -> Column:
     """struct<text, spans>: the text with what stays replaced, and all finds in order of place, with whether each stays."""
     used = tuple(r for r in recognisers if r.score >= threshold)
+    lean()
 
     @F.pandas_udf(_RESULT)
     def scored(texts: pd.Series) -> pd.DataFrame:

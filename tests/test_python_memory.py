@@ -66,3 +66,12 @@ def test_json_redaction_visits_python_once_in_small_batches(spark, data):
     assert '"mail <EMAIL_ADDRESS>, \\"fi\\" & x"' in got[1, 0] and '"été <CA_POSTAL_CODE>"' in got[2, 0] and "null" in got[1, 1]
     plain = spark.createDataFrame([("ﬁ a@b.co {", "{}")], "x string, y string").select(redaction.redacted_json(F.col("x")), redaction.redacted_json(F.col("y")), redaction.redacted_json(F.lit(None).cast("string")))
     assert tuple(plain.first()) == ("fi <EMAIL_ADDRESS> {", "{}", None)
+
+
+@pytest.mark.parametrize("name", ["injection_flags", "span_redaction", "chunk_documents", "per_document_counts"])
+def test_texts_travel_in_small_batches(spark, data, name):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{data}/conversations.parquet")
+    df = registry.queries()[name](spark, data)
+    assert largest_batch(spark) <= 512
+    if name != "injection_flags":  # a branch a table there
+        assert evaluations(df) == 1
