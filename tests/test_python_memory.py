@@ -75,3 +75,11 @@ def test_texts_travel_in_small_batches(spark, data, name):
     assert largest_batch(spark) <= 512
     if name != "injection_flags":  # a branch a table there
         assert evaluations(df) == 1
+
+
+def test_chunks_are_the_same_rows(spark, data):
+    from corpusloom.operators.chunking import split
+
+    want = sorted((k, 0, part, text) for k, whole in enumerate(TEXTS) for part, text in enumerate(split(whole or "")))
+    got = sorted((r["document_id"], r["section"], r["part"], r["text"]) for r in registry.queries()["chunk_documents"](spark, data).collect())
+    assert got == want and len({r[0] for r in got}) == 3
