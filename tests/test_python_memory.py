@@ -83,3 +83,11 @@ def test_chunks_are_the_same_rows(spark, data):
     want = sorted((k, 0, part, text) for k, whole in enumerate(TEXTS) for part, text in enumerate(split(whole or "")))
     got = sorted((r["document_id"], r["section"], r["part"], r["text"]) for r in registry.queries()["chunk_documents"](spark, data).collect())
     assert got == want and len({r[0] for r in got}) == 3
+
+
+def test_per_document_counts_count_every_chunk(spark, data):
+    from corpusloom.operators.chunking import split
+
+    df = registry.queries()["per_document_counts"](spark, data)
+    assert evaluations(df) == 1
+    assert {r["document_id"]: (r["sections"], r["chunks"]) for r in df.collect()} == {k: (1, len(split(t))) for k, t in enumerate(TEXTS) if t and t.strip()}
