@@ -19,16 +19,33 @@ INJECTION = (
 # Markup that no answer may hold.
 MARKUP = r"<(?:script|iframe|img|object)\b|javascript:|data:|mailto:|\]\("
 
+#: For each family patterns that every text with a match holds. They begin with one character or class, so the engine tries no alternatives at most places.
+_INJECTION_PARTS = tuple(
+    tuple(map(redaction.any_case, parts))
+    for parts in (
+        ("g(?:nore|ard|et)", "r(?:uct|ule|ompt)"),
+        ("e[mr] (?:prompt|instruct|message)",),
+        ("[vyb](?:err|pas|le)", "[dfl](?:rail|ety|icy|ter)"),
+        (r"[<\[yv](?:\||inst|stem|eloper)",),
+        ("[cdpv](?:ret|ential|i key|ironment)",),
+        ("[nj](?:restr|filt|ailb)",),
+    )
+)
+_MARKUP_PARTS = (redaction.any_case("[tao]:"), redaction.any_case("<[sio]"), r"\]\(")
+
 
 def injection(x: Column) -> Column:
     found = F.lit(False)
-    for pattern in INJECTION:
-        found = found | x.rlike("(?isuU)" + pattern)
+    for pattern, parts in zip(INJECTION, _INJECTION_PARTS, strict=True):
+        whole = x.rlike("(?isuU)" + pattern)
+        for part in reversed(parts):
+            whole = x.rlike(part) & whole
+        found = found | whole
     return F.coalesce(found, F.lit(False))
 
 
 def markup(x: Column) -> Column:
-    return F.coalesce(x.rlike("(?iuU)" + MARKUP), F.lit(False))
+    return F.coalesce((x.rlike(_MARKUP_PARTS[0]) | x.rlike(_MARKUP_PARTS[1]) | x.rlike(_MARKUP_PARTS[2])) & x.rlike("(?iuU)" + MARKUP), F.lit(False))
 
 
 def output_violation(x: Column) -> Column:
