@@ -71,7 +71,7 @@ def chunks(sections: DataFrame, settings: Settings = Settings(), id_col: str = "
     A null or blank section has no chunks. The same input gives the same chunks.
     """
     limit, overlap = settings.chunk_bytes, settings.overlap_bytes
-    lean()
+    lean(sections.sparkSession)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

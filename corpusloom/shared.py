@@ -46,9 +46,12 @@ def require(df: DataFrame, condition: Column, message: Column) -> DataFrame:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
-def lean() -> None:
-    """Whole texts go to Python in small batches from now on: what a worker holds depends on a batch and its longest text, not on the table. What the session has set otherwise stays."""
-    spark = SparkSession.active()
+def lean(spark: SparkSession | None = None) -> None:
+    """Whole texts go to Python in small batches from now on: what a worker holds depends on a batch and its longest text, not on the table. What the session has set otherwise stays.
+
+    Where rows are at hand, give their session: it need not be the active one.
+    """
+    spark = spark or SparkSession.active()
     for key, (default, ours) in BATCHES.items():
         if spark.conf.get(key) == default:  # with a default of one's own, get() gives that for what isn't set
             spark.conf.set(key, ours)

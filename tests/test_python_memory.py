@@ -85,6 +85,12 @@ def test_chunks_are_the_same_rows(spark, data):
     assert got == want and len({r[0] for r in got}) == 3
 
 
+def test_chunks_travel_in_small_batches_in_a_session_of_their_own(spark, data):
+    own = spark.newSession()
+    df = registry.queries()["chunk_documents"](own, data)
+    assert df.sparkSession is own and largest_batch(own) <= 512 < largest_batch(spark)
+
+
 def test_per_document_counts_count_every_chunk(spark, data):
     from corpusloom.operators.chunking import split
 
