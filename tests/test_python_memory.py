@@ -97,3 +97,12 @@ def test_per_document_counts_count_every_chunk(spark, data):
     df = registry.queries()["per_document_counts"](spark, data)
     assert evaluations(df) == 1
     assert {r["document_id"]: (r["sections"], r["chunks"]) for r in df.collect()} == {k: (1, len(split(t))) for k, t in enumerate(TEXTS) if t and t.strip()}
+
+
+def test_per_document_counts_cut_in_small_batches_in_a_session_of_their_own(spark, data):
+    from corpusloom.operators.chunking import split
+
+    own = spark.newSession()
+    df = registry.queries()["per_document_counts"](own, data)
+    assert evaluations(df) == 1 and largest_batch(own) <= 512 < largest_batch(spark)
+    assert sum(r["chunks"] for r in df.collect()) == sum(len(split(t)) for t in TEXTS if t)
