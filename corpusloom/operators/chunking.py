@@ -9,7 +9,8 @@ starts with as many of the last pieces as the overlap allows.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,14 +27,21 @@ def _size(text: str) -> int:
     return len(text.encode())
 
 
-def _cut(text: str, separator: str) -> list[str]:
+def _cut(text: str, separator: str) -> Iterator[str]:
+    """Piece by piece: all single characters of a long text at once would take fifty times its size."""
     if not separator:
-        return list(text)
-    head, *rest = text.split(separator)
-    return [p for p in (head, *(separator + r for r in rest)) if p]
-
-
-def _fill(pieces: list[str], limit: int, overlap: int) -> list[str]:
+        yield from text
+        return
+    begin, at = 0, text.find(separator)
+    while at >= 0:
+        if at > begin:
+            yield text[begin:at]
+        begin, at = at, text.find(separator, at + len(separator))
+    if begin < len(text):
+        yield text[begin:]
+
+
+def _fill(pieces: Iterable[str], limit: int, overlap: int) -> list[str]:
     """Greedy chunks of joined pieces, stripped; empty ones vanish."""
     out: list[str] = []
     held: deque[tuple[str, int]] = deque()
@@ -54,15 +62,14 @@ def _fill(pieces: list[str], limit: int, overlap: int) -> list[str]:
 def split(text: str, limit: int = 1500, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks of at most ``limit`` UTF-8 bytes (a single character may be longer than a tiny limit)."""
     at = next(k for k, s in enumerate(separators) if s in text or not s)
-    out, small = [], []
-    for piece in _cut(text, separators[at]):
-        if _size(piece) < limit or at + 1 == len(separators):
-            small.append(piece)
+    out = []
+    for small, pieces in groupby(_cut(text, separators[at]), lambda p: at + 1 == len(separators) or _size(p) < limit):
+        if small:
+            out += _fill(pieces, limit, overlap)
             continue
-        out += _fill(small, limit, overlap)
-        small = []
-        out += split(piece, limit, overlap, separators[at + 1 :])
-    return out + _fill(small, limit, overlap)
+        for piece in pieces:
+            out += split(piece, limit, overlap, separators[at + 1 :])
+    return out
 
 
 def chunks(sections: DataFrame, settings: Settings = Settings(), id_col: str = "document_id") -> DataFrame:  # noqa: B008

@@ -106,3 +106,20 @@ def test_per_document_counts_cut_in_small_batches_in_a_session_of_their_own(spar
     df = registry.queries()["per_document_counts"](own, data)
     assert evaluations(df) == 1 and largest_batch(own) <= 512 < largest_batch(spark)
     assert sum(r["chunks"] for r in df.collect()) == sum(len(split(t)) for t in TEXTS if t)
+
+
+def test_a_long_text_is_cut_without_holding_all_its_pieces():
+    """A worker's memory for one text: its size a few times over, not an object for each character or word."""
+    import tracemalloc
+
+    from corpusloom.operators.chunking import split
+
+    for text in ("語" * 120_000, "語 " * 60_000, "a\n" * 60_000):
+        tracemalloc.start()
+        try:
+            parts = split(text)
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < 8 * len(text) and all(0 < len(p.encode()) <= 1500 for p in parts)
+        assert sum(map(len, parts)) >= len(text) - 2 * len(parts)
