@@ -28,7 +28,7 @@ def _size(text: str) -> int:
 
 
 def _cut(text: str, separator: str) -> Iterator[str]:
-    """Piece by piece: all single characters of a long text at once would take fifty times its size."""
+    """Piece by piece: all single characters of a long text at once would take many times its size."""
     if not separator:
         yield from text
         return
