@@ -87,31 +87,44 @@ class Chain:
     def __init__(self, size: int = SIZE):
         self.size = size
         self.at, self.cost, self.came = np.zeros(1, dtype=np.int64), [0], [0]
-        self.queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best(i) + i, index), values rising
+        self.rising, self.queue = [0], [0]  # best(i) + i of each cut; the cuts that may still be continued from, by rising values
 
     def extend(self, cuts: np.ndarray, penalties: np.ndarray) -> None:
         """More cuts, no two neighbours more than ``size`` apart."""
         first = len(self.at)
         self.at = at = np.concatenate((self.at, cuts))
-        powers = [1 << k for k in range(self.size.bit_length()) if 1 << k < self.size]
-        found = np.searchsorted(at, cuts[:, None] - powers)
-        rows, columns = np.nonzero(at[found] == cuts[:, None] - powers)
-        place, ways = found[rows, columns].tolist(), np.searchsorted(rows, np.arange(len(cuts) + 1)).tolist()
-        size, queue, cost, came, positions = self.size, self.queue, self.cost, self.came, at.tolist()
-        for n, (j, p) in enumerate(zip(cuts.tolist(), penalties.tolist(), strict=True)):
-            while positions[queue[0][1]] < j - size:
-                queue.popleft()
-            value, origin = queue[0]
-            least = value + size - j
-            for w in place[ways[n] : ways[n + 1]]:
-                if cost[w] < least:
-                    least, origin = cost[w], w
-            cost.append(least + WINDOW + p)
+        oldest = np.searchsorted(at, cuts - self.size)
+        # the cuts a power of two before each, the nearest first, found by their places in the stream
+        base = int(cuts[0]) - self.size
+        index = np.full(int(cuts[-1]) - base + 1, -1, dtype=np.int64)
+        index[at[oldest[0] :] - base] = np.arange(oldest[0], len(at))
+        powers = np.array([1 << k for k in range(self.size.bit_length()) if 1 << k < self.size], dtype=np.int64)
+        found = index[cuts[:, None] - base - powers]
+        place, ways = found[found >= 0].tolist(), np.cumsum((found >= 0).sum(axis=1)).tolist()
+        queue, cost, came, rising = self.queue, self.cost, self.came, self.rising
+        head, way, last = 0, 0, rising[-1]
+        steps = zip(cuts.tolist(), (self.size - cuts).tolist(), (penalties + WINDOW).tolist(), oldest.tolist(), ways, strict=True)
+        for n, (j, gap, price, old, until) in enumerate(steps, first):
+            while queue[head] < old:
+                head += 1
+            origin = queue[head]
+            least = rising[origin] + gap
+            if way < until:
+                for w in place[way:until]:
+                    if cost[w] < least:
+                        least, origin = cost[w], w
+                way = until
+            least += price
+            cost.append(least)
             came.append(origin)
-            here = least + WINDOW + p + j
-            while queue and queue[-1][0] >= here:
-                queue.pop()
-            queue.append((here, first + n))
+            least += j
+            if last >= least:  # the cut before stands last in the queue
+                while len(queue) > head and rising[queue[-1]] >= least:
+                    queue.pop()
+            rising.append(least)
+            queue.append(n)
+            last = least
+        del queue[:head]
 
     def decided(self) -> list[int]:
         """The cuts that every continuation shares; they are forgotten but for the last, from which the rest goes on."""
@@ -133,11 +146,13 @@ class Chain:
     def _forget(self, last: int) -> list[int]:
         out, k = [], last
         while k:
-            out.append(int(self.at[k]))
+            out.append(k)
             k = self.came[k]
-        self.queue = deque((v, i - last) for v, i in self.queue if i >= last)
-        self.at, self.cost, self.came = self.at[last:], self.cost[last:], [max(0, i - last) for i in self.came[last:]]
-        return out[::-1]
+        chain = self.at[out[::-1]].tolist()
+        self.queue = [i - last for i in self.queue if i >= last]
+        self.at, self.cost, self.rising = self.at[last:].copy(), self.cost[last:], self.rising[last:]
+        self.came = np.maximum(np.array(self.came[last:]) - last, 0).tolist()
+        return chain
 
 
 class Packer:
@@ -150,8 +165,9 @@ class Packer:
         self.fresh: list[np.ndarray] = []  # ids that the chain doesn't cover yet
         self.tokens = self.emitted = self.looked = self.open = 0
 
-    def add(self, document: object, ids: list[int]) -> Iterator[tuple]:
-        own = np.array([*ids, self.end], dtype="<u4")
+    def add(self, document: object, ids: np.ndarray | list[int]) -> Iterator[tuple]:
+        own = np.empty(len(ids) + 1, dtype="<u4")
+        own[:-1], own[-1] = ids, self.end
         self.held.append((document, self.tokens, own))
         self.fresh.append(own)
         self.tokens += len(own)
@@ -203,7 +219,7 @@ def pack(docs: DataFrame, size: int = SIZE, end: int = 0, name: str = tokenizer.
             kind = b.column("doc_id").type
             rows = []
             for document, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-                rows += packer.add(document.as_py(), tokenizer.encode(text.as_py(), name))
+                rows += packer.add(document.as_py(), tokenizer.encode_array(text.as_py(), name))
             if rows:
                 yield table(rows)
         if rows := list(packer.flush()):

@@ -34,7 +34,7 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _encode(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
-    counts = [len(tokenizer.encode(t, name)) for t in batch.column("text").to_pylist()]
+    counts = [len(tokenizer.encode_array(t, name)) for t in batch.column("text").to_pylist()]
     return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
 

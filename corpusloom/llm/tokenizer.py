@@ -15,9 +15,15 @@ import json
 import re
 import warnings
 
+import numpy as np
+
 DEFAULT = "byte_bpe_50k.json"
 #: The word pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same words in the form that tiktoken's own byte-level vocabularies use: it never gives back what a run has taken.
+POSSESSIVE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: A special string that is never allowed, so ordinary text. Without any, tiktoken's encoder into arrays stops at every letter to look for none.
+NEVER = "<|never|>"
 
 
 def path_of(name: str = DEFAULT) -> str:
@@ -95,7 +101,7 @@ def _ranked(name: str):
     if ranks != sorted(ranks):
         return None  # ids aren't merge ranks: the library itself encodes
     by_rank = {v.token_bytes[i]: i for i in v.token_bytes if i not in set(v.added.values())}
-    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=by_rank, special_tokens={})
+    return tiktoken.Encoding("ranked", pat_str=POSSESSIVE, mergeable_ranks=by_rank, special_tokens={NEVER: max(v.token_bytes) + 1})
 
 
 @functools.lru_cache(maxsize=2)
@@ -112,20 +118,25 @@ def library(name: str = DEFAULT):
     return t
 
 
-def encode(text: str, name: str = DEFAULT) -> list[int]:
+def encode_array(text: str, name: str = DEFAULT) -> np.ndarray:
     """The ids of one whole text; the library itself takes texts on which the ranked encoder gives up."""
     fast, out = _ranked(name), []
     if fast is None:
-        return library(name).encode(text, add_special_tokens=False).ids
+        return np.array(library(name).encode(text, add_special_tokens=False).ids, dtype="<u4")
     for part, special in vocabulary(name).parts(text):
         if special is not None:
-            out.append(special)
+            out.append(np.array([special], dtype="<u4"))
             continue
         try:
-            out += fast.encode_ordinary(part)
+            out.append(fast.encode_to_numpy(part, disallowed_special=()))
         except BaseException as e:  # limits of its pattern engine on very long runs, which it may raise as a panic
             if not isinstance(e, (ValueError, RuntimeError)) and type(e).__name__ != "PanicException":
                 raise
             warnings.warn(f"a text of {len(text)} letters goes to the slower encoder: {e}", RuntimeWarning, stacklevel=2)
-            return library(name).encode(text, add_special_tokens=False).ids
-    return out
+            return np.array(library(name).encode(text, add_special_tokens=False).ids, dtype="<u4")
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, dtype="<u4")
+
+
+def encode(text: str, name: str = DEFAULT) -> list[int]:
+    """The same as a list."""
+    return encode_array(text, name).tolist()

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -63,6 +64,29 @@ def test_carried_on_like_the_whole_stream():
     assert sum(r[2] for r in found[0]) == total
 
 
+def test_ids_stay_in_arrays():
+    """A text's ids reach the packer's pieces without an object each."""
+    n = 200_000
+    ids = np.random.default_rng(3).integers(300, 5000, n).astype("<u4")
+    p = packing.Packer(tokenizer.DEFAULT, 1024, 0, 0, look=1 << 40)
+    tracemalloc.start()
+    try:
+        rows = list(p.add(1, ids))
+        assert tracemalloc.get_traced_memory()[1] < 12 * n
+    finally:
+        tracemalloc.stop()
+    rows += p.flush()
+    assert sum(r[2] for r in rows) == n + 1
+    whole = np.append(ids, 0).astype("<u4")
+    assert all(r[3] == zlib.crc32(whole[r[1] : r[1] + r[2]].tobytes()) for r in rows)
+
+
+def test_windows_of_one_id():
+    p = packing.Packer(tokenizer.DEFAULT, 1, 0, 0, step=1)
+    rows = [*p.add(1, np.array([7, 8], dtype="<u4")), *p.flush()]
+    assert [(r[1], r[2], r[5], r[6]) for r in rows] == [(0, 1, 0, 0), (1, 1, 1, 0), (2, 1, 2, 0)]
+
+
 def test_repeated_rows_and_ties(spark):
     texts = [("same words again. " * 40, 30), ("", 700), (None, 50), ("x " * 3000, 5)]
     docs = spark.createDataFrame([(k, t) for k, (t, n) in enumerate(texts) for _ in range(n)], "doc_id long, text string").coalesce(1)

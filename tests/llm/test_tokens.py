@@ -32,6 +32,15 @@ def test_any_text(text):
     assert np.frombuffer(bpe.encoder().encode_batch([text])[0], "<u4").tolist() == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["'s", "'ll", "'", "’", "a", "É", "3", "½", " ", "  ", "\n", "\t", "\xa0", ".", "_", "日", "\u0301", "<|never|>", "<|endoftext|>"]), max_size=24))
+def test_arrays_hold_the_librarys_ids(parts):
+    text = "".join(parts)
+    ids = tokenizer.encode_array(text)
+    assert ids.dtype == np.uint32
+    assert ids.tolist() == reference(text)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.binary(min_size=1, max_size=200))
 def test_one_tree_equals_naive_merging(word):
