@@ -33,7 +33,7 @@ def test_any_text(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["'s", "'ll", "'", "’", "a", "É", "3", "½", " ", "  ", "\n", "\t", "\xa0", ".", "_", "日", "\u0301", "<|never|>", "<|endoftext|>"]), max_size=24))
+@given(st.lists(st.sampled_from(["'s", "'ll", "'", "’", "a", "É", "3", "½", " ", "  ", "\n", "\t", "\xa0", "\x1c", "\u2003", ".", "_", "日", "\u0301", "<|never|>", "<|endoftext|>"]), max_size=24))
 def test_arrays_hold_the_librarys_ids(parts):
     text = "".join(parts)
     ids = tokenizer.encode_array(text)
@@ -41,6 +41,13 @@ def test_arrays_hold_the_librarys_ids(parts):
     assert ids.tolist() == reference(text)
 
 
+def test_pattern_of_the_ranked_encoder_looks_nowhere_ahead():
+    """Runs of spaces are cut before it, so that no word needs a look at what follows."""
+    assert "(?" not in tokenizer._ranked(tokenizer.DEFAULT)._pat_str
+    for text in (" " * 300_000 + "x", "a\n\n b  \n" * 20_000, "\t\t", " \x1c x \x1c  \x1d", "x \n\n"):
+        assert tokenizer.encode(text) == reference(text)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.binary(min_size=1, max_size=200))
 def test_one_tree_equals_naive_merging(word):
